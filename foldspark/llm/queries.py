@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import fingerprints, simhash_dedup
+from foldspark.llm import byte_bpe, fingerprints, packing, simhash_dedup
+
+#: Files of the tokenizers; the driver reads them and sends their content with the tasks.
+BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(WORD_BPE_FILE, encoding="utf-8") as file:
+        return packing.pack_documents(_docs(spark, sf_dir), file.read())
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(BYTE_BPE_FILE, "rb") as file:
+        return byte_bpe.round_trip(_docs(spark, sf_dir), file.read(), public_tokenizers.PATTERN)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_docs(spark, sf_dir))
 
@@ -22,7 +37,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_fingerprints, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op5_packing, op6_byte_bpe, op7_fingerprints, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
