@@ -1,9 +1,10 @@
 """SimHash near-duplicates: 64-bit fingerprints linked through vantage-point trees (operator 10).
 
 A tree built from a bounded sample cuts the Hamming space into rings around vantage points. Each fingerprint is stored
-in the one leaf that contains it and sent as a query to every leaf whose rings reach within the radius, so by the
-triangle inequality each pair within the radius meets in the leaf of either member. Inside a leaf a second tree,
-over the leaf's own fingerprints, prunes in the same way down to small blocks that are compared exactly.
+in the one leaf that contains it and sent as a query to other leaves within reach. At the first vantage point that parts
+a pair, only the nearer one visits the ring of the other, and from there on it visits every ring within the radius; so
+by the triangle inequality each pair within the radius meets in one leaf. Inside a leaf a second tree, over the leaf's
+own fingerprints, prunes in the same way down to small blocks that are compared exactly.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero and links like any other; equal
 fingerprints form one class before any search; repeated rows keep their rows; a null id gets the component of its
@@ -90,21 +91,24 @@ def build_tree(sample: np.ndarray, total: int, radius: int, leaf: int = LEAF, qu
     leaves = 0
     scale = total / max(1, len(sample))
 
-    def grow(points: np.ndarray, askers: np.ndarray, depth: int) -> _Node:
+    def grow(points: np.ndarray, visitors: np.ndarray, depth: int) -> _Node:
         nonlocal leaves
         if len(points) * scale > leaf and len(points) >= 8 and depth < 12:
             tried = points[:: max(1, len(points) // 16)][:16]
             vantage = max(tried, key=lambda v: (float(np.var(_distance(points, v))), int(v)))
-            near, asked = _distance(points, vantage).astype(int), _distance(askers, vantage).astype(int)
+            near, away = _distance(points, vantage).astype(int), _distance(visitors, vantage).astype(int)
             cuts = _ring_cuts(near, RINGS)
             if len(cuts) > 2:
-                parts = zip(cuts, cuts[1:])
-                made = tuple(grow(points[(near >= a) & (near < b)], askers[(asked >= a - radius) & (asked < b + radius)], depth + 1) for a, b in parts)
-                return _Node(vantage, tuple(cuts), made)
+                made = []
+                for a, b in zip(cuts, cuts[1:]):
+                    guests = np.concatenate([points[(near >= a - radius) & (near < a)], visitors[(away >= a - radius) & (away < b + radius)]])
+                    made.append(grow(points[(near >= a) & (near < b)], guests, depth + 1))
+                return _Node(vantage, tuple(cuts), tuple(made))
         leaves += 1
-        return _Node(leaf=leaves - 1, stores=max(1, int(len(points) * scale / leaf + 0.999)), asks=max(1, int(len(askers) * scale / queries + 0.999)))
+        return _Node(leaf=leaves - 1, stores=max(1, int(len(points) * scale / leaf + 0.999)), asks=max(1, int((len(points) + len(visitors)) * scale / queries + 0.999)))
 
-    root = grow(np.unique(sample), np.unique(sample), 0)
+    points = np.unique(sample)
+    root = grow(points, points[:0], 0)
     return root, leaves
 
 
@@ -117,7 +121,7 @@ def _route(node: _Node, marks: np.ndarray, at: np.ndarray, homes: np.ndarray, ra
         return
     far = _distance(marks[at], node.vantage).astype(int)
     for low, high, child in zip(node.cuts, node.cuts[1:], node.children):
-        reach = (far >= low - radius) & (far < high + radius)
+        reach = (far >= low - radius) & (far < np.where(homes, high, high + radius))
         yield from _route(child, marks, at[reach], homes[reach] & (far[reach] >= low) & (far[reach] < high), radius)
 
 
