@@ -14,10 +14,11 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from foldspark.llm.common import map_rows
 #: Words whose ids a Python worker remembers at most; beyond this it starts afresh.
 REMEMBERED = 400_000
 #: Characters in the block of documents whose new words are replayed together.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 
 
 class Vocabulary:
@@ -56,15 +57,15 @@ class Vocabulary:
         at = np.searchsorted(self.codes, code)
         return np.where(self.codes[at] == code, self.products[at], -1)
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each (non-empty) word, by replaying the merges over all words in the order of rank."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each (non-empty) word as little-endian unsigned 32-bit integers, by replaying the merges over all words in the order of rank."""
         lengths = np.array([len(w) for w in words])
         token = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        size, word = len(token), np.repeat(np.arange(len(words)), lengths)
-        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        size, word = len(token), np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        after, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
         ends = np.cumsum(lengths)
         after[ends - 1], before[ends - lengths] = -1, -1
-        merges_at = np.full(size, -1, dtype=np.int64)
+        merges_at = np.full(size, -1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -74,19 +75,19 @@ class Vocabulary:
             order = np.argsort(ranks, kind="stable")
             ranks, at = ranks[order], at[order]
             starts = np.flatnonzero(np.diff(ranks, prepend=-1))
-            for rank, positions in zip(ranks[starts].tolist(), np.split(at, starts[1:])):
+            for rank, begin, end in zip(ranks[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
                 if rank not in index:
                     index[rank] = []
                     heapq.heappush(queue, rank)
-                index[rank].append(positions)
+                index[rank].append(at[begin:end])
 
-        first = np.flatnonzero(after >= 0)
+        first = np.flatnonzero(after >= 0).astype(np.int32)
         merges_at[first] = self.product(token[first], token[first + 1])
         enter(merges_at[first], first)
         while queue:
             rank = heapq.heappop(queue)
             at = np.concatenate(index.pop(rank))
-            at = np.unique(at[merges_at[at] == rank])
+            at = _distinct(at[merges_at[at] == rank])
             if not len(at):
                 continue
             chosen = self._chosen(rank, at, word, token, after, before)
@@ -98,13 +99,14 @@ class Vocabulary:
             after[chosen] = beyond
             inner = beyond >= 0
             before[beyond[inner]] = chosen[inner]
-            touched = np.unique(np.concatenate([chosen, before[chosen][before[chosen] >= 0]]))
+            touched = _distinct(np.concatenate([chosen, before[chosen][before[chosen] >= 0]]))
             follows = after[touched]
             merges_at[touched] = np.where(follows >= 0, self.product(token[touched], token[follows]), -1)
             enter(merges_at[touched], touched)
         alive = token >= 0
-        left = np.bincount(word[alive], minlength=len(words))
-        return np.split(token[alive].astype("<u4"), np.cumsum(left)[:-1])
+        stops = 4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))
+        made = token[alive].astype("<u4").tobytes()
+        return [made[begin:end] for begin, end in zip([0, *stops.tolist()], stops.tolist())]
 
     def _chosen(self, rank, at, word, token, after, before) -> np.ndarray:
         """Of a rank's positions (ascending) those to merge now.
@@ -127,25 +129,46 @@ class Vocabulary:
         return at[opens | (apart & ~waits)]
 
 
+def _distinct(positions: np.ndarray) -> np.ndarray:
+    positions = np.sort(positions)
+    return positions[np.append(True, positions[1:] != positions[:-1])] if len(positions) else positions
+
+
+class Words(dict):
+    """Numbers words in the order in which they are met; ``ids`` has their ids, as bytes, by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids: list[bytes] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def clear(self) -> None:
+        super().clear()
+        self.ids.clear()
+
+
 @functools.lru_cache(maxsize=2)
-def _vocabulary(ranks_file: bytes) -> tuple[Vocabulary, dict[str, bytes]]:
-    """A worker's vocabulary and the ids, as bytes, of words that it has met."""
-    return Vocabulary(ranks_file), {}
+def _vocabulary(ranks_file: bytes) -> tuple[Vocabulary, Words]:
+    """A worker's vocabulary and the words that it has met."""
+    return Vocabulary(ranks_file), Words()
 
 
-def encode_block(texts: list[str | None], pattern, vocabulary: Vocabulary, known: dict[str, bytes]) -> list[bytes]:
+def encode_block(texts: list[str | None], pattern, vocabulary: Vocabulary, known: Words) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    split = [pattern.findall(t) if t else [] for t in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    new = list({w for words in split for w in words if w not in known})
-    raw = [w.encode() for w in new]
-    whole = {w: vocabulary.ranks[r] for w, r in zip(new, raw) if r in vocabulary.ranks}
-    known.update((w, int(i).to_bytes(4, "little")) for w, i in whole.items())
-    rest = [(w, r) for w, r in zip(new, raw) if w not in whole]
-    if rest:
-        known.update((w, ids.tobytes()) for (w, _), ids in zip(rest, vocabulary.replay([r for _, r in rest])))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    before = len(known)
+    # A document is held as the numbers of its words, which takes a tenth of the words' own memory.
+    numbered = [array("i", map(known.__getitem__, pattern.findall(t))) if t else array("i") for t in texts]
+    new = [w.encode() for w in itertools.islice(known, before, None)]
+    whole = [vocabulary.ranks.get(w, -1) for w in new]
+    merged = iter(vocabulary.replay([w for w, rank in zip(new, whole) if rank < 0]) if -1 in whole else ())
+    known.ids.extend(int(rank).to_bytes(4, "little") if rank >= 0 else next(merged) for rank in whole)
+    for numbers in numbered:
+        yield b"".join(map(known.ids.__getitem__, numbers))
 
 
 def _blocks(columns: list[list], most: int) -> Iterator[tuple[list, list]]:
@@ -175,10 +198,9 @@ def decode(encoded: DataFrame, ranks_file: bytes) -> DataFrame:
     """encoded (doc_id, ids) with the column ``decoded``, the bytes of the ids' tokens."""
 
     def rows(columns: list[list]) -> Iterator[tuple]:
-        tokens = pa.array(_vocabulary(ranks_file)[0].tokens, pa.binary())
+        token = _vocabulary(ranks_file)[0].tokens.__getitem__
         for doc_id, ids in zip(*columns):
-            joined = tokens.take(pa.array(np.frombuffer(ids or b"", dtype="<u4")))
-            yield doc_id, ids, b"".join(joined.to_pylist())
+            yield doc_id, ids, b"".join(map(token, np.frombuffer(ids or b"", dtype="<u4").tolist()))
 
     return map_rows(encoded.select("doc_id", "ids"), rows, "doc_id long, ids binary, decoded binary")
 
