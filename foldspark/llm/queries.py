@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import byte_bpe, fingerprints, language_id, packing, simhash_dedup
+from foldspark.llm import byte_bpe, fingerprints, language_id, packing, quality, simhash_dedup, toxicity
 
 #: Files of the tokenizers; the driver reads them and sends their content with the tasks.
 BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,10 +18,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_docs(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(WORD_BPE_FILE, encoding="utf-8") as file:
         return packing.pack_documents(_docs(spark, sf_dir), file.read())
@@ -36,12 +44,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_docs(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op5_packing, op6_byte_bpe, op7_fingerprints, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality, op5_packing, op6_byte_bpe, op7_fingerprints, op8_toxicity, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
