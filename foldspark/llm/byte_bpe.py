@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import map_rows
 
 #: Words whose ids a Python worker remembers at most; beyond this it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters in the block of documents whose new words are replayed together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 class Vocabulary:
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         for doc_ids, texts in _blocks(columns, BLOCK_CHARS):
             yield from zip(doc_ids, encode_block(texts, words, vocabulary, known))
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, "doc_id long, ids binary", batch=10_000)
+    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, "doc_id long, ids binary", batch=1500)
 
 
 def decode(encoded: DataFrame, ranks_file: bytes) -> DataFrame:
