@@ -6,6 +6,7 @@ import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +112,16 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     else:
         pairs = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return pairs.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """The least member of each node's component, adding the edges (a, b) to those that made ``labels``."""
+    labels = np.arange(n) if labels is None else labels
+    while len(a):
+        x, y = labels[a], labels[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (deeper := labels[labels]).tobytes() != labels.tobytes():
+            labels = deeper
+    return labels

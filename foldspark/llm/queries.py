@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import byte_bpe, fingerprints, language_id, packing, quality, simhash_dedup, toxicity
+from foldspark.llm import byte_bpe, embedding_dedup, fingerprints, language_id, packing, quality, simhash_dedup, toxicity
 
 #: Files of the tokenizers; the driver reads them and sends their content with the tasks.
 BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,12 +48,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op5_packing, op6_byte_bpe, op7_fingerprints, op8_toxicity, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality, op5_packing, op6_byte_bpe, op7_fingerprints, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

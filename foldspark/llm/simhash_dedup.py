@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import connected, map_rows, use_checkpoints
+from foldspark.llm.common import connected, local_components, map_rows, use_checkpoints
 
 SEED = 42
 #: Fingerprints in the sample that the tree of shards is built from.
@@ -125,19 +125,6 @@ def _route(node: _Node, marks: np.ndarray, at: np.ndarray, homes: np.ndarray, ra
         yield from _route(child, marks, at[reach], homes[reach] & (far[reach] >= low) & (far[reach] < high), radius)
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """The least member of each node's component, adding the edges (a, b) to those that made ``labels``."""
-    labels = np.arange(n) if labels is None else labels
-    while len(a):
-        x, y = labels[a], labels[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while (deeper := labels[labels]).tobytes() != labels.tobytes():
-            labels = deeper
-    return labels
-
-
 def pairs_within(stored: np.ndarray, asking: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (in stored, in asking) of all pairs at most ``radius`` bits apart, in blocks."""
     work = [(np.arange(len(stored)), np.arange(len(asking)), 0)]
