@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import byte_bpe, embedding_dedup, fingerprints, language_id, packing, quality, simhash_dedup, toxicity
+from foldspark.llm import byte_bpe, embedding_dedup, fingerprints, language_id, packing, pii, quality, secrets, simhash_dedup, toxicity
 
 #: Files of the tokenizers; the driver reads them and sends their content with the tasks.
 BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,10 +26,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_docs(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_docs(spark, sf_dir)))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(secrets.find(_docs(spark, sf_dir)), secrets.KINDS)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(WORD_BPE_FILE, encoding="utf-8") as file:
         return packing.pack_documents(_docs(spark, sf_dir), file.read())
@@ -57,7 +65,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op5_packing, op6_byte_bpe, op7_fingerprints, op8_toxicity, op9_embedding_dedup, op10_simhash_dedup)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_pii, op3_quality, op4_secrets, op5_packing, op6_byte_bpe, op7_fingerprints, op8_toxicity,
+        op9_embedding_dedup, op10_simhash_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
