@@ -77,9 +77,10 @@ def running_median_trend(curve: DataFrame, window_days: float = 1.5, min_points:
 def interpolate(df: DataFrame, at: str, value: str, part, into: str) -> DataFrame:
     """df with null values interpolated linearly between their neighbours in a partition, and held at its ends."""
     before = part.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    after = part.orderBy(at).rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, as a frame that starts at the row is summed anew for each row.
+    after = part.orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("x"), F.col(value).alias("y")))
-    df = df.withColumn("_known", known).withColumn("_p", F.last("_known", ignorenulls=True).over(before)).withColumn("_n", F.first("_known", ignorenulls=True).over(after))
+    df = df.withColumn("_known", known).withColumn("_p", F.last("_known", ignorenulls=True).over(before)).withColumn("_n", F.last("_known", ignorenulls=True).over(after))
     slope = (F.col("_n.y") - F.col("_p.y")) / F.nullif(F.col("_n.x") - F.col("_p.x"), F.lit(0.0).cast("double"))
     between = F.coalesce(slope * (F.col(at) - F.col("_p.x")) + F.col("_p.y"), F.col("_p.y"), F.col("_n.y"))
     return df.withColumn(into, F.coalesce(F.col(value), between)).drop("_known", "_p", "_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,11 @@ def agree(labelled: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def build_dataset(curve: DataFrame, catalog: DataFrame, manifest: DataFrame, config: DatasetConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(examples, star log): choose stars, process those that can be, fold every signal of theirs."""
+    """(examples, star log): choose stars, process those that can be, fold every signal of theirs.
+
+    The processed curves feed several aggregations, so they are kept on the executors' disks (a lost part is made
+    again); the chosen stars, which everything joins, are kept likewise.
+    """
     config = config or DatasetConfig()
     labelled = labels.apply_label_policy(catalog)
     problems = agree(labelled, manifest).first().asDict()
@@ -43,10 +48,11 @@ def build_dataset(curve: DataFrame, catalog: DataFrame, manifest: DataFrame, con
     stars = selection.select_stars(manifest, config.stars, config.splits)
     if config.max_stars is not None and not config.stars.all_eligible:
         selection.guard_size(stars, config.max_stars, "stars")
+    stars = stars.persist(StorageLevel.DISK_ONLY)
     raw = curve.join(stars.select("kepid"), "kepid", "left_semi")
     log = prep.star_status(raw, stars.select("kepid"), config.preprocessing, labelled)
     ready = log.filter("status = 'ok'").select("kepid")
-    processed = prep.preprocess(raw.join(ready, "kepid", "left_semi"), config.preprocessing, labelled)
+    processed = prep.preprocess(raw.join(ready, "kepid", "left_semi"), config.preprocessing, labelled).persist(StorageLevel.DISK_ONLY)
     return prep.build_examples(processed, labelled, stars.join(ready, "kepid", "left_semi"), config), log
 
 
@@ -64,7 +70,8 @@ def run_search(processed: DataFrame, catalog: DataFrame, config: SearchConfig |
         runs = made if runs is None else runs.unionByName(made)
     keys = ["kepid", "severity"]
     inputs = search.search_inputs(runs, keys, config)
-    found = search.periodogram(inputs, keys, config)
+    # The grid's powers cost the most by far and are read three times.
+    found = search.periodogram(inputs, keys, config).persist(StorageLevel.DISK_ONLY)
     best = search.best_peaks(found, keys)
     stats = search.box_stats(runs, best, keys)
     rows = inputs.select(*keys, "status", "n_points", F.col("baseline").alias("baseline_days")).join(best, keys, "left").join(stats, keys, "left")
