@@ -1,11 +1,13 @@
 """Toxicity by compression distance (operator 8).
 
-Two Zstandard dictionaries are made from labelled text. The ordinary one is trained on windows of ordinary documents.
-The toxic one puts before it the stretches of toxic documents that ordinary documents lack: a greedy cover picks few
-stretches so that every toxic document holds several. A window that compresses better with the toxic dictionary than
-with the ordinary one resembles toxic text; as the dictionaries differ by the stretches alone, other windows compress
-alike. A document's gains, of its best window and in all, are calibrated on labelled documents that no dictionary has
-seen. (Zstandard's own trainer chooses by frequency alone and fills a toxic dictionary with ordinary syllables.)
+Zstandard dictionaries are made from labelled text. The ordinary one is trained on windows of ordinary documents. The
+toxic one puts before it the beginnings of words that toxic documents have and ordinary ones lack: a greedy cover picks
+few of them so that every toxic document holds several. A window that compresses better with the toxic dictionary than
+with the ordinary one resembles toxic text; as the dictionaries differ by these stretches alone, other windows compress
+alike. A second pair differs by stems that ordinary documents also have, but seldom, where toxic documents repeat them.
+A document's gains, of its best window, in all, from stems and for its length, are calibrated on labelled documents
+that no dictionary has seen. (Zstandard's own trainer chooses by frequency alone and fills a toxic dictionary with
+ordinary syllables.)
 
 Edge cases: a null or empty text is one empty window, with no gain; where one class has no labels every score is the
 share of toxic labels, 0 without labels; repeated rows keep their rows; a null id is never learned from and not held
@@ -17,7 +19,7 @@ from __future__ import annotations
 import functools
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,42 +30,65 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import crc_of, map_rows, rows_of, sample_ids
 
 #: Bytes in a window and between the starts of windows.
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 80, 64
 #: Documents of each class for the dictionaries and for the calibration, and characters of each that are learned from.
 FOR_DICTIONARY, FOR_CALIBRATION, LEARN_CHARS = 1000, 500, 20_000
 DICTIONARY_BYTES, LEVEL = 24_000, 6
-#: Lengths of toxic stretches in bytes, documents that must hold one, its most ordinary share, times a document is covered.
-SHORTEST, LONGEST, HOLDERS, ORDINARY_SHARE, COVERS = 5, 10, 5, 0.01, 5
+#: Lengths of toxic stretches in bytes (the shortest is the compressor's least match), documents that must hold one, its
+#: most ordinary share in parts of its toxic one, times a document is covered, and a decoy's least ordinary share.
+SHORTEST, LONGEST, HOLDERS, ORDINARY_SHARE, COVERS, DECOY_SHARE = 6, 14, 4, 0.02, 8, 0.001
+#: Stems are less rare, at most this share, but toxic documents repeat them; a document is covered by so many.
+STEM_SHARE, STEM_COVERS = 0.3, 2
 #: Parts the stretches in the dictionary; the zero byte doesn't occur in text.
 _APART = b"\0"
+FEATURES = 4
 
 
 def windows(text: str | None) -> list[bytes]:
     """Overlapping stretches of the whole lower-cased text."""
     data = (text or "").lower().encode("utf-8", "surrogatepass")
-    return [data[at : at + WINDOW] for at in range(0, max(1, len(data) - STRIDE), STRIDE)]
+    return [data[at : at + WINDOW] for at in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE)]
 
 
-def _stretches(text: str, longest: int) -> set[bytes]:
-    found = set()
-    for word in set(text.lower().split()):
-        data = f" {word} ".encode("utf-8", "surrogatepass")
-        for size in range(SHORTEST, longest + 1):
-            found.update(data[at : at + size] for at in range(len(data) - size + 1))
-    return found
+def _parts(word: str, begins: int) -> Iterator[bytes]:
+    """The parts of a word between spaces, SHORTEST to LONGEST bytes long, that start at one of its first bytes."""
+    data = f" {word} ".encode("utf-8", "surrogatepass")
+    for at in range(min(begins, len(data) - SHORTEST + 1)):
+        for end in range(at + SHORTEST, min(at + LONGEST, len(data)) + 1):
+            yield data[at:end]
 
 
-def toxic_stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Stretches that part the classes, least telling first, chosen to cover each toxic document COVERS times.
+def _held(text: str, wanted: set[bytes] | None = None) -> set[bytes]:
+    """The beginnings of a text's words; or which of the wanted parts its words have anywhere."""
+    words = set(text.lower().split())
+    if wanted is None:
+        return {p for w in words for p in _parts(w, 1)}
+    return {p for w in words for p in _parts(w, len(w) * 4) if p in wanted}
 
-    Each shortest part of a stretch must be rare in ordinary documents, as the compressor may match any of them.
+
+def toxic_stretches(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """(stretches, decoys, stems): beginnings of words that part the classes, those of their parts that don't, and
+    beginnings that toxic documents have more of.
+
+    Stretches, least telling first, are chosen to cover each toxic document COVERS times. Ordinary words share parts
+    with them, which the compressor may match; as decoys, these parts go into both dictionaries, so that only what a
+    stretch has beyond them tells.
     """
-    common = Counter(s for t in ordinary for s in _stretches(t, SHORTEST))
-    held = [_stretches(t, LONGEST) for t in toxic]
+    held = [_held(t) for t in toxic]
     counts = Counter(s for d in held for s in d)
-    rare = {s for s, n in counts.items() if len(s) == SHORTEST and n >= HOLDERS and common[s] * len(toxic) <= ORDINARY_SHARE * n * len(ordinary)}
-    parts = lambda s: (s[at : at + SHORTEST] for at in range(len(s) - SHORTEST + 1))
-    telling = {s for s, n in counts.items() if n >= HOLDERS and rare.issuperset(parts(s))}
+    often = {s for s, n in counts.items() if n >= HOLDERS}
+    parts = {s[i:j] for s in often for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1)}
+    common = Counter(s for t in ordinary for s in _held(t, parts))
+    telling = {s for s in often if common[s] * len(toxic) <= ORDINARY_SHARE * counts[s] * len(ordinary)}
+    chosen = _cover(held, telling, COVERS)
+    sure = lambda n: n - 2 * n**0.5
+    stems = {s for s in often if len(s) <= SHORTEST + 2 and common[s] * len(toxic) <= STEM_SHARE * sure(counts[s]) * len(ordinary)}
+    shared = {s[i:j] for s in chosen for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1) if common[s[i:j]] > DECOY_SHARE * len(ordinary)}
+    return chosen, sorted(p for p in shared if not any(p != q and p in q for q in shared)), _cover(held, stems, STEM_COVERS)
+
+
+def _cover(held: list[set[bytes]], telling: set[bytes], covers: int) -> list[bytes]:
+    """Few of the telling stretches, such that each document that can holds ``covers`` of them; least telling first."""
     holders: dict[bytes, set[int]] = {}
     for k, d in enumerate(held):
         for s in d & telling:
@@ -77,7 +102,7 @@ def toxic_stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         chosen.append(best)
         for k in holders.pop(best):
             covered[k] += 1
-        full = {k for k, n in enumerate(covered) if n >= COVERS}
+        full = {k for k, n in enumerate(covered) if n >= covers}
         # A part of a chosen stretch tells nothing new.
         holders = {s: left for s, h in holders.items() if s not in best and (left := h - full)}
     return chosen[::-1]
@@ -87,18 +112,22 @@ def toxic_stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 class Model:
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, float, float]
+    stemless: bytes
+    stems: bytes
+    weights: tuple[float, ...]
 
     def gains(self, texts: list[str | None]) -> np.ndarray:
-        """By text: the best window's gain in bytes and the logarithm of the sum of all gains above it."""
-        plain, marked = _compressor(self.ordinary), _compressor(self.toxic)
-        out = np.zeros((len(texts), 2))
+        """By text: the best window's gain in bytes, the logarithm of all windows' gains, likewise from the stems, and, where there is any, that of the number of windows."""
+        plain, marked, bare, stemmed = map(_compressor, (self.ordinary, self.toxic, self.stemless, self.stems))
+        out = np.zeros((len(texts), FEATURES))
         for k, text in enumerate(texts):
             parts = windows(text)
             if not self.toxic or not parts[0]:
                 continue
             gain = np.maximum(_sizes(plain, parts) - _sizes(marked, parts), 0)
-            out[k] = gain.max(), np.log1p(gain.sum() - gain.max())
+            more = np.maximum(_sizes(bare, parts) - _sizes(stemmed, parts), 0) if self.stems != self.stemless else gain
+            if gain.any() or more.any():
+                out[k] = gain.max(), np.log1p(gain.sum()), np.log1p(more.sum()), np.log1p(len(parts))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -109,7 +138,7 @@ class Model:
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     settings = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, source_size=WINDOW, dict_size=len(content), min_match=5, hash_log=16, chain_log=16,
+        LEVEL, source_size=WINDOW, dict_size=len(content), min_match=SHORTEST, hash_log=16, chain_log=16,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     return zstandard.ZstdCompressor(dict_data=data, compression_params=settings)
@@ -127,14 +156,14 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def calibrate(gains: np.ndarray, labels: np.ndarray, toxic_share: float, steps: int = 50) -> tuple[float, float, float]:
+def calibrate(gains: np.ndarray, labels: np.ndarray, toxic_share: float, steps: int = 100) -> tuple[float, ...]:
     """Logistic regression of the labels on the gains by Newton steps, with the classes weighted to their true shares."""
     x = np.column_stack([np.ones(len(gains)), gains])
     share = np.where(labels == 1, toxic_share / max(1, (labels == 1).sum()), (1 - toxic_share) / max(1, (labels == 0).sum())) * len(labels)
-    w, ridge = np.zeros(3), np.diag([1e-6, 0.05, 0.05])
+    w, ridge = np.zeros(1 + FEATURES), np.diag([1e-6] + [0.05] * FEATURES)
     for _ in range(steps):
         p = _logistic(x @ w)
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(1 + FEATURES)
         step = np.linalg.solve(curve, x.T @ (share * (labels - p)) - ridge @ w)
         w = w + step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
     return tuple(float(v) for v in w)
@@ -144,14 +173,26 @@ def learn(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     """Dictionaries from the first FOR_DICTIONARY texts of each class, calibration from the rest (or all, if few)."""
     if not toxic or not ordinary:
         share = min(max(toxic_share, 1e-9), 1 - 1e-9)
-        return Model(b"", b"", (float(np.log(share / (1 - share))) if toxic or ordinary else -60.0, 0.0, 0.0))
+        return Model(b"", b"", b"", b"", (float(np.log(share / (1 - share))) if toxic or ordinary else -60.0, *[0.0] * FEATURES))
     at = [max(1, len(t) * FOR_DICTIONARY // (FOR_DICTIONARY + FOR_CALIBRATION)) for t in (toxic, ordinary)]
     seen = [p for t in ordinary[: at[1]] for p in windows(t) if p]
-    plain = _trained(seen)
-    model = Model(plain, b"".join(s + _APART for s in toxic_stretches(toxic[: at[0]], ordinary[: at[1]])) + plain, (0.0, 0.0, 0.0))
+    stretches, decoys, stems = toxic_stretches(toxic[: at[0]], ordinary[: at[1]])
+    joined = lambda parts: b"".join(p + _APART for p in parts)
+    trained = _trained(seen)
+    plain, bare = joined(decoys) + trained, _without(trained, stems)
+    model = Model(plain, joined(stretches) + plain, bare, joined(stems) + bare, (0.0,) * (1 + FEATURES))
     rest = [(toxic[at[0] :] or toxic, 1), (ordinary[at[1] :] or ordinary, 0)]
     labels = np.concatenate([np.full(len(t), y) for t, y in rest])
-    return Model(model.ordinary, model.toxic, calibrate(model.gains(rest[0][0] + rest[1][0]), labels, toxic_share))
+    return replace(model, weights=calibrate(model.gains(rest[0][0] + rest[1][0]), labels, toxic_share))
+
+
+def _without(content: bytes, stretches: list[bytes]) -> bytes:
+    """The content with every shortest part of the stretches parted by a zero byte."""
+    for s in stretches:
+        for at in range(len(s) - SHORTEST + 1):
+            part = s[at : at + SHORTEST]
+            content = content.replace(part, part[: SHORTEST // 2] + _APART + part[SHORTEST // 2 + 1 :])
+    return content
 
 
 def _trained(samples: list[bytes]) -> bytes:
