@@ -20,28 +20,41 @@ def fill_missing(df: DataFrame, keys: list[str], values: str, counts: str, circu
     functions, so that no bin is shuffled. ``keys`` is unused but for a uniform signature.
     """
     n = F.size(values)
-    observed = F.transform(F.arrays_zip(F.col(values).alias("v"), F.col(counts).alias("c")), lambda b: (b["c"] > 0) & b["v"].isNotNull() & ~F.isnan(b["v"]) & (F.abs(b["v"]) != float("inf")))
-    points = F.filter(F.transform(F.col(values), lambda v, i: F.struct(i.cast("double").alias("x"), v.cast("double").alias("y"), F.get("_observed", i).alias("ok"))), lambda p: p["ok"])
-    df = df.withColumn("_observed", observed).withColumn("_points", points)
-    if circular:
-        shift = lambda p, by: F.struct((p["x"] + by).alias("x"), p["y"].alias("y"), p["ok"].alias("ok"))
-        first, last = F.get("_points", 0), F.get("_points", F.size("_points") - 1)
-        df = df.withColumn("_points", F.when(F.size("_points") > 0, F.concat(F.array(shift(last, -n)), F.col("_points"), F.array(shift(first, n)))).otherwise(F.col("_points")))
-    # One pass over the bins carries the number of points passed, so a bin finds both neighbours at once.
-    passed = F.aggregate(
-        F.col("_observed"), F.struct(F.lit(1 if circular else 0).alias("k"), F.array().cast("array<int>").alias("ks")),
-        lambda state, ok: F.struct((state["k"] + ok.cast("int")).alias("k"), F.array_append(state["ks"], state["k"]).alias("ks")), lambda state: state["ks"],
-    )
-    df = df.withColumn("_passed", passed)
-
-    def filled(v: Column, i: Column) -> Column:
-        k = F.get("_passed", i)
-        before, after = F.get("_points", k - 1), F.get("_points", k)
-        line = (after["y"] - before["y"]) / (after["x"] - before["x"]) * (i - before["x"]) + before["y"]
-        return F.when(F.get("_observed", i), v.cast("double")).otherwise(F.coalesce(line, before["y"], after["y"], F.lit(0.0)))
-
-    made = df.withColumn(f"{values}_filled", F.transform(F.col(values), filled))
-    return made.withColumn(f"{values}_observed", F.transform("_observed", lambda ok: ok.cast("float"))).drop("_observed", "_points", "_passed")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    observed = F.transform(F.arrays_zip(F.col(values).alias("v"), F.col(counts).alias("c")), lambda b: (b["c"] > 0) & finite(b["v"]))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def points(seen: Column) -> Column:
+        every = F.transform(F.col(values), lambda v, i: F.when(F.get(seen, i), point(i, v)))
+        return F.filter(every, lambda p: p.isNotNull())
+
+    def wrapped(known: Column) -> Column:
+        first, last = F.get(known, 0), F.get(known, F.size(known) - 1)
+        around = F.concat(F.array(point(last["x"] - n, last["y"])), known, F.array(point(first["x"] + n, first["y"])))
+        return F.when(F.size(known) > 0, around).otherwise(known) if circular else known
+
+    def passed(seen: Column) -> Column:
+        """For each bin, how many points come before it; so a bin finds both neighbours at once."""
+        start = F.struct(F.lit(1 if circular else 0).alias("k"), F.array().cast("array<int>").alias("ks"))
+        step = lambda s, ok: F.struct((s["k"] + ok.cast("int")).alias("k"), F.array_append(s["ks"], s["k"]).alias("ks"))
+        return F.aggregate(seen, start, step, lambda s: s["ks"])
+
+    def filled(seen: Column, known: Column, before: Column) -> Column:
+        def value(v: Column, i: Column) -> Column:
+            k = F.get(before, i)
+            a, b = F.get(known, k - 1), F.get(known, k)
+            line = (b["y"] - a["y"]) / (b["x"] - a["x"]) * (i - a["x"]) + a["y"]
+            return F.when(F.get(seen, i), v.cast("double")).otherwise(F.coalesce(line, a["y"], b["y"], F.lit(0.0)))
+
+        return F.struct(F.transform(F.col(values), value).alias("filled"), F.transform(seen, lambda ok: ok.cast("float")).alias("observed"))
+
+    whole = _let(observed, lambda s: _let(points(s), lambda p: _let(wrapped(p), lambda w: _let(passed(s), lambda k: filled(s, w, k)))))
+    return df.withColumn("_whole", whole).withColumn(f"{values}_filled", F.col("_whole.filled")).withColumn(f"{values}_observed", F.col("_whole.observed")).drop("_whole")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normalize_view(values: Column, observed: Column, method: str = "depth") -> Column:
