@@ -103,7 +103,7 @@ def _segmented(spark, d):
 
 
 def _folded(spark, d):
-    """Normalised samples of each of their star's first signals."""
+    """Normalised samples of each of their star's signals."""
     known = signals(spark, d).select(
         "kepid", "kepoi_name", F.col("koi_period").alias("period"), F.col("koi_time0bk").alias("epoch"), F.col("koi_duration").alias("duration_hours"), F.col("koi_depth").alias("depth")
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +41,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def signals(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """The first few signals of each star."""
-    place = F.row_number().over(Window.partitionBy("kepid").orderBy("o_orderkey"))
-    return catalog(spark, sf_dir).withColumn("_k", place).filter(F.col("_k") <= most).drop("_k")
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal of each star."""
+    return catalog(spark, sf_dir)
