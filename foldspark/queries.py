@@ -19,6 +19,8 @@ from foldspark.plans import preprocess as prep
 from foldspark.sources.testdata import catalog, light_curve, signals, table
 
 GAP, WINDOW, POINTS, BINS, FACTOR = 1.0, 4.0, 3, 16, 1.5
+#: Stars in a field that is searched as one source.
+FIELD = 8
 LABELLED = ("kepid", "kepoi_name", "label", "label_name", "training_status", "exclusion_reason")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -649,8 +651,8 @@ def gaussian_noise(spark, d):
 
 
 def _fields(spark, d):
-    """Sixteen fields of many stars, so that each has samples enough to search."""
-    return _normalised(spark, d).withColumn("kepid", F.col("kepid") % 16)
+    """Fields of eight neighbouring stars, as one star's samples are too few to search; fields grow with the stars."""
+    return _normalised(spark, d).withColumn("kepid", F.floor(F.col("kepid") / FIELD).cast("long"))
 
 
 _SEARCH = SearchConfig(min_period_days=1.0, max_period_days=10.0, durations_hours=(6.0, 12.0), chunk=256)
