@@ -27,13 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import crc_of, map_rows, rows_of, sample_ids
+from foldspark.llm.common import crc_of, map_rows, rows_of, sample_ids, use_checkpoints
 
 #: Bytes in a window and between the starts of windows.
 WINDOW, STRIDE = 80, 64
-#: Documents of each class for the dictionaries and for the calibration, and characters of each that are learned from.
-FOR_DICTIONARY, FOR_CALIBRATION, LEARN_CHARS = 1000, 500, 20_000
+#: Documents of each class for the dictionaries and for the calibration; whole texts are learned from.
+FOR_DICTIONARY, FOR_CALIBRATION = 1000, 500
 DICTIONARY_BYTES, LEVEL = 24_000, 6
+#: Windows, evenly spaced over all texts, that the ordinary dictionary is trained on, or up to twice as many.
+FOR_TRAINER = 30_000
 #: Lengths of toxic stretches in bytes (the shortest is the compressor's least match), documents that must hold one, its
 #: most ordinary share in parts of its toxic one, times a document is covered, and a decoy's least ordinary share.
 SHORTEST, LONGEST, HOLDERS, ORDINARY_SHARE, COVERS, DECOY_SHARE = 6, 14, 4, 0.02, 8, 0.001
@@ -66,24 +68,22 @@ def _held(text: str, wanted: set[bytes] | None = None) -> set[bytes]:
     return {p for w in words for p in _parts(w, len(w) * 4) if p in wanted}
 
 
-def toxic_stretches(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+def toxic_stretches(held: list[set[bytes]], counts: dict[bytes, int], common: dict[bytes, int], ordinary: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """(stretches, decoys, stems): beginnings of words that part the classes, those of their parts that don't, and
     beginnings that toxic documents have more of.
 
+    ``held`` has the frequent beginnings of each toxic document, ``counts`` the toxic documents of each, ``common`` the
+    ordinary documents, of ``ordinary`` in all, that hold a part of them anywhere in a word.
+
     Stretches, least telling first, are chosen to cover each toxic document COVERS times. Ordinary words share parts
     with them, which the compressor may match; as decoys, these parts go into both dictionaries, so that only what a
     stretch has beyond them tells.
     """
-    held = [_held(t) for t in toxic]
-    counts = Counter(s for d in held for s in d)
-    often = {s for s, n in counts.items() if n >= HOLDERS}
-    parts = {s[i:j] for s in often for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1)}
-    common = Counter(s for t in ordinary for s in _held(t, parts))
-    telling = {s for s in often if common[s] * len(toxic) <= ORDINARY_SHARE * counts[s] * len(ordinary)}
+    telling = {s for s in counts if common.get(s, 0) * len(held) <= ORDINARY_SHARE * counts[s] * ordinary}
     chosen = _cover(held, telling, COVERS)
     sure = lambda n: n - 2 * n**0.5
-    stems = {s for s in often if len(s) <= SHORTEST + 2 and common[s] * len(toxic) <= STEM_SHARE * sure(counts[s]) * len(ordinary)}
-    shared = {s[i:j] for s in chosen for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1) if common[s[i:j]] > DECOY_SHARE * len(ordinary)}
+    stems = {s for s in counts if len(s) <= SHORTEST + 2 and common.get(s, 0) * len(held) <= STEM_SHARE * sure(counts[s]) * ordinary}
+    shared = {s[i:j] for s in chosen for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1) if common.get(s[i:j], 0) > DECOY_SHARE * ordinary}
     return chosen, sorted(p for p in shared if not any(p != q and p in q for q in shared)), _cover(held, stems, STEM_COVERS)
 
 
@@ -169,21 +169,98 @@ def calibrate(gains: np.ndarray, labels: np.ndarray, toxic_share: float, steps:
     return tuple(float(v) for v in w)
 
 
-def learn(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
-    """Dictionaries from the first FOR_DICTIONARY texts of each class, calibration from the rest (or all, if few)."""
+def learn(texts: DataFrame, order: list[list[int]], toxic_share: float) -> Model:
+    """Dictionaries from the first FOR_DICTIONARY texts of each class, calibration from the rest (or all, if few).
+
+    ``texts`` has (i, t), whole texts by id; ``order`` the ids of toxic and of ordinary ones. Words, windows and gains
+    are made on executors; the driver gets frequent beginnings, the trainer's windows and the gains.
+    """
+    toxic, ordinary = order
     if not toxic or not ordinary:
         share = min(max(toxic_share, 1e-9), 1 - 1e-9)
         return Model(b"", b"", b"", b"", (float(np.log(share / (1 - share))) if toxic or ordinary else -60.0, *[0.0] * FEATURES))
-    at = [max(1, len(t) * FOR_DICTIONARY // (FOR_DICTIONARY + FOR_CALIBRATION)) for t in (toxic, ordinary)]
-    seen = [p for t in ordinary[: at[1]] for p in windows(t) if p]
-    stretches, decoys, stems = toxic_stretches(toxic[: at[0]], ordinary[: at[1]])
+    at = [max(1, len(c) * FOR_DICTIONARY // (FOR_DICTIONARY + FOR_CALIBRATION)) for c in order]
+    first = [c[:n] for c, n in zip(order, at)]
+    held, counts = _frequent(texts, first[0])
+    common = _common(texts, first[1], {s[i:j] for s in counts for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1)})
+    stretches, decoys, stems = toxic_stretches(held, counts, common, len(first[1]))
     joined = lambda parts: b"".join(p + _APART for p in parts)
-    trained = _trained(seen)
+    trained = _trained(_spaced(texts, first[1]))
     plain, bare = joined(decoys) + trained, _without(trained, stems)
     model = Model(plain, joined(stretches) + plain, bare, joined(stems) + bare, (0.0,) * (1 + FEATURES))
     rest = [(toxic[at[0] :] or toxic, 1), (ordinary[at[1] :] or ordinary, 0)]
-    labels = np.concatenate([np.full(len(t), y) for t, y in rest])
-    return replace(model, weights=calibrate(model.gains(rest[0][0] + rest[1][0]), labels, toxic_share))
+    labels = np.concatenate([np.full(len(c), y) for c, y in rest])
+    return replace(model, weights=calibrate(_gains(texts, rest[0][0] + rest[1][0], model), labels, toxic_share))
+
+
+def _of(texts: DataFrame, ids: list[int]) -> DataFrame:
+    return texts.filter(F.col("i").isin([int(i) for i in ids]))
+
+
+def _frequent(texts: DataFrame, ids: list[int]) -> tuple[list[set[bytes]], dict[bytes, int]]:
+    """The beginnings of words that at least HOLDERS of these documents have: by document, and their documents' number."""
+
+    def rows(columns: list[list]) -> Iterator[tuple]:
+        for i, text in zip(*columns):
+            for s in _held(text):
+                yield i, s
+
+    found = map_rows(_of(texts, ids), rows, "i long, s binary", batch=16)
+    often = found.groupBy("s").agg(F.collect_list("i").alias("ids")).filter(F.size("ids") >= HOLDERS)
+    held: dict[int, set[bytes]] = {i: set() for i in ids}
+    counts = {}
+    for r in often.toLocalIterator():
+        s = bytes(r["s"])
+        counts[s] = len(r["ids"])
+        for i in r["ids"]:
+            held[i].add(s)
+    return [held[i] for i in ids], counts
+
+
+def _common(texts: DataFrame, ids: list[int], parts: set[bytes]) -> dict[bytes, int]:
+    """How many of these documents hold each of the parts anywhere in a word; parts of none are left out."""
+    shared = texts.sparkSession.sparkContext.broadcast(parts)
+
+    def rows(columns: list[list]) -> Iterator[tuple]:
+        found = Counter(s for text in columns[1] for s in _held(text, shared.value))
+        yield from found.items()
+
+    counted = map_rows(_of(texts, ids), rows, "s binary, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    return {bytes(r["s"]): r["n"] for r in counted.toLocalIterator()}
+
+
+def _spaced(texts: DataFrame, ids: list[int]) -> list[bytes]:
+    """Every so many windows of these documents, one after the other in this order, to about FOR_TRAINER in all."""
+
+    def sizes(columns: list[list]) -> Iterator[tuple]:
+        for i, text in zip(*columns):
+            yield i, len(windows(text)) if text else 0
+
+    found = {r["i"]: r["n"] for r in map_rows(_of(texts, ids), sizes, "i long, n long", batch=16).collect()}
+    begins, total = {}, 0
+    for i in ids:
+        begins[i], total = total, total + found[i]
+    step = max(1, total // FOR_TRAINER)
+
+    def rows(columns: list[list]) -> Iterator[tuple]:
+        for i, text in zip(*columns):
+            for k, window in enumerate(windows(text)[-begins[i] % step :: step] if text else []):
+                yield begins[i], k, window
+
+    made = map_rows(_of(texts, ids), rows, "i long, k long, w binary", batch=16).collect()
+    return [bytes(r["w"]) for r in sorted(made, key=lambda r: (r["i"], r["k"]))]
+
+
+def _gains(texts: DataFrame, ids: list[int], model: Model) -> np.ndarray:
+    """The gains of these documents, in this order."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def rows(columns: list[list]) -> Iterator[tuple]:
+        for i, gains in zip(columns[0], shared.value.gains(columns[1])):
+            yield i, gains.tolist()
+
+    found = {r["i"]: r["g"] for r in map_rows(_of(texts, ids), rows, "i long, g array<double>").collect()}
+    return np.array([found[i] for i in ids])
 
 
 def _without(content: bytes, stretches: list[bytes]) -> bytes:
@@ -198,20 +275,23 @@ def _without(content: bytes, stretches: list[bytes]) -> bytes:
 def _trained(samples: list[bytes]) -> bytes:
     """The ordinary dictionary's content; the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples[:: max(1, len(samples) // 30_000)], k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:
         return (b"".join(samples)[-DICTIONARY_BYTES:] or b" ").ljust(8)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from a bounded number of labelled documents and of characters of each."""
+    """Learn from the whole texts of a bounded number of labelled documents."""
     counts = {r[0]: r[1] for r in labels.dropna(subset=[label_col]).groupBy(label_col).count().collect()}
     picked = sample_ids(labels, id_col, label_col, FOR_DICTIONARY + FOR_CALIBRATION)
-    part = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, LEARN_CHARS)
-    found = rows_of(docs.select(F.col(id_col).alias("i"), part.alias("t")), "i", list(picked), "t").collect()
-    text_of = {r["id"]: r["t"] for r in found}
-    by_class = [[text_of[i] for i in picked if i in text_of and int(picked[i]) == y] for y in (1, 0)]
-    return learn(*by_class, counts.get(1, 0) / max(1, sum(counts.values())))
+    use_checkpoints(docs.sparkSession)
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = rows_of(docs.select(F.col(id_col).alias("i"), whole.alias("t")), "i", list(picked), "t")
+    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    texts = found.select(F.col("id").cast("long").alias("i"), "t").repartition(parts, "i").checkpoint()
+    there = {r["i"] for r in texts.select("i").collect()}
+    order = [[i for i in picked if i in there and int(picked[i]) == y] for y in (1, 0)]
+    return learn(texts, order, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
