@@ -7,8 +7,9 @@ by the triangle inequality each pair within the radius meets in one leaf. Inside
 own fingerprints, prunes in the same way down to small blocks that are compared exactly.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero and links like any other; equal
-fingerprints form one class before any search; repeated rows keep their rows; a null id gets the component of its
-fingerprint; other columns are ignored; an empty table gives an empty result.
+fingerprints form one class before any search; repeated rows keep their rows; components join fingerprints, never ids,
+so rows with a null id link by their text and rows that share an id but not their text stay apart; a component's id is
+its least id, null if all its ids are; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def pairs_within(stored: np.ndarray, asking: np.ndarray, radius: int) -> Iterato
 
 
 def link_fingerprints(classes: DataFrame, radius: int = 2, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """Edges (a, b) that span the components of classes (mark: the fingerprint, node: the class's least id).
+    """Edges (a, b) that span the components of classes (mark: the fingerprint, node: the class's number).
 
     Each leaf gives a star for each of its local components, never all pairs of a dense group.
     """
@@ -191,21 +192,42 @@ def link_fingerprints(classes: DataFrame, radius: int = 2, leaf: int = LEAF, sam
     return dealt.groupBy("shard").applyInPandas(match, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs."""
+def _settled(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, leaf: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, simhash) of each row; and (mark, root, component_id) of each fingerprint, root the component's least mark."""
     spark = docs.sparkSession
     use_checkpoints(spark)
     marked = with_fingerprints(docs, id_col, text_col, width).checkpoint()
-    classes = marked.groupBy(F.col("simhash").alias("mark")).agg(F.min("doc_id").alias("node")).checkpoint()
-    components = connected(link_fingerprints(classes.dropna(), radius, leaf, sample), spark)
-    settled = classes.join(components, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
+    classes = marked.groupBy(F.col("simhash").alias("mark")).agg(F.min("doc_id").alias("least")).checkpoint()
+    components = connected(link_fingerprints(classes.withColumn("node", F.col("mark")), radius, leaf, sample), spark)
+    rooted = classes.join(components, F.col("mark") == F.col("node"), "left").select("mark", "least", F.coalesce("component", "mark").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked, rooted.join(ids, "root").select("mark", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs."""
+    marked, settled = _settled(docs, id_col, text_col, width, radius, leaf, sample)
     return marked.join(settled, F.col("simhash") == F.col("mark"), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that are not the least id of their group; of rows that repeat an id, one row stays."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+    """One row of docs for each component: of its least id (null only if all are), then of the least text, then of the
+    least other columns."""
+    marked, settled = _settled(docs, id_col, text_col, width, radius, leaf, sample)
+    distinct = marked.groupBy("simhash", "doc_id").count()
+    least = distinct.join(settled, F.col("simhash") == F.col("mark")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = least.select("mark", F.col("doc_id").alias("_id"), "root")
+
+    @F.pandas_udf("long")
+    def mark_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([v - (1 << 64) if (v := fingerprint(t, width)) >> 63 else v for t in texts], dtype="int64")
+
+    rows = docs.withColumn("_mark", mark_of(F.col(text_col).cast("string")))
+    # A null id meets only null ids: as two keys that are never null.
+    same = (F.col("_mark") == F.col("mark")) & (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.coalesce("_id", F.lit(0))) & (F.col(id_col).isNull() == F.col("_id").isNull())
+    found = rows.join(chosen, same).select("root", *(F.col(c) for c in docs.columns))
+    others = [c for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
+    first = F.min_by(F.struct(*docs.columns), F.struct(text_col, *others))
+    return found.groupBy("root").agg(first.alias("_row")).select("_row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from foldspark.llm import toxicity
+from foldspark.llm import simhash_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +21,21 @@ def test_toxicity_learns_what_lies_late_in_a_text(spark):
     assert b" vilei" in model.toxic or b" grues" in model.toxic
     late, clean = model.scores([plain(9000) + " vileinsultish gruesomeslurry" * 3, plain(9000)])
     assert late > 0.5 > clean
+
+
+def test_near_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    rng = np.random.default_rng(3)
+    text = [" ".join(rng.choice(["red", "blue", "green", "sun", "moon", "tree", "sea"], 80)) for _ in range(7)]
+    a, b, c, d, e, f, g = text
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, e), (None, e), (9, f), (8, f), (8, f), (None, None), (None, ""), (3, g)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash_dedup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (5, c), (5, d), (7, e), (8, f), (None, None), (3, g)], key=str)
+    marks = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert marks[None, f"{simhash_dedup.fingerprint(e):016x}"] == 7 and marks[None, f"{simhash_dedup.fingerprint(a):016x}"] is None
+
+
+def test_a_null_id_links_two_documents_by_its_text(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "with_fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "n_chars AS simhash"))
+    docs = spark.createDataFrame([(1, "", None, None, 0b0), (None, "", None, None, 0b11), (2, "", None, None, 0b1111)], DOCS)
+    assert {r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()} == {1}
