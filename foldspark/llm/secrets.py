@@ -2,9 +2,10 @@
 
 The patterns give the base spans. The random field tags tokens as begin, inside or outside of a secret, from the shape
 of the token and its neighbours, the words and marks before it, and features of the whole file, and is decoded by
-Viterbi. A token that is a plain word or mark can't be part of a secret by itself, so decoding whole stretches around
-the other tokens gives the same tags as decoding the whole text. Its spans are added, as kind ``secret``, where they
-overlap no base span. It is trained at the start on generated lines, as no table marks secrets.
+Viterbi. Candidates are long mixed tokens anywhere, and, near an announcing word or with a known prefix, any token or run
+of joined tokens of six or more characters. Another word can't be part of a secret by itself, so decoding whole
+stretches around the candidates gives the same tags as decoding the whole text. Its spans are added, as kind ``secret``,
+where they overlap no base span. It is trained at the start on generated lines, as no table marks secrets.
 
 Edge cases: a null or empty text has no spans; repeated rows keep their rows; a null id stays null; other columns are
 ignored by the scan and kept by the redaction. Offsets are code points.
@@ -38,11 +39,23 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/.~-]+|[^\sA-Za-z0-9_+/.~-]")
-#: Tokens that may be part of a secret: twelve or more characters with a letter and a digit.
+#: Tokens that may be part of a secret unannounced: twelve or more characters with a letter and a digit.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*[0-9])(?=[0-9_+/.~-]*[A-Za-z])[A-Za-z0-9_+/.~-]{12,}")
 #: Words that announce a secret, and prefixes of well-known kinds of keys: fixed values, in lower case.
 WORDS = ("password", "passwd", "pwd", "pass", "secret", "token", "key", "apikey", "auth", "bearer", "credential", "private")
 PREFIXES = ("sk_", "pk_", "ghp_", "gho_", "glpat-", "xox", "eyj", "aiza", "akia", "asia")
+#: Announced tokens, or runs of joined ones, may be secrets from so many characters on, so many tokens after the word.
+SHORT, NEAR = 6, 3
+_ANNOUNCES = re.compile("pass|pwd|secret|token|key|auth|bearer|credential|private", re.IGNORECASE | re.ASCII)
+_PREFIXED = re.compile(rf"(?<![A-Za-z0-9_+/.~-])(?:{'|'.join(PREFIXES)})[A-Za-z0-9_+/.~-]*", re.IGNORECASE | re.ASCII)
+_SPACE = re.compile(r"\s")
+#: Marks that stand around a value rather than in it.
+_AROUND_VALUE = frozenset("=:\"'`()[]{}<>,;")
+#: Pairs of letters that are common in words.
+_PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr "
+    "ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei".split()
+)
 
 
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -82,9 +95,38 @@ def file_features(text: str) -> list[str]:
     return [f"file marks{min(4, int(8 * marks / (lines + len(text) / 80)))}", f"file long{len(text) > 2000}"]
 
 
-def token_features(tokens: list[str], at: int, shared: list[str]) -> list[str]:
-    """Names of the features of one token."""
+def _announced(tokens: list[re.Match]) -> list[bool]:
+    """Which tokens may be secrets as an announcing word or a prefix says so: of SHORT characters, or in a run that is."""
+    names = [m.group() for m in tokens]
+    out = [len(t) >= SHORT and t.lower().startswith(PREFIXES) for t in names]
+    last = -NEAR - 1
+    k = 0
+    while k < len(names):
+        end = k + 1
+        if k - last <= NEAR and names[k] not in _AROUND_VALUE:
+            # The run of joined tokens to the next space or mark around it.
+            while end < len(names) and tokens[end].start() == tokens[end - 1].end() and names[end] not in _AROUND_VALUE:
+                end += 1
+            if tokens[end - 1].end() - tokens[k].start() >= SHORT:
+                out[k:end] = [True] * (end - k)
+        for j in range(k, end):
+            if _ANNOUNCES.search(names[j]):
+                last = j
+        k = end
+    return out
+
+
+def _odd_pairs(token: str) -> int:
+    """How many of ten pairs of neighbouring letters are uncommon in words."""
+    letters = [a + b for a, b in zip(token.lower(), token.lower()[1:]) if a.isalpha() and b.isalpha()]
+    return int(10 * sum(p not in _PAIRS for p in letters) / len(letters)) if letters else 0
+
+
+def token_features(tokens: list[str], at: int, shared: list[str], announced: bool = False, joined: bool = False) -> list[str]:
+    """Names of the features of one token, which may be announced and joined to the one before it."""
     token = tokens[at]
+    if announced and not is_candidate(token):
+        return _announced_features(tokens, at, joined)
     if not is_candidate(token):
         return ["plain", f"plain {token}" if len(token) == 1 else "plain word"]
     lower = token.lower()
@@ -105,6 +147,23 @@ def token_features(tokens: list[str], at: int, shared: list[str]) -> list[str]:
     return made + shared
 
 
+def _announced_features(tokens: list[str], at: int, joined: bool) -> list[str]:
+    """The features of an announced token that would be no candidate by itself."""
+    token, lower = tokens[at], tokens[at].lower()
+    mark = next((t for t in tokens[max(0, at - 2) : at][::-1] if t in _AROUND_VALUE), "")
+    words = [next((w.group().lower() for w in [_ANNOUNCES.search(t)] if w), "") for t in tokens[max(0, at - NEAR) : at]]
+    by = next((w for w in words[::-1] if w), "")
+    whole = next((t.lower() in WORDS or t.lower().endswith(("_" + w, "-" + w)) for t, w in list(zip(tokens[max(0, at - NEAR) : at], words))[::-1] if w), False)
+    shape, letters = _shape(token), sum(c.isalpha() for c in token)
+    kind = "mark" if len(token) == 1 and not token.isalnum() else "letters" if letters == len(token) else "digits" if token.isdigit() else "mixed"
+    odd = min(_odd_pairs(token) // 2, 3)
+    start = "joined" if joined else "after mark" if mark else "after word"
+    return [
+        "announced candidate", f"short {kind} {start}", f"short {kind} {start} odd{odd}", f"short {kind} {start} by {by} {whole}", f"short {kind} {start} whole{whole} odd{odd}", f"short shape {shape}",
+        f"short length {min(len(token) // 3, 6)} {kind}", f"short mark {mark}", f"short prefix {lower.startswith(PREFIXES)} {kind}", f"short title {token.istitle()} {start}",
+    ]
+
+
 class Chain:
     """Weights of (tag, feature) and of pairs of tags."""
 
@@ -210,16 +269,56 @@ def _generated(count: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             yield lead + rng.choice(["", "see ", "id=", "ref: ", "\"", "(", "key "]) + clean() + tail, []
 
 
+def _announced_lines(count: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Lines with announcing words: with short or broken secrets after them, and with ordinary words and numbers."""
+    rng = random.Random(5)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    low, num = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = low + low.upper() + num
+    prose = (
+        "features people through between government companies service protected required economy decided garden national example however different important information school "
+        "management families children development question problem community international university percent building research history position without another because should before "
+        "points players factors element holder reason market release message section minutes century military property investors sector equity tickets changed updated signature "
+        "words board away over into under with from that this were have been their which after about would there other could first years where these around during against"
+    ).split()
+    said = lambda a, b: " ".join(rng.choice(prose) for _ in range(rng.randint(a, b)))
+
+    def value() -> str:
+        return rng.choice([
+            lambda: pick(mixed, rng.randint(5, 14)) + pick(num, 1), lambda: pick(low + num, rng.randint(5, 10)) + pick(num, 1), lambda: pick(num, rng.randint(6, 14)), lambda: pick(low, rng.randint(8, 24)),
+            lambda: pick(mixed[:52], rng.randint(7, 24)), lambda: "".join(pick(mixed, rng.randint(1, 5)) + rng.choice("!@#$%^&*?") for _ in range(rng.randint(2, 4))) + pick(mixed, rng.randint(1, 4)),
+            lambda: low[rng.randint(0, 9) :][: rng.randint(8, 16)],
+        ])()
+
+    for _ in range(count):
+        lead, tail = rng.choice(["", said(1, 6) + " "]), rng.choice(["", " " + said(1, 6), "\n" + said(1, 3)])
+        if rng.random() < 0.5:
+            name = rng.choice(["pwd", "pass", "db_pass", "user_pwd", "key", "private_key", "auth", "credential", "Pwd", "PASS", "access_key", "private key", "passphrase", "bearer"])
+            head = rng.choice([f"{name}: ", f"{name}=", f"{name} = ", f"{name}:", f"{name}: \"", f"{name}='", f"\"{name}\": \"", "Authorization: Bearer ", "Bearer ", "bearer ", "Bearer "])
+            found = value()
+            close = head[-1] if head[-1] in "\"'" else ""
+            yield lead + head + found + close + tail, [(len(lead + head), len(lead + head + found))]
+        else:
+            name = rng.choice(["key", "pass", "token", "private", "secret", "password", "auth", "author", "authors", "authority", "passed", "passing", "passage", "passenger", "keyboard", "keys", "keywords", "bearer", "monkey", "tokens", "Key", "Private", "secretary", "credentials"])
+            after = rng.choice([
+                lambda: " " + said(2, 5), lambda: ", " + said(2, 4), lambda: ". " + said(1, 3).title(), lambda: " (" + said(1, 3) + ")", lambda: " is " + said(1, 3), lambda: " of the " + said(1, 3), lambda: f" in {rng.randint(1900, 2030)} " + said(1, 3),
+                lambda: f" {pick(num, 3)},{pick(num, 3)} " + said(1, 2), lambda: f" {said(1, 1)}-{said(1, 1)} " + said(1, 2), lambda: f" {said(1, 1)}'s " + said(1, 2), lambda: f" {said(1, 1)}, {said(1, 1)}. {said(1, 1)}", lambda: ": " + said(1, 1) + " " + said(1, 3),
+                lambda: " " + said(1, 1).title() + " " + said(1, 2).title(), lambda: f": {said(1, 1)}, {said(1, 1)}",
+                lambda: f" {said(1, 1)}.{pick(num, 2)}@mail{pick(num, 1)}.example.com{rng.choice(['', '###', '&&&', '***'])}", lambda: f" {said(4, 5)} {said(1, 1)}{pick('#&%*!', 1) * 3} {said(1, 1)}.{pick(num, 2)}@mail{pick(num, 1)}.example.com{rng.choice(['', '###', '&&&', '%%%'])}",
+            ])()
+            yield lead + name + after + tail, []
+
+
 def _stretch(tokens: list[re.Match], shared: list[str]) -> list[list[str]]:
-    names = [m.group() for m in tokens]
-    return [token_features(names, k, shared) for k in range(len(names))]
+    names, near = [m.group() for m in tokens], _announced(tokens)
+    return [token_features(names, k, shared, near[k], k > 0 and tokens[k - 1].end() == m.start() and names[k - 1] not in _AROUND_VALUE) for k, m in enumerate(tokens)]
 
 
 @functools.lru_cache(maxsize=1)
 def train(examples: int = EXAMPLES) -> Chain:
     chain, past = Chain(), {}
     made = []
-    for text, spans in _generated(examples):
+    for text, spans in (*_generated(examples), *_announced_lines(2 * examples)):
         tokens = list(_TOKEN.finditer(text))
         truth = [OUT] * len(tokens)
         for begin, end in spans:
@@ -234,13 +333,34 @@ def train(examples: int = EXAMPLES) -> Chain:
     return chain
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """The bounds around each candidate, in order of their beginnings."""
+    out = [(max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)) for m in (*_CANDIDATE.finditer(text), *_PREFIXED.finditer(text)) if m.end() - m.start() >= SHORT]
+    own = space = -1
+    for m in _ANNOUNCES.finditer(text):
+        # Words in one token announce the same; each search for a space begins beyond the one before.
+        if m.end() > own:
+            own = end = _token_end(text, m.end() - 1)
+            for _ in range(NEAR):
+                end = _token_end(text, end)
+            if end > space:
+                found = _SPACE.search(text, end)
+                space = found.start() if found else len(text)
+            out.append((max(0, m.start() - AROUND // 2), space))
+    return sorted(out)
+
+
+def _token_end(text: str, begin: int) -> int:
+    token = _TOKEN.search(text, begin)
+    return token.end() if token else len(text)
+
+
 def _stretches(text: str) -> Iterator[list[re.Match]]:
     """The tokens around each candidate; stretches that meet are one."""
     begin = end = None
-    for found in _CANDIDATE.finditer(text):
-        low, high = max(0, found.start() - AROUND), min(len(text), found.end() + AROUND)
+    for low, high in _places(text):
         if begin is not None and low <= end:
-            end = high
+            end = max(end, high)
             continue
         if begin is not None:
             yield list(_TOKEN.finditer(text, begin, end))
@@ -252,7 +372,7 @@ def _stretches(text: str) -> Iterator[list[re.Match]]:
 def all_spans(text: str | None, chain: Chain) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans)."""
     base = base_spans(text)
-    if not text or not _CANDIDATE.search(text):
+    if not text:
         return base, base
     shared, added = file_features(text), []
     for tokens in _stretches(text):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from foldspark.llm import simhash_dedup, toxicity
+from foldspark.llm import secrets, simhash_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,3 +40,15 @@ def test_a_null_id_links_two_documents_by_its_text(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "with_fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "n_chars AS simhash"))
     docs = spark.createDataFrame([(1, "", None, None, 0b0), (None, "", None, None, 0b11), (2, "", None, None, 0b1111)], DOCS)
     assert {r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect()} == {1}
+
+
+@pytest.mark.parametrize(("text", "secret"), [
+    ("pwd: Xk29fj2a", "Xk29fj2a"), ("Authorization: Bearer abcdefghijklmnop", "abcdefghijklmnop"), ("pass = 4829173650 end", "4829173650"), ("pwd=\"P@ssw0rd!x9\"", "P@ssw0rd!x9"), ("the db_pass: qZ7!k2@Lm9 was set", "qZ7!k2@Lm9"),
+])
+def test_announced_secrets_need_no_length_or_mixture(text, secret):
+    assert secrets.redacted(text, secrets.train()) == text.replace(secret, secrets.REDACTED)
+
+
+@pytest.mark.parametrize("text", ["the key features of the private companies", "A boarding pass through security, the author decided", "They passed another national question in 1999."])
+def test_announcing_words_in_prose_hide_nothing(text):
+    assert secrets.redacted(text, secrets.train()) == text
