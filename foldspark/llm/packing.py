@@ -1,13 +1,15 @@
 """Packing of tokenised documents into sequences by swap-based local search (operator 5).
 
 Documents are tokenised where they are read; only (document, piece, length) rows are shuffled, dealt by hash to groups
-of bounded size. A group is packed by best fit over descending lengths. Then a local search tries to empty the least
-filled bins: it moves a document to a bin that has room, exchanges one for one, two for one or one for two, always
-towards a greater sum of squared fills. As a group has thousands of pieces, parting the corpus costs at most one
-underfull bin a group.
-
-Edge cases: a null or empty text is the end id alone; repeated rows are packed as documents of their own; a null id
-stays null; other columns are ignored; an empty table gives an empty result.
+of bounded size. A group starts from a plain fill in order of arrival. The local search then works on its least filled
+bin: it moves a document to another underfull bin that has room, or exchanges one for one, two for one or one for two,
+always towards a greater sum of squared fills, until the bin is empty or no step is left; then it takes up the next
+one, until no bin of the group allows a step or the free room of the others can't hold the least filled one. As a group
+has thousands of pieces, parting the corpus costs at most one underfull bin a group.
+
+Edge cases: a null or empty text is the end id alone; a very long text is cut into full pieces and a rest; repeated rows
+are packed as documents of their own, dealt to groups by a copy number; of equal lengths the earlier row is taken; a null
+id stays null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,26 +29,43 @@ from tokenizers import Tokenizer, normalizers
 from foldspark.llm.common import map_rows
 
 CAPACITY, END_ID = 2048, 0
-#: Documents in a group, and underfull bins that a group tries to empty.
-GROUP_DOCS, TRIES = 8192, 64
-#: Stretches whose ids a Python worker remembers at most; beyond this it starts afresh.
+#: Documents in a group.
+GROUP_DOCS = 4096
+#: Stretches and words whose ids a Python worker remembers at most; beyond this it starts afresh.
 REMEMBERED = 600_000
 #: Characters for which lower-casing and normal form C act on each alone, whatever the library's Unicode version.
 _SIMPLE = re.compile("[^\t\n\r -~\xa0-˿Ѐ-ԯ]|<\\|")
+#: The tokenizer's pattern of words (a fixed value), and the same in Python for the characters above.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, others follow."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 class WordTokenizer:
-    """The ids of texts, remembered by stretches between white space where the tokenizer treats these apart."""
+    """The ids of texts, remembered by stretches between white space where the tokenizer treats these apart.
+
+    A new stretch is cut into the tokenizer's words here, so that the library only merges words that are new as well.
+    Where the definition isn't of this make, or a text has other characters, the library reads the whole text.
+    """
 
     def __init__(self, definition: str):
         self.whole = Tokenizer.from_str(definition)
         self.inner = None
         parsed = json.loads(definition)
         steps = [s["type"] for s in (parsed.get("normalizer") or {}).get("normalizers", [])]
-        cut = ((parsed.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        if steps == ["NFC", "Replace", "Lowercase"] and cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert"):
-            self.inner = Tokenizer.from_str(definition)
-            self.inner.normalizer = normalizers.Sequence([])
+        cuts = (parsed.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        cut = {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
+        letters = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        like = len(cuts) == 2 and cuts[0] == cut and letters.items() <= cuts[1].items()
+        if steps == ["NFC", "Replace", "Lowercase"] and like and not parsed["model"].get("dropout"):
+            self.inner = Tokenizer.from_str(json.dumps(parsed | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
@@ -55,14 +74,21 @@ class WordTokenizer:
         split = [t.lower().split() if s else [] for t, s in zip(texts, simple)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            made = self.inner.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, made))
+        new = set().union(*split).difference(self.known)
+        mixed = {w: _WORD.findall(w) for w in new if not w.isalpha()}
+        self._learn(list(new.difference(mixed).union(*mixed.values()).difference(self.known)))
         find = self.known.__getitem__
+        self.known.update({w: b"".join(map(find, parts)) for w, parts in mixed.items()})
         return [b"".join(map(find, words)) if s else self._encode(t) for t, s, words in zip(texts, simple, split)]
 
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            made = self.inner.encode([w if w.isascii() else "".join(self.letters[b] for b in w.encode()) for w in part], is_pretokenized=True, add_special_tokens=False)
+            ends = (4 * np.cumsum(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
+            ids = array("I", made.ids).tobytes()
+            self.known.update(zip(part, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+
     def _encode(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -92,101 +118,126 @@ def cut_pieces(tokenized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return pieces.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), (F.octet_length(part) / 4).cast("long").alias("length"), part.alias("ids"))
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """A bin for each length: longest first, each into the fullest bin that has room."""
-    bins = np.empty(len(lengths), dtype=np.int64)
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = count = 0
-    for k in np.argsort(-lengths, kind="stable").tolist():
-        length = int(lengths[k])
-        fits = rooms >> length
-        if fits:
-            room = length + (fits & -fits).bit_length() - 1
-            chosen = by_room[room].pop()
-            if not by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, chosen = capacity, count
-            count += 1
-        bins[k] = chosen
-        left = room - length
-        if left:
-            by_room[left].append(chosen)
-            rooms |= 1 << left
-    return bins
-
-
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, tries: int = TRIES) -> np.ndarray:
-    """The bins after a local search that empties some of the ``tries`` least filled ones."""
+def next_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """A bin for each length in order of arrival: the last bin if it has room, else a new one."""
+    bins, room, last = [], 0, -1
+    for length in lengths.tolist():
+        if length > room:
+            last, room = last + 1, capacity
+        room -= length
+        bins.append(last)
+    return np.array(bins, dtype=np.int64)
+
+
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """The bins after the local search, numbered from 0 without gaps.
+
+    Each step raises the sum of squared fills, so the search ends. It stops early only where the least filled bin
+    holds more than the room of all others, so that no bin can be emptied.
+    """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    for source in np.argsort(fill, kind="stable")[:tries].tolist():
-        if (capacity - fill).sum() - (capacity - fill[source]) < fill[source]:
-            break
-        while fill[source]:
-            step = _best_step(lengths, bins, fill, capacity, source)
-            if step is None:
+    moved = True
+    while moved:
+        moved = False
+        waiting = fill > 0
+        while waiting.any():
+            source = int(np.where(waiting, fill, capacity + 1).argmin())
+            waiting[source] = False
+            if fill[source] == capacity:
                 break
-            out, back, target = step
-            bins[out], bins[back] = target, source
-            gain = int(lengths[out].sum() - lengths[back].sum())
-            fill[target] += gain
-            fill[source] -= gain
+            if fill[source] == fill[fill > 0].min() and (capacity - fill[fill > 0]).sum() - (capacity - fill[source]) < fill[source]:
+                return np.unique(bins, return_inverse=True)[1]
+            while fill[source] and (step := _best_step(lengths, bins, fill, capacity, source)):
+                out, back, target = step
+                bins[out], bins[back] = target, source
+                gain = int(lengths[out].sum() - lengths[back].sum())
+                fill[target] += gain
+                fill[source] -= gain
+                moved = True
     return np.unique(bins, return_inverse=True)[1]
 
 
 def _best_step(lengths, bins, fill, capacity, source):
-    """(documents that leave the source, documents that come back, other bin) of the step with the greatest gain."""
+    """(documents that leave the source, documents that come back, other bin) of a step, None if there is none.
+
+    The first kind of step that exists is taken: a move of the longest document that fits anywhere, into the fullest
+    such bin; else the exchange of one for one, two for one or one for two that takes most from the source.
+    """
     own = np.flatnonzero(bins == source)
-    room = capacity - fill
-    room[source] = -1
-    for k in own[np.argsort(-lengths[own])]:
-        open_bins = np.flatnonzero((room >= lengths[k]) & (fill + lengths[k] > fill[source]) & (fill > 0))
-        if len(open_bins):
-            return np.array([k]), own[:0], int(open_bins[np.argmin(room[open_bins])])
-    others = np.flatnonzero(room[bins] > 0)
+    own = own[np.argsort(lengths[own], kind="stable")]
+    sizes = lengths[own]
+    room = np.where(fill > 0, capacity - fill, 0)
+    room[source] = 0
+    # A gain must make the other bin fuller than the source is now.
+    least = np.maximum(1, fill[source] - fill + 1)
+    room[room < least] = 0
+    fitting = int(np.searchsorted(sizes, room.max(), side="right"))
+    for k in range(fitting - 1, -1, -1):
+        fits = np.flatnonzero((room >= sizes[k]) & (sizes[k] >= least))
+        if len(fits):
+            return own[k : k + 1], own[:0], int(fits[room[fits].argmin()])
+    others = np.flatnonzero(room[bins])
     if not len(others):
         return None
-    best = (0, None)
-
-    def consider(out: np.ndarray, back: np.ndarray, targets: np.ndarray, sums: np.ndarray) -> None:
-        nonlocal best
-        gain = int(lengths[out].sum()) - sums
-        allowed = (gain > 0) & (gain <= room[targets]) & (fill[targets] + gain > fill[source])
-        if allowed.any():
-            k = int(np.argmax(np.where(allowed, gain, -1)))
-            if gain[k] > best[0]:
-                best = (int(gain[k]), (out, np.atleast_1d(back[k]), int(targets[k])))
-
-    for i, k in enumerate(own):
-        consider(np.array([k]), others, bins[others], lengths[others])
-        for m in own[i + 1 :]:
-            consider(np.array([k, m]), others, bins[others], lengths[others])
-    order = others[np.argsort(bins[others], kind="stable")]
-    same = bins[order[1:]] == bins[order[:-1]]
-    twos = np.stack([order[:-1][same], order[1:][same]], axis=1)
-    if len(twos):
-        for k in own:
-            consider(np.array([k]), twos, bins[twos[:, 0]], lengths[twos].sum(axis=1))
-    return best[1]
+    there, back = bins[others], lengths[others]
+    most, need = room[there], least[there]
+
+    def greatest(gain: np.ndarray, allowed: np.ndarray) -> tuple[int, int]:
+        gain = np.where(allowed & (gain <= most) & (gain >= need), gain, 0)
+        k = int(gain.argmax())
+        return int(gain[k]), k
+
+    # One for one: for each document elsewhere the longest own one that its bin can take instead.
+    at = np.searchsorted(sizes, back + most, side="right") - 1
+    gain, k = greatest(sizes[at] - back, at >= 0)
+    if gain:
+        return own[at[k] : at[k] + 1], others[k : k + 1], int(there[k])
+    # Two for one: with each own document the longest other own one that fits beside it.
+    best, found = 0, None
+    for i, first in enumerate(sizes[:-1]):
+        pair = np.searchsorted(sizes[i + 1 :], back + most - first, side="right") + i
+        gain, k = greatest(first + sizes[pair] - back, pair > i)
+        if gain > best:
+            best, found = gain, (own[[i, pair[k]]], others[k : k + 1], int(there[k]))
+    if best:
+        return found
+    # One for two: with each document elsewhere the shortest other one of its bin that makes enough room.
+    order = np.lexsort((back, there))
+    others, there, back, most, need = others[order], there[order], back[order], most[order], need[order]
+    base = there * (2 * capacity + 2)
+    for i in range(len(sizes)):
+        second = np.searchsorted(base + back, base + np.clip(sizes[i] - most - back, 0, capacity + 1))
+        second += second == np.arange(len(others))
+        inside = second < len(others)
+        second = np.minimum(second, len(others) - 1)
+        gain, k = greatest(sizes[i] - back - back[second], inside & (there[second] == there))
+        if gain > best:
+            best, found = gain, (own[i : i + 1], others[[k, second[k]]], int(there[k]))
+    return found
 
 
 def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with their sequence_id and offset.
 
-    ``n_docs`` sets the number of groups; a group packs alone, so none grows with the corpus.
+    ``n_docs`` sets the number of groups; a group packs alone, so none grows with the corpus. Equal rows are counted
+    before the shuffle and then told apart by a number, which spreads them over the groups.
     """
     groups = max(1, -(-n_docs // group_docs))
 
     def fill_bins(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        # The order of arrival is that of a hash, so that it depends on the rows alone.
+        group = group.sort_values(["mix", "doc_id", "piece", "ids_crc32", "copy"], kind="stable", ignore_index=True)
         lengths = group["length"].to_numpy()
-        bins = improve(lengths, best_fit(lengths, capacity), capacity)
+        bins = improve(lengths, next_fit(lengths, capacity), capacity)
         group["sequence_id"] = (int(group["part"].iloc[0]) << 32) + bins
         group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
-        return group.drop(columns="part")
+        return group.drop(columns=["part", "mix", "copy"])
 
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    alike = pieces.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    single = alike.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    mixed = single.withColumn("mix", F.xxhash64("doc_id", "piece", "ids_crc32", "copy"))
+    dealt = mixed.withColumn("part", F.pmod("mix", F.lit(groups)))
     return dealt.groupBy("part").applyInPandas(fill_bins, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -202,11 +202,58 @@ def test_packing_is_whole_and_tight(spark, docs, texts):
     assert len(by_sequence) <= 1.01 * -(-sum(r["length"] for r in got) // 2048) + 1
 
 
-def test_local_search_empties_bins_that_best_fit_leaves():
-    lengths = np.array([6, 6, 4, 4, 4, 5, 5, 3, 3])
-    first = packing.best_fit(lengths, 10)
-    better = packing.improve(lengths, first, 10)
-    assert np.bincount(better, weights=lengths).max() <= 10 and better.max() <= first.max() and better.max() + 1 == 4
+def exhaustive_bins(lengths, capacity):
+    """The least number of bins, by trying every assignment."""
+    import itertools
+
+    for count in range(1, len(lengths) + 1):
+        for way in itertools.product(range(count), repeat=len(lengths)):
+            if np.bincount(way, weights=lengths).max() <= capacity:
+                return count
+
+
+def test_local_search_is_near_the_best_of_all_packings():
+    rng = np.random.default_rng(7)
+    over = 0
+    for _ in range(25):
+        lengths = rng.integers(1, 11, 7)
+        made = packing.improve(lengths, packing.next_fit(lengths, 10), 10)
+        assert np.bincount(made, weights=lengths).max() <= 10
+        over += made.max() + 1 - exhaustive_bins(lengths, 10)
+    assert over <= 2
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "thirds"])
+def test_local_search_empties_bins_at_group_size(kind):
+    rng = np.random.default_rng(8)
+    n = packing.GROUP_DOCS
+    lengths = np.clip(rng.lognormal(5.5, 1, n), 1, 2048).astype(int) if kind == "lognormal" else rng.integers(400, 900, n // 2)
+    first = packing.next_fit(lengths, packing.CAPACITY)
+    better = packing.improve(lengths, first, packing.CAPACITY)
+    fill, least = np.bincount(better, weights=lengths), -(-lengths.sum() // packing.CAPACITY)
+    assert fill.max() <= packing.CAPACITY and fill.min() > 0
+    assert first.max() + 1 > 1.15 * least and better.max() + 1 <= 1.005 * least + 1
+    squares = lambda bins: (np.bincount(bins, weights=lengths) ** 2).sum()
+    assert squares(better) > squares(first)
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    rows = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "700L AS length", "5L AS ids_crc32")
+    got = packing.pack(rows, 400, group_docs=50).collect()
+    assert len(got) == 400 and len({r["sequence_id"] >> 32 for r in got}) == 8
+    assert len({r["sequence_id"] for r in got}) <= 200 + 8 and {r["offset"] for r in got} == {0, 700}
+
+
+def test_words_of_the_tokenizer_are_cut_alike():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        fast = packing.WordTokenizer(file.read())
+    assert fast.inner is not None
+    texts = ["don't stop'sir 'll...'s x", "½²3 a_b __ 12ab", "ÄÖ été, Ночь №", "a\xa0b\tc", "҃а҄ x", "<|endoftext|> ok", "ªº µ", "!!!idiot??", "it's 10'000.50", "\x00 x", "ﬁ ligature", ""]
+    for block in (texts, texts[::-1]):
+        got = fast.encode_block(block)
+        assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in block]
 
 
 # Fingerprints.
