@@ -2,37 +2,63 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: in the folder of spark.checkpoint.dir, or a temporary one where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldspark-"))
+#: Bytes of text in a block of rows; a longer text is a block of its own.
+BLOCK_BYTES = 8_000_000
 
 
-def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterator[tuple]], schema: str, batch: int = 512) -> DataFrame:
-    """Apply ``rows`` to blocks of at most ``batch`` rows, given as lists by column; it yields output tuples.
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable, in the folder of spark.checkpoint.dir.
 
-    A block is one Arrow slice, so a task holds one block of Python objects at a time.
+    Only a local session, whose tasks share the driver's disk, gets a temporary folder where none is set.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foldspark-"))
+
+
+def blocks_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows, with at most ``size`` bytes of text unless a single row has more."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+        end = min(at + rows, max(at + 1, fits), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterator[tuple]], schema: str, batch: int = 512, size: int = BLOCK_BYTES) -> DataFrame:
+    """Apply ``rows`` to blocks of at most ``batch`` rows and ``size`` bytes, given as lists by column; it yields output tuples.
+
+    A block is one Arrow slice, so a task holds one block of Python objects at a time, whatever the texts' lengths.
     """
     struct = T.StructType.fromDDL(schema)
     out = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                part = whole.slice(at, batch)
+            for part in blocks_of(whole, batch, size):
                 made = list(rows([c.to_pylist() for c in part.columns]))
                 columns = list(zip(*made)) if made else [()] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
@@ -40,6 +66,25 @@ def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterator[tuple]], schem
     return df.mapInArrow(run, struct)
 
 
+def union_of(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """The begins and the ends of the stretches that (kind, begin, end) spans cover together, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, begin, end in sorted(spans, key=lambda s: s[1]):
+        if ends and begin <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            begins.append(begin)
+            ends.append(end)
+    return begins, ends
+
+
+def touches(union: tuple[list[int], list[int]], begin: int, end: int) -> bool:
+    """Whether a span overlaps the union of others."""
+    k = bisect.bisect_left(union[0], end) - 1
+    return k >= 0 and union[1][k] > begin
+
+
 def crc_of(doc_id) -> F.Column:
     """crc32 of an id's decimal text; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -51,18 +96,28 @@ def crc_text(doc_id: int) -> int:
 
 
 def sample_ids(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> dict[int, object]:
-    """At most ``per_class`` ids of each class, in the order of a hash; the driver gets only these ids.
+    """At most ``per_class`` ids of each class, in the order of a hash; the driver gets no more than twice as many.
 
-    The choice depends on the ids alone, so it does not change with the layout of the input.
+    Two passes over two columns, whatever the number of classes: one counts, one keeps each class's least hashes. The
+    choice depends on the ids alone, so it does not change with the layout of the input.
     """
     light = rows.select(F.col(id_col).alias("id"), F.col(class_col).alias("class")).dropna()
     counts = {r["class"]: r["count"] for r in light.groupBy("class").count().collect()}
-    order = F.xxhash64("id", F.lit("sample"))
+    if not counts:
+        return {}
+    mixed = light.withColumn("order", F.xxhash64("id", F.lit("sample")))
+    below = F.lit(None).cast("long")
+    for value, count in counts.items():
+        # Of many ids, about 1.5 times as many as are wanted fall below the limit; repeated ids make it fewer.
+        share = min(1.0, 1.5 * per_class / count + 20.0 / count)
+        below = F.when(F.col("class") == F.lit(value), F.lit(int(min(2**63 - 1, -(2**63) + share * 2**64)))).otherwise(below)
+    found = mixed.filter(F.col("order") <= below).distinct().collect()
     picked: dict[int, object] = {}
-    for value in sorted(counts, key=str):
-        # Distinct ids first would shuffle every id; repeated ids only make the sample smaller.
-        chosen = light.filter(F.col("class") == F.lit(value)).orderBy(order, "id").limit(per_class).collect()
-        picked |= {r["id"]: r["class"] for r in chosen}
+    taken = dict.fromkeys(counts, 0)
+    for r in sorted(found, key=lambda r: (str(r["class"]), r["order"], r["id"])):
+        if taken[r["class"]] < per_class:
+            taken[r["class"]] += 1
+            picked[r["id"]] = r["class"]
     return picked
 
 

@@ -2,13 +2,14 @@
 
 The patterns give the base spans. The random field reads the stretches of words that hold a digit or an ``@``: it
 scores whole candidate segments by features that only a whole span has (digits, checksum, grouping, separators, edges),
-and a dynamic program over segments of at most MAX_ATOMS atoms chooses boundaries and kinds together. So it parts, for
+and a dynamic program over segments of at most LONGEST atoms of their kind chooses boundaries and kinds together. So it parts, for
 instance, a phone number from the card number beside it, where a greedy pattern runs over both and drops them. Its
 spans are added where they overlap no base span. It is trained at the start on generated stretches, as no table marks
 personal data.
 
-Edge cases: a null or empty text has no spans; repeated rows keep their rows; a null id stays null; other columns are
-ignored. Offsets are code points.
+Edge cases: a null or empty text has no spans; a very long text or word takes time in proportion; where
+segmentations score the same an atom stays outside, or else the longer segment is taken; repeated rows keep their rows; a null id stays null;
+other columns are ignored; an empty table gives an empty result. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import map_rows
+from foldspark.llm.common import map_rows, touches, union_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Atoms (runs of digits or of letters, or single other characters) in the longest segment.
-MAX_ATOMS = 24
+#: Atoms (runs of digits or of letters, or single other characters) in the longest segment of each kind: an address has 64
+#: characters, an @ and 255 more, four bytes have three dots, 19 digits have 18 marks between them, and a phone number's
+#: 15 digits each have two marks or a sign before them.
+LONGEST = {"email": 320, "ip": 7, "card": 37, "phone": 44}
 #: Generated stretches to learn from, passes over them, learning rate and shrinkage.
 EXAMPLES, PASSES, RATE, SHRINK = 400, 6, 0.5, 1e-4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 # The look-behind only spares starts inside a run of digits, which fail wherever the run's own start fails.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -87,10 +89,11 @@ def in_order(spans: list[tuple[str, int, int]], kinds: tuple[str, ...] = KINDS)
 
 
 #: Stretches of words on one line that hold a digit or an @, and the atoms in them.
-_STRETCH = re.compile(r"[^\s0-9@]*[0-9@]\S*(?:[ \t]{1,2}[^\s0-9@]*[0-9@]\S*)*")
+# The look-behind only spares starts inside a word, which would make a long word without a digit quadratic.
+_STRETCH = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?:[ \t]{1,2}[^\s0-9@]*[0-9@]\S*)*")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^\W0-9A-Za-z]+|\s+|.", re.DOTALL)
 _WHOLE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
     "ip": re.compile(r"[0-9]{1,4}(?:\.[0-9]{1,4}){3}"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,18}"),
     "phone": re.compile(r"\+?[0-9(](?:[ ().-]{0,2}[0-9]){5,14}"),
@@ -100,9 +103,9 @@ _EDGE = " \t\n,;:.!?\"'()[]<>|"
 
 def segment_features(text: str, begin: int, end: int, kind: str) -> list[str] | None:
     """Names of the features of the segment as this kind; None where it cannot be of the kind."""
-    part = text[begin:end]
-    if not _WHOLE[kind].fullmatch(part):
+    if not _WHOLE[kind].fullmatch(text, begin, end):
         return None
+    part = text[begin:end]
     digits = _only_digits(part)
     left = begin == 0 or text[begin - 1] in _EDGE
     right = end == len(text) or text[end] in _EDGE
@@ -122,17 +125,21 @@ def segment_features(text: str, begin: int, end: int, kind: str) -> list[str] |
 def candidates(text: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
     """The bounds of a stretch's atoms, and the segments (from bound, to bound, kind, features) that some kind allows."""
     bounds = [0, *(m.end() for m in _ATOM.finditer(text))]
+    kinds = KINDS if "@" in text else KINDS[1:]
     found = []
     for i in range(len(bounds) - 1):
         first = text[bounds[i]]
         if not (first.isdigit() or first in "+(" or first in _LOCAL):
             continue
-        for j in range(i + 1, min(len(bounds), i + 1 + MAX_ATOMS)):
+        # A kind's longest match from here bounds the ends that need a look.
+        limits = [(kind, m.end()) for kind in kinds if (m := _WHOLE[kind].match(text, bounds[i]))]
+        far = max((end for _, end in limits), default=0)
+        for j in range(i + 1, min(len(bounds), i + 1 + max((LONGEST[kind] for kind, _ in limits), default=0))):
+            if bounds[j] > far:
+                break
             last = text[bounds[j] - 1]
-            if not (last.isdigit() or last in _LOCAL):
-                continue
-            for kind in KINDS:
-                if kind == "email" or last.isdigit():
+            for kind, limit in limits:
+                if bounds[j] <= limit and j - i <= LONGEST[kind] and (last.isdigit() or (kind == "email" and last in _LOCAL)):
                     made = segment_features(text, bounds[i], bounds[j], kind)
                     if made:
                         found.append((i, j, kind, made))
@@ -258,11 +265,11 @@ def all_spans(text: str | None, weights: Weights) -> tuple[list[tuple[str, int,
     base = base_spans(text)
     if not text or not ("@" in text or _DIGITS.search(text)):
         return base, base
-    added = []
+    added, covered = [], union_of(base)
     for stretch in _STRETCH.finditer(text):
         for kind, begin, end in best_segments(stretch.group(), weights):
             begin, end = begin + stretch.start(), end + stretch.start()
-            if all(end <= b or e <= begin for _, b, e in base):
+            if not touches(covered, begin, end):
                 added.append((kind, begin, end))
     return base, in_order(base + added)
 

@@ -3,12 +3,15 @@
 The patterns give the base spans. The random field tags tokens as begin, inside or outside of a secret, from the shape
 of the token and its neighbours, the words and marks before it, and features of the whole file, and is decoded by
 Viterbi. Candidates are long mixed tokens anywhere, and, near an announcing word or with a known prefix, any token or run
-of joined tokens of six or more characters. Another word can't be part of a secret by itself, so decoding whole
-stretches around the candidates gives the same tags as decoding the whole text. Its spans are added, as kind ``secret``,
-where they overlap no base span. It is trained at the start on generated lines, as no table marks secrets.
-
-Edge cases: a null or empty text has no spans; repeated rows keep their rows; a null id stays null; other columns are
-ignored by the scan and kept by the redaction. Offsets are code points.
+of joined tokens of six or more characters. Another word can't be part of a secret by itself and parts the chain, so
+stretches of words around the candidates, with the tokens that their features look at, give the same tags as decoding
+the whole text. Its spans are added, as kind ``secret``, where they overlap no base span. It is trained at the start on
+generated lines, as no table marks secrets.
+
+Edge cases: a null or empty text has no spans; a very long text or word takes time in proportion; of taggings that score
+the same the one with the earlier tag (outside, begin, inside) at its last difference is taken; repeated rows keep their
+rows; a null id stays null; other columns are ignored by the scan and kept by the redaction; an empty table gives an
+empty result. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import map_rows
+from foldspark.llm.common import map_rows, touches, union_of
 
 KINDS = ("assign", "access", "hex")
 ADDED, REDACTED = "secret", "[SECRET]"
 OUT, BEGIN, INSIDE = 0, 1, 2
-#: Characters on each side of a candidate that its stretch holds.
-AROUND = 120
+#: Tokens before a candidate that its features look at.
+BEFORE = 3
 #: Generated lines to learn from, passes over them, learning rate and shrinkage.
 EXAMPLES, PASSES, RATE, SHRINK = 500, 5, 0.4, 1e-4
 
@@ -49,6 +52,8 @@ SHORT, NEAR = 6, 3
 _ANNOUNCES = re.compile("pass|pwd|secret|token|key|auth|bearer|credential|private", re.IGNORECASE | re.ASCII)
 _PREFIXED = re.compile(rf"(?<![A-Za-z0-9_+/.~-])(?:{'|'.join(PREFIXES)})[A-Za-z0-9_+/.~-]*", re.IGNORECASE | re.ASCII)
 _SPACE = re.compile(r"\s")
+#: A token that can't be inside a secret unless it is a candidate.
+_PARTS_CHAIN = re.compile(r"[A-Za-z0-9_+/.~-]{2,}")
 #: Marks that stand around a value rather than in it.
 _AROUND_VALUE = frozenset("=:\"'`()[]{}<>,;")
 #: Pairs of letters that are common in words.
@@ -137,7 +142,7 @@ def token_features(tokens: list[str], at: int, shared: list[str], announced: boo
         f"dots {min(token.count('.'), 4)}", f"slashes {min(token.count('/'), 3)}", f"prefix {next((p for p in PREFIXES if lower.startswith(p)), '')}",
         f"vowels {int(5 * sum(c in 'aeiou' for c in lower) / len(token))}", f"upper {int(4 * sum(c.isupper() for c in token) / len(token))}",
     ]
-    for step in (1, 2, 3):
+    for step in range(1, BEFORE + 1):
         near = tokens[at - step].lower() if at >= step else "^"
         made.append(f"before{step} {near}" if len(near) == 1 else f"before{step} word")
         if any(w in near for w in WORDS):
@@ -334,8 +339,8 @@ def train(examples: int = EXAMPLES) -> Chain:
 
 
 def _places(text: str) -> list[tuple[int, int]]:
-    """The bounds around each candidate, in order of their beginnings."""
-    out = [(max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)) for m in (*_CANDIDATE.finditer(text), *_PREFIXED.finditer(text)) if m.end() - m.start() >= SHORT]
+    """(begin, end) of each place that may hold candidates, in order of begins: of a token, or of what a word announces."""
+    out = [m.span() for m in (*_CANDIDATE.finditer(text), *_PREFIXED.finditer(text)) if m.end() - m.start() >= SHORT]
     own = space = -1
     for m in _ANNOUNCES.finditer(text):
         # Words in one token announce the same; each search for a space begins beyond the one before.
@@ -344,9 +349,8 @@ def _places(text: str) -> list[tuple[int, int]]:
             for _ in range(NEAR):
                 end = _token_end(text, end)
             if end > space:
-                found = _SPACE.search(text, end)
-                space = found.start() if found else len(text)
-            out.append((max(0, m.start() - AROUND // 2), space))
+                space = _space_after(text, end)
+            out.append((m.start(), space))
     return sorted(out)
 
 
@@ -355,17 +359,43 @@ def _token_end(text: str, begin: int) -> int:
     return token.end() if token else len(text)
 
 
-def _stretches(text: str) -> Iterator[list[re.Match]]:
-    """The tokens around each candidate; stretches that meet are one."""
+def _space_after(text: str, begin: int) -> int:
+    found = _SPACE.search(text, begin)
+    return found.start() if found else len(text)
+
+
+def _with_before(text: str, begin: int, least: int) -> int:
+    """The beginning of the word that is BEFORE words before this place's own, but not before ``least``."""
+    for _ in range(BEFORE + 1):
+        while begin > least and text[begin - 1].isspace():
+            begin -= 1
+        while begin > least and not text[begin - 1].isspace():
+            begin -= 1
+    return begin
+
+
+def _bounds(text: str) -> Iterator[tuple[int, int]]:
+    """The bounds of stretches of whole words that hold all places, what their features look at, and, after them, a
+    token that parts the chain; stretches that meet are one."""
     begin = end = None
     for low, high in _places(text):
-        if begin is not None and low <= end:
-            end = max(end, high)
-            continue
-        if begin is not None:
-            yield list(_TOKEN.finditer(text, begin, end))
-        begin, end = low, high
+        if begin is None or low > end:
+            start = _with_before(text, low, 0 if end is None else end)
+            if begin is not None and start > end:
+                yield begin, end
+            if begin is None or start > end:
+                begin = start
+            end = high if end is None else max(end, high)
+        if high >= end or not _PARTS_CHAIN.search(text, high, end):
+            after = _PARTS_CHAIN.search(text, _space_after(text, high))
+            end = max(end, _space_after(text, after.end()) if after else len(text))
     if begin is not None:
+        yield begin, end
+
+
+def _stretches(text: str) -> Iterator[list[re.Match]]:
+    """The tokens of each stretch."""
+    for begin, end in _bounds(text):
         yield list(_TOKEN.finditer(text, begin, end))
 
 
@@ -374,7 +404,7 @@ def all_spans(text: str | None, chain: Chain) -> tuple[list[tuple[str, int, int]
     base = base_spans(text)
     if not text:
         return base, base
-    shared, added = file_features(text), []
+    shared, added, covered = file_features(text), [], union_of(base)
     for tokens in _stretches(text):
         tags = chain.decode(_stretch(tokens, shared))
         k = 0
@@ -384,7 +414,7 @@ def all_spans(text: str | None, chain: Chain) -> tuple[list[tuple[str, int, int]
                 while last + 1 < len(tags) and tags[last + 1] == INSIDE:
                     last += 1
                 begin, end = tokens[k].start(), tokens[last].end()
-                if all(end <= b or e <= begin for _, b, e in base):
+                if not touches(covered, begin, end):
                     added.append((ADDED, begin, end))
                 k = last
             k += 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from foldspark.llm import secrets, simhash_dedup, toxicity
+from foldspark.llm import common, fingerprints, pii, quality, secrets, simhash_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +52,128 @@ def test_announced_secrets_need_no_length_or_mixture(text, secret):
 @pytest.mark.parametrize("text", ["the key features of the private companies", "A boarding pass through security, the author decided", "They passed another national question in 1999."])
 def test_announcing_words_in_prose_hide_nothing(text):
     assert secrets.redacted(text, secrets.train()) == text
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_next_documents_whatever_the_ids(spark, monkeypatch, fan):
+    monkeypatch.setattr(fingerprints, "FAN", fan)  # with 2, most ranges have bounds of their own
+    rng = np.random.default_rng(4)
+    ids = [*map(int, rng.permutation(300) * 7 - 500), *[77] * 120, *[None] * 90, *[5] * 3]
+    rows = [(k, " ".join(rng.choice(["red", "blue", "green", "sun"], 6)) + f" {n // 2}") for n, k in enumerate(ids)]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOCS)
+    made = fingerprints._with_ranges(docs.select("doc_id", "text"), 16).collect()
+    by_range = {}
+    for r in made:
+        by_range.setdefault((-r["coarse"], -r["fine"], r["sub"]), []).append(r)
+    key = lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["order"], r["text"])
+    own = [sorted((r for r in by_range[k] if not r["guest"]), key=key) for k in sorted(by_range)]
+    flat = [r for part in own for r in part]
+    assert sorted((r["doc_id"], r["text"]) for r in flat if r["doc_id"] is not None) == sorted(r for r in rows if r[0] is not None)
+    assert len(flat) == len(rows) and flat == sorted(flat, key=key)
+    for k, part in zip(sorted(by_range), range(len(own))):
+        guests = sorted((r for r in by_range[k] if r["guest"]), key=key)
+        assert (guests[0]["doc_id"], guests[0]["text"]) == (own[(part + 1) % len(own)][0]["doc_id"], own[(part + 1) % len(own)][0]["text"])
+    assert max(map(len, own)) <= 64
+
+
+def test_fingerprint_bits_equal_a_plain_version(spark):
+    texts = ["", "one two", "a b c d e f g h", " ".join(f"w{k % 50}" for k in range(900)), "x " * 40, "É y Z q w e r t"]
+    made = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    hashed = made.selectExpr("k", "transform(filter(split(lower(text), '\\\\s+'), w -> w <> ''), w -> xxhash64(w)) AS words")
+    shingles = hashed.selectExpr("k", "words", "transform(sequence(1, greatest(size(words) - 4, 1)), i -> xxhash64(slice(words, i, 5))) AS h").collect()
+    got = {r["k"]: r["f"] for r in made.select("k", fingerprints.fingerprint(made["text"]).alias("f")).collect()}
+    order = fingerprints.probe_order(fingerprints.BINS)
+    for r in shingles:
+        if not r["words"]:
+            assert got[r["k"]] == "0" * 256
+            continue
+        bins = {}
+        for h in r["h"]:
+            bins.setdefault((h % 2**64) >> 57, []).append(h)
+        least = {b: min(hs) for b, hs in bins.items()}
+        full = [least[b] if b in least else least[next(int(p) for p in order[b] if int(p) in least)] for b in range(fingerprints.BINS)]
+        assert got[r["k"]] == "".join(f"{h % 256:02x}" for h in full)
+
+
+def whole_decoding(text, chain):
+    """The spans of tagging all tokens of the text as one chain."""
+    base, added = secrets.base_spans(text), []
+    tokens = list(secrets._TOKEN.finditer(text))
+    tags = chain.decode(secrets._stretch(tokens, secrets.file_features(text))) if tokens else []
+    for k, tag in enumerate(tags):
+        if tag == secrets.BEGIN:
+            last = k
+            while last + 1 < len(tags) and tags[last + 1] == secrets.INSIDE:
+                last += 1
+            begin, end = tokens[k].start(), tokens[last].end()
+            if all(end <= b or e <= begin for _, b, e in base):
+                added.append((secrets.ADDED, begin, end))
+    return secrets.in_order(base + added)
+
+
+def test_stretches_give_the_tags_of_the_whole_text():
+    chain, rng = secrets.train(), np.random.default_rng(1)
+    parts = ["password", "x" * 150, "is", "a1b2c3d4e5f6a7B8zz", "end", "=", ":", "!", "ghp_abcDEF123456789", "key", "Bearer", "é", "日本", "\n", "  ", "foo-bar1", "12345678", "Xk29fj2a", "a", "@", "sk_", '"', "P@ss", "authority", "pwd:", "the"]
+    texts = ["password" + "x" * 150 + " is a1b2c3d4e5f6a7B8zz end"]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.integers(1, 40))) for _ in range(1500)]
+    for text in texts:
+        assert secrets.all_spans(text, chain)[1] == whole_decoding(text, chain), text
+
+
+def test_long_words_and_many_spans_take_linear_time():
+    import time
+
+    start = time.process_time()
+    chain, weights = secrets.train(), pii.train()
+    trained = time.process_time() - start
+    mails = " ".join(f"a{k}@b{k}.com" for k in range(100_000))
+    for text in ("x" * 5_000_000 + " 1", "x" * 5_000_000 + "1", "key" * 1_000_000):
+        assert pii.all_spans(text, weights)[0] == [] and secrets.all_spans(text, chain)[0] == []
+    assert len(pii.all_spans(mails, weights)[1]) == 100_000
+    assert len(secrets.all_spans("token=" + mails, chain)[0]) == 0
+    assert time.process_time() - start - trained < 120
+
+
+def test_a_card_written_digit_by_digit_is_one_segment():
+    text = " ".join("4111111111111111")
+    assert ("card", 0, 31) in pii.all_spans(text, pii.train())[1]
+    bounds, found = pii.candidates(text)
+    assert any(kind == "card" and j - i == 31 for i, j, kind, _ in found)
+
+
+def test_shapes_are_whole():
+    long = "a1" * 20
+    assert quality.features(long + "b") != quality.features(long + "2b")
+
+
+def test_blocks_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["x" * 10, None, "y" * 300, "z" * 50, "z" * 50, "z" * 50, ""]})
+    sizes = [b.num_rows for b in common.blocks_of(batch, 3, 110)]
+    assert sizes == [2, 1, 2, 2] and sum(sizes) == 7
+    assert [b.num_rows for b in common.blocks_of(batch.slice(2), 100, 10**9)] == [5]
+
+
+def test_sampled_ids_are_those_of_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).selectExpr("id", "IF(id % 10 = 0, 'a', 'b') AS c")
+    got = common.sample_ids(rows, "id", "c", 100)
+    for value in "ab":
+        want = [r["id"] for r in rows.filter(F.col("c") == value).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(100).collect()]
+        assert sorted(k for k, v in got.items() if v == value) == sorted(want)
+    assert common.sample_ids(rows.limit(0), "id", "c", 5) == {}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.use_checkpoints(Session())
