@@ -46,7 +46,7 @@ def features(text: str | None) -> Counter:
     shape = " ".join(words)
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
-    shapes = [s[:12] for s in shape.split(" ")]
+    shapes = shape.split(" ")
     made: Counter = Counter()
 
     def add(kind: str, name: str, weight: float) -> None:
