@@ -31,11 +31,10 @@ from foldspark.llm.common import crc_of, map_rows, rows_of, sample_ids, use_chec
 
 #: Bytes in a window and between the starts of windows.
 WINDOW, STRIDE = 80, 64
-#: Documents of each class for the dictionaries and for the calibration; whole texts are learned from.
-FOR_DICTIONARY, FOR_CALIBRATION = 1000, 500
+#: Documents of each class for the dictionaries and for the calibration, and ordinary documents whose windows, all of
+#: them, the ordinary dictionary is trained on; whole texts are learned from.
+FOR_DICTIONARY, FOR_CALIBRATION, FOR_TRAINER = 1000, 500, 250
 DICTIONARY_BYTES, LEVEL = 24_000, 6
-#: Windows, evenly spaced over all texts, that the ordinary dictionary is trained on, or up to twice as many.
-FOR_TRAINER = 30_000
 #: Lengths of toxic stretches in bytes (the shortest is the compressor's least match), documents that must hold one, its
 #: most ordinary share in parts of its toxic one, times a document is covered, and a decoy's least ordinary share.
 SHORTEST, LONGEST, HOLDERS, ORDINARY_SHARE, COVERS, DECOY_SHARE = 6, 14, 4, 0.02, 8, 0.001
@@ -185,7 +184,7 @@ def learn(texts: DataFrame, order: list[list[int]], toxic_share: float) -> Model
     common = _common(texts, first[1], {s[i:j] for s in counts for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1)})
     stretches, decoys, stems = toxic_stretches(held, counts, common, len(first[1]))
     joined = lambda parts: b"".join(p + _APART for p in parts)
-    trained = _trained(_spaced(texts, first[1]))
+    trained = _trained(_windows_of(texts, first[1][:FOR_TRAINER]))
     plain, bare = joined(decoys) + trained, _without(trained, stems)
     model = Model(plain, joined(stretches) + plain, bare, joined(stems) + bare, (0.0,) * (1 + FEATURES))
     rest = [(toxic[at[0] :] or toxic, 1), (ordinary[at[1] :] or ordinary, 0)]
@@ -229,26 +228,15 @@ def _common(texts: DataFrame, ids: list[int], parts: set[bytes]) -> dict[bytes,
     return {bytes(r["s"]): r["n"] for r in counted.toLocalIterator()}
 
 
-def _spaced(texts: DataFrame, ids: list[int]) -> list[bytes]:
-    """Every so many windows of these documents, one after the other in this order, to about FOR_TRAINER in all."""
-
-    def sizes(columns: list[list]) -> Iterator[tuple]:
-        for i, text in zip(*columns):
-            yield i, len(windows(text)) if text else 0
-
-    found = {r["i"]: r["n"] for r in map_rows(_of(texts, ids), sizes, "i long, n long", batch=16).collect()}
-    begins, total = {}, 0
-    for i in ids:
-        begins[i], total = total, total + found[i]
-    step = max(1, total // FOR_TRAINER)
+def _windows_of(texts: DataFrame, ids: list[int]) -> list[bytes]:
+    """All windows of these documents, in this order."""
 
     def rows(columns: list[list]) -> Iterator[tuple]:
         for i, text in zip(*columns):
-            for k, window in enumerate(windows(text)[-begins[i] % step :: step] if text else []):
-                yield begins[i], k, window
+            yield i, windows(text) if text else []
 
-    made = map_rows(_of(texts, ids), rows, "i long, k long, w binary", batch=16).collect()
-    return [bytes(r["w"]) for r in sorted(made, key=lambda r: (r["i"], r["k"]))]
+    made = {r["i"]: r["w"] for r in map_rows(_of(texts, ids), rows, "i long, w array<binary>", batch=16).collect()}
+    return [bytes(w) for i in ids for w in made[i]]
 
 
 def _gains(texts: DataFrame, ids: list[int], model: Model) -> np.ndarray:
