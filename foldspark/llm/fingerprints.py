@@ -5,12 +5,14 @@ first filled bin of a probing order of its own (optimal densification). The fing
 the likeness of two fingerprints is their share of equal bins, corrected for chance agreement of the low bits.
 
 Edge cases: a null text counts as empty; a text with fewer words than a shingle is one shingle; a text without words
-has the fingerprint of zeros, like another of these (1.0) and unlike any other (0.0). Rows that repeat an id are ordered
-by their text; a null id comes last. A single row is its own next document. Other columns are ignored.
+has the fingerprint of zeros, like another of these (1.0) and unlike any other (0.0); a very long text is hashed whole.
+Rows that repeat an id follow each other in an order that depends on their texts alone, and keep their rows; null ids
+come last. A single row is its own next document; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -18,11 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foldspark.llm.common import use_checkpoints
+
 BINS, LOW_BITS, WORDS = 128, 8, 5
 #: Probes tried at first for an empty bin; the whole order follows where all of these are empty.
 FEW_PROBES = 8
-#: Rows in a range of ids that one window orders; the number of ranges is bounded, as the driver holds their bounds.
+#: Rows in a range of ids that one window orders, and the square root of the number of bounds that the driver holds;
+#: beyond so many ranges each is cut again by bounds of its own.
 RANGE_ROWS, FAN = 2048, 64
+#: Ranges whose first rows are broadcast (some 60 bytes each); a table of more is joined by a shuffle.
+BROADCAST_RANGES = 1 << 18
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,42 +115,69 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 
 def _with_ranges(docs: DataFrame, range_rows: int) -> DataFrame:
-    """docs dealt to ranges of ids; the rows that a range's last one has as next are also its guests."""
-    total, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    wanted = min(FAN * FAN, max(1, -(-total // range_rows)))
-    if wanted > 1:
-        shares = [i / wanted for i in range(1, wanted)]
-        cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10000, 10 * wanted))).first()[0]
-        bounds = sorted({int(low)} | {int(c) for c in cuts})
-    else:
-        bounds = [int(low)]
-    ranged = docs.withColumn("range", F.coalesce(_range_of(F.col("doc_id"), bounds), F.lit(0)))
-    ranged = ranged.withColumn("range", F.greatest(F.col("range") - 1, F.lit(0)))
-    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect() if r["top"] is not None}
-    # A range's guests are the first rows below it in descending order: the greatest id of the next lower range.
-    held = sorted(tops)
-    guests = {tops[r]: held[(k + 1) % len(held)] for k, r in enumerate(held)}
-    if not guests:
-        return ranged.withColumn("guest", F.lit(False))
-    keys = sorted(guests)
-    as_guest = ranged.filter(F.col("doc_id").isin(keys))
-    entries = [F.struct(F.lit(int(k)).cast("long").alias("top"), F.lit(int(guests[k])).alias("host")) for k in keys]
-    hosts = docs.sparkSession.range(1).select(F.inline(F.array(*entries)))
-    as_guest = as_guest.join(F.broadcast(hosts), F.col("doc_id") == F.col("top")).withColumn("range", F.col("host")).drop("top", "host")
-    return ranged.withColumn("guest", F.lit(False)).unionByName(as_guest.withColumn("guest", F.lit(True)))
+    """docs dealt to ranges (coarse, fine, sub) of about ``range_rows`` rows, with the order of rows that repeat an id.
+
+    In descending order of ids come coarse ranges, whose bounds the driver holds, then fine ones, whose bounds are rows
+    of a table. An id that fills whole ranges (it is the bound of several), or the null ids, are cut by their texts'
+    hashes into ``sub`` ranges that follow the others of their range. The first row of each range is also a guest of
+    the range before it, that of the first range of the last one.
+    """
+    use_checkpoints(docs.sparkSession)
+    ids = F.col("doc_id")
+    shares = [i / FAN**2 for i in range(1, FAN**2)]
+    rows, known, cuts = docs.agg(F.count(F.lit(1)), F.count(ids), F.percentile_approx(ids, shares, 10_000)).first()
+    wanted = max(1, -(-known // range_rows))
+    fine, every = -(-wanted // FAN**2), max(1, FAN**2 // wanted)
+    bounds = [int(c) for c in (cuts or [])[every - 1 :: every]] if wanted > 1 else []
+    hot = {b: n * fine for b, n in Counter(bounds).items() if n > 1}
+    null_parts = max(1, -(-(rows - known) // range_rows))
+    hashed = bool(hot) or null_parts > 1 or fine > 1
+    ranged = docs.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 11) if hashed else F.lit(0).cast("long"))
+    ranged = ranged.withColumn("coarse", F.coalesce(_range_of(ids, bounds) if bounds else F.when(ids.isNotNull(), 0), F.lit(-1)))
+    inner = F.array().cast("array<bigint>")
+    if fine > 1:
+        own = F.percentile_approx(ids, [i / fine for i in range(1, fine)], 10_000).alias("inner")
+        table = ranged.groupBy("coarse").agg(own).checkpoint()
+        small = FAN**2 * fine <= 4 * BROADCAST_RANGES
+        ranged = ranged.join(F.broadcast(table) if small else table, "coarse")
+        inner = F.coalesce("inner", inner)
+    same = F.size(F.filter(inner, lambda b: b == ids))
+    if hot:
+        same = F.greatest(same, F.coalesce(F.element_at(F.map_from_arrays(_longs(hot), _longs(hot.values())), ids), F.lit(0)))
+    part = lambda parts: 1 + F.floor(F.col("order") * F.lit(2.0**-53) * parts)
+    ranged = ranged.withColumn("fine", F.coalesce(F.size(F.filter(inner, lambda b: b <= ids)), F.lit(0)))
+    ranged = ranged.withColumn("sub", F.when(ids.isNull(), part(null_parts)).when(same > 1, part(same)).otherwise(0)).drop("inner")
+    first = F.min(F.struct(F.bitwise_not(ids).alias("key"), "order"))
+    firsts = ranged.groupBy("coarse", "fine", "sub").agg(first.alias("first")).checkpoint()
+    last = firsts.groupBy("coarse").agg(F.max(F.struct((-F.col("fine")).alias("fine"), "sub")).alias("last")).collect()
+    ends = {r["coarse"]: (r["coarse"], -r["last"]["fine"], r["last"]["sub"]) for r in last}
+    order = sorted(ends, reverse=True)
+    wraps = docs.sparkSession.createDataFrame([(c, ends[order[k - 1]]) for k, c in enumerate(order)], "coarse int, end struct<coarse: int, fine: int, sub: bigint>")
+    before = F.lag(F.struct("coarse", "fine", F.col("sub").cast("long").alias("sub"))).over(Window.partitionBy("coarse").orderBy(F.desc("fine"), "sub"))
+    hosts = firsts.withColumn("before", before).join(F.broadcast(wraps), "coarse")  # a row for each coarse range
+    hosts = hosts.select(F.col("coarse").alias("_c"), F.col("fine").alias("_f"), F.col("sub").alias("_s"), "first", F.coalesce("before", "end").alias("host"))
+    if wanted + null_parts <= BROADCAST_RANGES:
+        hosts = F.broadcast(hosts)
+    leads = (
+        (F.col("coarse") == F.col("_c")) & (F.col("fine") == F.col("_f")) & (F.col("sub") == F.col("_s")) & (F.col("order") == F.col("first.order"))
+        & (F.coalesce(F.bitwise_not(ids), F.lit(0)) == F.coalesce("first.key", F.lit(0)))
+    )
+    place = lambda c, f, s, guest: F.struct(c.alias("coarse"), f.alias("fine"), s.cast("long").alias("sub"), F.lit(guest).alias("guest"))
+    own = place(F.col("coarse"), F.col("fine"), F.col("sub"), False)
+    guest = place(F.col("host.coarse"), F.col("host.fine"), F.col("host.sub"), True)
+    joined = ranged.join(hosts, leads, "left")
+    return joined.select(*docs.columns, "order", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("*", "at.*").drop("at")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of each text, of its edited text and their likenesses, with the next document by descending id.
 
     The documents are cut into ranges of ids of about equal size, so no task orders them all; one shuffle carries the
-    texts with their fingerprints. The broadcast holds one row for each range, of which there are at most FAN * FAN.
+    texts with their fingerprints.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = _with_ranges(plain, range_rows).withColumn("fingerprint", fingerprint(F.col("text")))
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("coarse", "fine", "sub").orderBy("guest", F.col("doc_id").desc_nulls_last(), "order", "text")
     nexts = dealt.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint"))
     rows = nexts.filter(~F.col("guest")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
