@@ -23,7 +23,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 HEADLINE = (
     "detrend_fold_bin", "rolling_median_trend", "rolling_median_masked", "robust_spline_trend", "global_view", "contamination", "split_manifest", "bias_table",
-    "select_products", "fill_missing", "bls_search",
+    "select_products", "fill_missing", "bls_search", "processed_curves", "examples",
 )
 SAMPLES, DAYS, PERIODS = 51_747, 1459.0, 24_197
 

@@ -31,7 +31,7 @@ def hash_rank(df: DataFrame, group: list[str], key: str, seed: int | str, into:
     return joined.withColumn(into, (F.col(into) + F.col("_before")).cast("long")).drop("_hash", "_bucket", "_b", "_before", *(f"_g_{g}" for g in group))
 
 
-def running_sums(df: DataFrame, group: list[str], order: str, measures: list[str], buckets: int = 256) -> DataFrame:
+def running_sums(df: DataFrame, group: list[str], order: str, measures: list[str], buckets: int = 1024) -> DataFrame:
     """df with ``<measure>_upto``: the measure's sum over the group's rows up to and with this one.
 
     The order column must be unique within a group, as it is after aggregation by it. Buckets are cut at approximate
@@ -45,3 +45,25 @@ def running_sums(df: DataFrame, group: list[str], order: str, measures: list[str
     offsets = totals.select(*group, "_bucket", *(F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures))
     summed = placed.select("*", *(F.sum(m).over(inside).alias(f"_s_{m}") for m in measures)).join(offsets, [*group, "_bucket"])
     return summed.select(*df.columns, *((F.col(f"_s_{m}") + F.col(f"_o_{m}")).alias(f"{m}_upto") for m in measures))
+
+
+def value_at(x: str, upto: str, count: F.Column, fraction: float) -> F.Column:
+    """Aggregate: the value at this fraction of ``count`` ranked ones, linear between neighbours, from running sums."""
+    place = (count - 1) * F.lit(float(fraction))
+    low, high = F.floor(place), F.ceil(place)
+    at = lambda rank: F.min(F.when(F.col(upto) > rank, F.col(x)))
+    share = F.first(place - low)
+    return at(low) + share * (at(high) - at(low))
+
+
+def quantiles(df: DataFrame, columns: list[str], fractions: list[float]) -> DataFrame:
+    """(variable, n, q0, q1, ...): exact quantiles of each column's values that are not null or NaN.
+
+    Equal values are counted together before the shuffle and ranked in as many tasks as there are buckets.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns)))
+    long = df.select(pairs.alias("_v")).select("_v.*").filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    values = long.groupBy("variable", "x").agg(F.count("*").alias("c"))
+    counts = long.groupBy("variable").agg(F.count("*").alias("n"))
+    steps = running_sums(values, ["variable"], "x", ["c"]).join(F.broadcast(counts), "variable")  # a row a column
+    return steps.groupBy("variable").agg(F.first("n").alias("n"), *(value_at("x", "c_upto", F.col("n"), f).alias(f"q{k}") for k, f in enumerate(fractions)))

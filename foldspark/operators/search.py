@@ -1,7 +1,7 @@
 """Box-shaped period search, its period grid, peaks and pooled periodograms.
 
-A search is parted into (source, chunk of periods) tasks. A period's result doesn't depend on its chunk, so any number
-of tasks gives the same rows, and a lost executor costs a chunk.
+A search is parted into (source, block of periods) tasks: one a source where sources outnumber the cores, more where
+they don't. A period's result doesn't depend on its block, so any number of tasks gives the same rows.
 """
 
 from __future__ import annotations
@@ -56,14 +56,19 @@ def box_power(t: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray,
     out = {k.split()[0]: np.full(len(periods), np.nan) for k in PERIODOGRAM.split(", ")}
     out["period"] = periods
     wy = weight * y
+    phase, whole, place = np.empty(len(t)), np.empty(len(t)), np.empty(len(t), dtype=np.int64)
     for p, period in enumerate(periods):
         n = int(math.ceil(period / step))
-        at = ((since - period * np.floor(since / period)) / step).astype(np.int64)
-        np.minimum(at, n - 1, out=at)
-        sums = np.empty((2, n + longest + 1))
+        np.multiply(since, 1.0 / period, out=phase)
+        np.floor(phase, out=whole)
+        phase -= whole
+        phase *= period / step
+        np.minimum(phase, n - 1, out=phase)
+        # The conversion cuts off the fraction.
+        np.copyto(place, phase, casting="unsafe")
+        sums = np.zeros((2, n + longest + 1))
         for row, values in enumerate((weight, wy)):
-            binned = np.bincount(at, weights=values, minlength=n)
-            sums[row, 0] = 0.0
+            binned = np.bincount(place, weights=values, minlength=n)
             np.cumsum(np.concatenate([binned, np.resize(binned, longest)]), out=sums[row, 1:])
         best = -np.inf
         for span, duration in spans:
@@ -89,15 +94,16 @@ def box_power(t: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray,
 
 
 def search_inputs(curve: DataFrame, keys: list[str], config: SearchConfig, value: str = "flux", error: str = "flux_err") -> DataFrame:
-    """One row per key: its samples as arrays in time order, its baseline, grid and status.
+    """One row per key: its samples as arrays t, y, e in time order, its baseline, grid and status.
 
     A key whose samples can't be searched keeps its row with a status that says why.
     """
     good = curve.filter(is_finite("time") & is_finite(value) & is_finite(error))
-    packed = good.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("time").alias("t"), F.col(value).alias("y"), F.col(error).alias("e")))).alias("samples"))
-    baseline = F.element_at("samples", -1)["t"] - F.element_at("samples", 1)["t"]
+    one = F.struct(F.col("time").cast("double").alias("t"), F.col(value).cast("double").alias("y"), F.col(error).cast("double").alias("e"))
+    rows = good.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(one)).alias("samples"), F.count("*").cast("int").alias("n_points"), (F.max("time") - F.min("time")).alias("baseline")
+    )
     shortest = min(config.durations_hours) / 24.0
-    rows = packed.withColumn("n_points", F.size("samples")).withColumn("baseline", baseline)
     rows = rows.withColumn("hi", F.least(F.lit(float(config.max_period_days)), F.col("baseline") / (config.min_transits - 1)))
     lo = F.lit(float(config.min_period_days))
     rows = rows.withColumn("n_periods", F.when(F.col("hi") > lo, grid_size(F.col("baseline"), lo, F.col("hi"), shortest, config.oversample)))
@@ -105,25 +111,37 @@ def search_inputs(curve: DataFrame, keys: list[str], config: SearchConfig, value
         F.when(F.col("n_points") < 100, "too_few_samples").when(F.col("n_periods").isNull(), "baseline_too_short")
         .when(F.col("n_periods") > config.max_grid_size, "grid_too_large").otherwise("ok")
     )
-    return rows.withColumn("status", status)
+    part = lambda name: F.transform("samples", lambda s: s[name])
+    return rows.withColumn("status", status).withColumns({c: part(c) for c in ("t", "y", "e")}).drop("samples")
 
 
 def periodogram(inputs: DataFrame, keys: list[str], config: SearchConfig) -> DataFrame:
-    """(keys, k, PERIODOGRAM) of every period of every key whose status is ok, in tasks of ``config.chunk`` periods."""
-    chunks = inputs.filter("status = 'ok'").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_periods") - 1) / config.chunk))))
+    """(keys, k, PERIODOGRAM) of every period of every key whose status is ok.
+
+    A key's samples are shuffled once for each of its blocks of periods, which are as many as the cores need to be busy:
+    one where keys outnumber twice the cores. ``config.chunk`` is the least number of periods worth a block.
+    """
+    ready = inputs.filter("status = 'ok'")
+    # The samples' arrays aren't made for this count, as it doesn't need them.
+    wanted = -(-2 * inputs.sparkSession.sparkContext.defaultParallelism // max(1, ready.select(*keys).count()))
+    blocks = F.least(F.lit(wanted), F.ceil(F.col("n_periods") / config.chunk)).cast("int")
+    chunks = ready.withColumn("blocks", blocks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     durations = np.sort(np.array(config.durations_hours)) / 24.0
-    spread = chunks.select(*keys, "samples", "hi", "n_periods", "chunk").repartition(*keys, "chunk")
+    spread = chunks.select(*keys, "t", "y", "e", "hi", "n_periods", "blocks", "block").repartition(*keys, "block")
     names = [c.split()[0] for c in PERIODOGRAM.split(", ")]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                t, y, e = (np.array([s[f] for s in row["samples"]], dtype=float) for f in ("t", "y", "e"))
-                k = np.arange(row["chunk"] * config.chunk, min(row["n_periods"], (row["chunk"] + 1) * config.chunk))
+            for at in range(len(batch)):
+                row = batch.iloc[at]
+                t, y, e = (np.asarray(row[f], dtype=float) for f in ("t", "y", "e"))
+                ends = row["n_periods"] * np.array([row["block"], row["block"] + 1]) // row["blocks"]
                 lo, hi = math.log(config.min_period_days), math.log(row["hi"])
-                periods = np.exp(lo + k * ((hi - lo) / max(1, row["n_periods"] - 1)))
-                found = box_power(t, y, e, periods, durations, config.objective, config.phase_oversample)
-                yield pd.DataFrame({**{c: row[c] for c in keys}, "k": k, **{c: found[c] for c in names}})
+                for begin in range(int(ends[0]), int(ends[1]), 4096):
+                    k = np.arange(begin, min(int(ends[1]), begin + 4096))
+                    periods = np.exp(lo + k * ((hi - lo) / max(1, row["n_periods"] - 1)))
+                    found = box_power(t, y, e, periods, durations, config.objective, config.phase_oversample)
+                    yield pd.DataFrame({**{c: row[c] for c in keys}, "k": k, **{c: found[c] for c in names}})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in inputs.select(*keys).dtypes)
     return spread.mapInPandas(search, f"{schema}, k long, {PERIODOGRAM}")

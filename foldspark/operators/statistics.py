@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.config import MAD_TO_SIGMA
 from foldspark.functions import is_finite
-from foldspark.operators.ranking import running_sums
+from foldspark.operators.ranking import quantiles, running_sums, value_at
 
 #: The catalog columns whose bias is reported.
 BIAS_VARIABLES = ("koi_period", "koi_depth", "koi_duration", "koi_model_snr", "koi_kepmag", "koi_prad", "koi_impact", "koi_steff", "koi_srad", "koi_count")
@@ -30,30 +30,29 @@ def bias_table(df: DataFrame, variables: list[str], label: str = "label", least:
     Counts, missing values, medians, tenth and ninetieth percentiles by class, the Kolmogorov-Smirnov distance, the
     area under the curve of the variable alone (ties count half), and the larger of that and its complement. Variables
     with under ``least`` values in a class are left out. Equal values are counted together first; running sums over the
-    distinct values then give both the distance and the area, in as many tasks as there are buckets.
+    distinct values then give percentiles, distance and area, in as many tasks as there are buckets.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables)))
     long = df.filter(F.col(label).isin(0, 1)).select((F.col(label) == 1).alias("_pos"), pairs.alias("_v")).select("_pos", "_v.*")
     long = long.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
-    pos, neg = F.col("_pos"), ~F.col("_pos")
-    seen = F.col("x").isNotNull()
-
-    def shares(which: Column, name: str) -> list[Column]:
-        inside = F.when(which, F.col("x"))
-        points = F.percentile(inside, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-        return [
-            F.count_if(which & seen).alias(f"n_{name}"), F.count_if(which & ~seen).alias(f"missing_{name}"), F.get(points, 1).alias(f"median_{name}"),
-            F.get(points, 0).alias(f"p10_{name}"), F.get(points, 2).alias(f"p90_{name}"),
-        ]
-
-    summary = long.groupBy("variable").agg(*shares(pos, "pos"), *shares(neg, "neg")).filter((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
-    values = long.filter(seen).groupBy("variable", "x").agg(F.count_if(pos).alias("p"), F.count_if(neg).alias("q"))
-    steps = running_sums(values, ["variable"], "x", ["p", "q"]).join(F.broadcast(summary.select("variable", "n_pos", "n_neg")), "variable")
+    pos, seen = F.col("_pos"), F.col("x").isNotNull()
+    counts = long.groupBy("variable").agg(
+        F.count_if(pos & seen).alias("n_pos"), F.count_if(~pos & seen).alias("n_neg"), F.count_if(pos & ~seen).alias("missing_pos"), F.count_if(~pos & ~seen).alias("missing_neg")
+    ).filter((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
+    values = long.filter(seen).groupBy("variable", "x").agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("q"))
+    steps = running_sums(values, ["variable"], "x", ["p", "q"]).join(F.broadcast(counts), "variable")  # a row a variable
     distance = F.max(F.abs(F.col("p_upto") / F.col("n_pos") - F.col("q_upto") / F.col("n_neg")))
     # A positive beats the negatives below it, and half of those that equal it.
     wins = F.sum(F.col("p") * (2 * F.col("q_upto") - F.col("q")))
-    curves = steps.groupBy("variable").agg(distance.alias("ks_statistic"), (wins / (2.0 * F.first("n_pos") * F.first("n_neg"))).alias("univariate_auc"))
-    return summary.join(F.broadcast(curves), "variable").withColumn("separability", F.greatest(F.col("univariate_auc"), 1 - F.col("univariate_auc")))
+    points = [
+        value_at("x", f"{side}_upto", F.col(f"n_{name}"), at).alias(f"{what}_{name}")
+        for side, name in (("p", "pos"), ("q", "neg")) for what, at in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))
+    ]
+    made = steps.groupBy("variable").agg(
+        *(F.first(c).alias(c) for c in ("n_pos", "n_neg", "missing_pos", "missing_neg")), *points,
+        distance.alias("ks_statistic"), (wins / (2.0 * F.first("n_pos") * F.first("n_neg"))).alias("univariate_auc"),
+    )
+    return made.withColumn("separability", F.greatest(F.col("univariate_auc"), 1 - F.col("univariate_auc")))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, lo: float, hi: float, n_bins: int, log: bool = False) -> DataFrame:
@@ -84,7 +83,10 @@ def pivot_methods(results: DataFrame, rows: str, columns: str, value: str, value
 def ratio_summary(results: DataFrame, a: str, b: str) -> DataFrame:
     """One row: medians of both, of their ratio, and the share of rows where a exceeds b."""
     ratio = F.try_divide(F.col(a), F.col(b))
-    return results.agg(F.median(a).alias(f"median_{a}"), F.median(b).alias(f"median_{b}"), F.median(ratio).alias("median_ratio"), F.avg((ratio > 1).cast("double")).alias("fraction_greater"))
+    rows = results.select(a, b, ratio.alias("ratio"))
+    medians = quantiles(rows, [a, b, "ratio"], [0.5]).agg(*(F.max(F.when(F.col("variable") == c, F.col("q0"))).alias(f"median_{c}") for c in (a, b, "ratio")))
+    # Both sides are one row.
+    return medians.join(F.broadcast(rows.agg(F.avg((F.col("ratio") > 1).cast("double")).alias("fraction_greater"))))
 
 
 def signals_per_star(catalog: DataFrame) -> DataFrame:

@@ -89,12 +89,13 @@ def interpolate(df: DataFrame, at: str, value: str, part, into: str) -> DataFram
 def robust_spline_trend(curve: DataFrame, knot_spacing_days: float = 0.3, min_points: int = 10, sigma_lower: float = 3.0, sigma_upper: float = 3.0, max_iter: int = 3, usable: str | None = None, value: str = "flux", into: str = "trend") -> DataFrame:
     """curve (with segments) with the trend of a clipped least-squares cubic spline, fitted to each segment.
 
-    The fit is iterative, which no built-in expression can be; a segment is one NumPy call.
+    The fit is iterative, which no built-in expression can be; a star's segments are one call, on the layout that the
+    curve already has by star.
     """
     if knot_spacing_days <= 0:
         raise ValueError("knot_spacing_days must be positive")
     fit = spline_trend_kernel(knot_spacing_days, min_points, sigma_lower, sigma_upper, max_iter, value, usable, into)
-    return curve.groupBy("kepid", "segment").applyInPandas(fit, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
+    return curve.groupBy("kepid").applyInPandas(fit, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
 
 
 def upper_outliers(curve: DataFrame, sigma: float = 5.0, value: str = "flux_detrended", into: str = "is_outlier") -> DataFrame:

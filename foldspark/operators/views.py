@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from foldspark.functions import bin_centre, bin_index, in_transit, is_finite, phase_fold
 
 
-def bin_curve(df: DataFrame, keys: list[str], x: str, y: str, lo: float, hi: float, n_bins: int, statistic: str = "median") -> DataFrame:
+def bin_curve(df: DataFrame, keys: list[str], x: str, y: str, lo: float, hi: float, n_bins: int, statistic: str = "median", groups: DataFrame | None = None) -> DataFrame:
     """(keys, bin, centre, value, count): every bin of a uniform grid for each key, its value null where it is empty.
 
-    Only samples with lo <= x <= hi and a finite y count. The rows of empty bins come from the keys, not from a join
-    of all samples.
+    Only samples with lo <= x <= hi and a finite y count. The rows of empty bins come from ``groups``, the distinct keys;
+    where these aren't known they are gathered from the samples, which makes the samples anew.
     """
     if n_bins < 1 or not hi > lo or statistic not in ("median", "mean"):
         raise ValueError("bin_curve needs n_bins >= 1, lo < hi and the statistic median or mean")
     value = F.median(y) if statistic == "median" else F.avg(y)
     kept = df.filter(is_finite(y)).withColumn("bin", bin_index(x, lo, hi, n_bins)).filter(F.col("bin").isNotNull())
     made = kept.groupBy(*keys, "bin").agg(value.alias("value"), F.count("*").alias("count"))
-    return all_bins(df.select(*keys).distinct(), made, keys, n_bins).withColumn("centre", bin_centre("bin", lo, hi, n_bins)).select(*keys, "bin", "centre", "value", "count")
+    return all_bins(df.select(*keys).distinct() if groups is None else groups, made, keys, n_bins).withColumn("centre", bin_centre("bin", lo, hi, n_bins)).select(*keys, "bin", "centre", "value", "count")
 
 
 def all_bins(groups: DataFrame, made: DataFrame, keys: list[str], n_bins: int) -> DataFrame:

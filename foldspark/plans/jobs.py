@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.config import DatasetConfig, NoiseConfig, PreprocessingConfig, SearchConfig, SplitConfig
+from foldspark.config import DatasetConfig, NoiseConfig, SearchConfig, SplitConfig
 from foldspark.functions import relate_periods
+from foldspark.lineage import settle
 from foldspark.operators import labels, perturb, search, selection, splits, statistics
 from foldspark.plans import preprocess as prep
 
@@ -37,22 +37,22 @@ def agree(labelled: DataFrame, manifest: DataFrame) -> DataFrame:
 def build_dataset(curve: DataFrame, catalog: DataFrame, manifest: DataFrame, config: DatasetConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """(examples, star log): choose stars, process those that can be, fold every signal of theirs.
 
-    The processed curves feed several aggregations, so they are kept on the executors' disks (a lost part is made
-    again); the chosen stars, which everything joins, are kept likewise.
+    Labels, the manifest, the chosen stars and the processed curves feed several steps, so each is settled once in the
+    shared checkpoint folder.
     """
     config = config or DatasetConfig()
-    labelled = labels.apply_label_policy(catalog)
+    labelled, manifest = settle(labels.apply_label_policy(catalog)), settle(manifest)
     problems = agree(labelled, manifest).first().asDict()
     if any(problems.values()):
         raise ValueError(f"catalog and manifest differ: {problems}")
     stars = selection.select_stars(manifest, config.stars, config.splits)
     if config.max_stars is not None and not config.stars.all_eligible:
         selection.guard_size(stars, config.max_stars, "stars")
-    stars = stars.persist(StorageLevel.DISK_ONLY)
+    stars = settle(stars)
     raw = curve.join(stars.select("kepid"), "kepid", "left_semi")
-    log = prep.star_status(raw, stars.select("kepid"), config.preprocessing, labelled)
+    log = settle(prep.star_status(raw, stars.select("kepid"), config.preprocessing, labelled))
     ready = log.filter("status = 'ok'").select("kepid")
-    processed = prep.preprocess(raw.join(ready, "kepid", "left_semi"), config.preprocessing, labelled).persist(StorageLevel.DISK_ONLY)
+    processed = settle(prep.preprocess(raw.join(ready, "kepid", "left_semi"), config.preprocessing, labelled))
     return prep.build_examples(processed, labelled, stars.join(ready, "kepid", "left_semi"), config), log
 
 
@@ -69,9 +69,9 @@ def run_search(processed: DataFrame, catalog: DataFrame, config: SearchConfig |
         made = perturb.gaussian_noise(curve, severity, noise.seed).withColumn("severity", F.lit(float(severity)))
         runs = made if runs is None else runs.unionByName(made)
     keys = ["kepid", "severity"]
-    inputs = search.search_inputs(runs, keys, config)
+    inputs = settle(search.search_inputs(runs, keys, config))
     # The grid's powers cost the most by far and are read three times.
-    found = search.periodogram(inputs, keys, config).persist(StorageLevel.DISK_ONLY)
+    found = settle(search.periodogram(inputs, keys, config))
     best = search.best_peaks(found, keys)
     stats = search.box_stats(runs, best, keys)
     rows = inputs.select(*keys, "status", "n_points", F.col("baseline").alias("baseline_days")).join(best, keys, "left").join(stats, keys, "left")
@@ -106,7 +106,32 @@ def dataset_report(examples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def preprocess_config(**detrend) -> PreprocessingConfig:
-    from foldspark.config import DetrendConfig
+def split_mismatches(examples: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(kepoi_name, split, manifest_split): examples whose split is not that of the manifest, or that it lacks."""
+    known = manifest.select("kepoi_name", F.col("split").alias("manifest_split"))
+    joined = examples.select("kepoi_name", "split").join(known, "kepoi_name", "left")
+    return joined.filter(~F.col("split").eqNullSafe(F.col("manifest_split")))
 
-    return PreprocessingConfig(detrend=DetrendConfig(**detrend))
+
+def shown_examples(examples: DataFrame, most: int = 3) -> DataFrame:
+    """(panel, place, kepoi_name, kepid): the first usable examples by name of each label, and those of one star.
+
+    The star is the least one with three signals or more. Each panel is a bounded top-k.
+    """
+    ok = examples.filter("example_status = 'ok' AND training_status = 'train_eligible'")
+    crowd = ok.filter("n_kois_on_star >= 3").agg(F.min("kepid").alias("kepid"))
+    panels = {"positive": ok.filter("label = 1"), "negative": ok.filter("label = 0"), "multi": ok.join(F.broadcast(crowd), "kepid", "left_semi")}  # one row
+    out = None
+    for name, rows in panels.items():
+        first = rows.select("kepoi_name", "kepid").orderBy("kepoi_name").limit(most)
+        place = F.row_number().over(Window.orderBy("kepoi_name"))
+        made = first.select(F.lit(name).alias("panel"), place.alias("place"), "kepoi_name", "kepid")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def contaminated_stars(examples: DataFrame, most: int = 4) -> DataFrame:
+    """(place, kepid, contamination): the stars with several signals whose worst contamination is the greatest."""
+    worst = F.max(F.nanvl("contam_max_relative_to_depth", F.lit(None).cast("double"))).alias("contamination")
+    stars = examples.filter("n_kois_on_star > 1").groupBy("kepid").agg(worst).orderBy(F.desc_nulls_last("contamination"), "kepid").limit(most)
+    return stars.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("contamination"), "kepid")).alias("place"), "kepid", "contamination")

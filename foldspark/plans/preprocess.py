@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark.config import DatasetConfig, PreprocessingConfig, RepresentationConfig
 from foldspark.functions import ephemeris, is_finite
+from foldspark.lineage import settle
 from foldspark.operators import timeseries as ts
 from foldspark.operators import views
 from foldspark.schemas import EXAMPLE_CATALOG_COLUMNS, PROCESSED_COLUMNS
@@ -104,20 +105,21 @@ def build_examples(processed: DataFrame, labelled: DataFrame, stars: DataFrame,
     """One row per signal of the chosen ``stars`` (kepid, split): catalog columns, diagnostics, status and view arrays.
 
     ``labelled`` is the catalog after the label policy. Samples meet their star's signals in one join by star, which
-    the processed curves' layout serves; the views are aggregations by signal and bin. Signals without samples or
-    without an ephemeris keep their row.
+    the processed curves' layout serves; the views are aggregations by signal and bin, all of the same folded samples,
+    which are settled in the shared checkpoint folder. Signals without samples or without an
+    ephemeris keep their row.
     """
     config = config or DatasetConfig()
     r = config.representation
     for name in EXAMPLE_CATALOG_COLUMNS:
         labelled = labelled if name in labelled.columns else labelled.withColumn(name, F.lit(None).cast("double"))
-    signals = signals_of(labelled.join(stars.select("kepid", "split"), "kepid"))
+    signals = settle(signals_of(labelled.join(stars.select("kepid", "split"), "kepid")))
     usable = signals.filter(F.col("period").isNotNull() & (F.col("duration_hours") > 0))
-    diagnostics = star_diagnostics(processed)
+    diagnostics = settle(star_diagnostics(processed))
     enough = diagnostics.filter(F.col("n_points") >= r.min_valid_points).select("kepid")
     samples = processed.select("kepid", F.col("time_bkjd").alias("time"), F.col("flux_detrended").alias("flux"))
     keys = ["kepoi_name"]
-    folded = usable.join(enough, "kepid", "left_semi").select("kepid", *keys, "period", "epoch", "duration_hours", "depth", "siblings").join(samples, "kepid")
+    folded = settle(usable.join(enough, "kepid", "left_semi").select("kepid", *keys, "period", "epoch", "duration_hours", "depth", "siblings").join(samples, "kepid"))
     wide = views.as_arrays(views.global_view(folded, keys, r.global_bins), keys, r.global_bins, "global")
     near = views.as_arrays(views.local_view(folded, keys, r.local_bins, r.local_half_width_durations, r.local_bin_width_durations), keys, r.local_bins, "local")
     rows = signals.join(diagnostics, "kepid", "left")
