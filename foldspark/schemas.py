@@ -25,9 +25,10 @@ def _catalog_type(name: str) -> T.DataType:
 
 CATALOG = T.StructType([T.StructField(c, _catalog_type(c)) for c in CATALOG_COLUMNS])
 
+#: Fixed names that the label policy adds.
 LABEL_COLUMNS = ("label", "label_name", "training_status", "exclusion_reason", "label_policy")
 
-#: Columns of the catalog that an example keeps, besides the label's.
+#: Fixed names: columns of the catalog that an example keeps, besides the label's.
 EXAMPLE_CATALOG_COLUMNS = (
     "kepid", "kepoi_name", "kepler_name", "koi_disposition", "koi_pdisposition", *LABEL_COLUMNS, "koi_score",
     "koi_fpflag_nt", "koi_fpflag_ss", "koi_fpflag_co", "koi_fpflag_ec", "koi_period", "koi_time0bk", "koi_duration",
@@ -35,17 +36,19 @@ EXAMPLE_CATALOG_COLUMNS = (
     "koi_slogg", "koi_srad", "koi_kepmag", "koi_count",
 )
 
+#: Fixed names of the split manifest's columns.
 MANIFEST_COLUMNS = ("kepid", "kepoi_name", "split", "star_stratum", *LABEL_COLUMNS, "koi_disposition", "koi_pdisposition")
 
 LIGHT_CURVE = "kepid long, time double, flux double, flux_err double, quality long, quarter long"
 
+#: Fixed names of a processed curve's columns.
 PROCESSED_COLUMNS = (
     "kepid", "time_bkjd", "quarter", "flux_norm", "flux_err_norm", "trend", "flux_detrended", "flux_err_detrended", "in_known_transit_mask",
 )
 
 PRODUCTS = (
     "kepid long, quarter int, filename string, data_uri string, size_bytes long, obs_id string, author string, "
-    "exptime_seconds int, local_path string, sha256 string"
+    "exptime_seconds double, local_path string, sha256 string"
 )
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,14 +88,122 @@ def read_manifest(spark: SparkSession, path: str, verify: bool = False) -> DataF
     return rows
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): any store that Spark reads."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads exists."""
-    try:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count() > 0
-    except Exception as problem:
-        if "PATH_NOT_FOUND" in str(problem) or "does not exist" in str(problem):
-            return False
-        raise
+    place, store = _file_system(spark, path)
+    return store.exists(place)
+
+
+def replace(spark: SparkSession, made: str, path: str) -> None:
+    """Put a finished folder in the place of another one."""
+    place, store = _file_system(spark, path)
+    if store.exists(place):
+        store.delete(place, True)
+    if not store.rename(_file_system(spark, made)[0], place):
+        raise OSError(f"{made} could not be renamed to {path}")
+
+
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """A JSON document as a folder of one text file, which Spark commits as a whole."""
+    text = json.dumps(document, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", "true").text(path).first()["value"])
+
+
+def write_koi_manifest(subset: DataFrame, path: str, selection: dict, catalog: dict) -> dict:
+    """The signals of a subset as CSV and, beside it, a document of where they come from; the document is returned."""
+    spark = subset.sparkSession
+    subset.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/signals")
+    rows = spark.read.option("header", "true").csv(f"{path}/signals")
+    name = F.coalesce(F.col("label_name"), F.lit("excluded")).alias("label_name")
+    totals = rows.agg(F.count("*").alias("n_kois"), F.count_distinct("kepid").alias("n_targets")).first()
+    document = {
+        "created_at_utc": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "selection": selection, **totals.asDict(),
+        "label_counts": {r["label_name"]: r["count"] for r in rows.groupBy(name).count().collect()},
+        "catalog": {k: catalog.get(k) for k in ("table", "query", "retrieved_at_utc", "sha256", "n_rows")},
+        "sha256": {r["name"]: r["sha256"] for r in _checksums(spark, f"{path}/signals").collect()},
+    }
+    write_document(spark, f"{path}/provenance", document)
+    return document
+
+
+def _checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256) of each data file of a table."""
+    files = content_hashes(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return files.filter("NOT startswith(name, '_') AND NOT startswith(name, '.')").select("name", "sha256")
+
+
+def cached_catalog(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], refresh: bool = False) -> tuple[DataFrame, dict, bool]:
+    """(catalog, its document, whether it was there): a snapshot that is fetched once and then read back.
+
+    A snapshot counts if table and document exist and no refresh is asked for; its files must match their checksums.
+    """
+    if exists(spark, f"{path}/table") and exists(spark, f"{path}/document") and not refresh:
+        document = read_document(spark, f"{path}/document")
+        verify_hashes(spark, f"{path}/table", document["sha256"])
+        return read_catalog(spark, f"{path}/table", "parquet"), document, True
+    fetched = schemas.require(fetch(), *schemas.CATALOG_COLUMNS)
+    fetched.write.mode("overwrite").parquet(f"{path}/table")
+    made = spark.read.parquet(f"{path}/table")
+    totals = made.agg(F.count("*").alias("n_rows"), F.count_distinct("kepid").alias("n_unique_kepid")).first().asDict()
+    document = {
+        "retrieved_at_utc": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), **totals, "columns": made.columns,
+        "sha256": {r["name"]: r["sha256"] for r in _checksums(spark, f"{path}/table").collect()},
+    }
+    write_document(spark, f"{path}/document", document)
+    return read_catalog(spark, f"{path}/table", "parquet"), document, False
+
+
+def write_dataset(examples: DataFrame, log: DataFrame, path: str, info: dict | None = None) -> dict:
+    """A built dataset: examples with their arrays, the log of stars, checksums and a document of counts.
+
+    Everything is written beside the path and takes its place when it is whole, so a reader never sees a part.
+    """
+    spark, stage = examples.sparkSession, f"{path}.building"
+    examples.write.mode("overwrite").parquet(f"{stage}/examples")
+    log.write.mode("overwrite").parquet(f"{stage}/log")
+    made, stars = spark.read.parquet(f"{stage}/examples"), spark.read.parquet(f"{stage}/log")
+    counts = [r.asDict() for r in dataset_counts(made).collect()]
+    total = sum(r["n"] for r in counts)
+    if not total:
+        raise ValueError("a dataset needs examples")
+    _checksums(spark, f"{stage}/examples").write.mode("overwrite").parquet(f"{stage}/checksums")
+    document = {
+        **(info or {}), "created_at_utc": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "n_examples": total,
+        "n_examples_ok": sum(r["n"] for r in counts if r["example_status"] == "ok"), "counts": counts,
+        "n_trainable": sum(r["n"] for r in counts if r["example_status"] == "ok" and r["training_status"] == "train_eligible"),
+        "star_status": {r["status"]: r["count"] for r in stars.groupBy("status").count().collect()},
+    }
+    write_document(spark, f"{stage}/document", document)
+    replace(spark, stage, path)
+    return document
+
+
+def load_dataset(spark: SparkSession, path: str, verify: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+    """(examples, log, document) of a written dataset, whose rows must be as many as the document says.
+
+    With ``verify`` every file's checksum is compared as well, as a join of two tables.
+    """
+    document = read_document(spark, f"{path}/document")
+    examples = spark.read.parquet(f"{path}/examples")
+    if examples.count() != document["n_examples"]:
+        raise ValueError("examples and document disagree on the number of examples")
+    if verify:
+        known = spark.read.parquet(f"{path}/checksums").withColumnRenamed("sha256", "known")
+        wrong = _checksums(spark, f"{path}/examples").join(known, "name", "full").filter(~F.col("sha256").eqNullSafe(F.col("known")))
+        if not wrong.isEmpty():
+            raise ValueError(f"files that don't match their checksums: {[r['name'] for r in wrong.limit(20).collect()]}")
+    return examples, spark.read.parquet(f"{path}/log"), document
 
 
 def dataset_counts(examples: DataFrame) -> DataFrame:
