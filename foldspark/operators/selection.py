@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,15 @@ def eligible_stars(manifest: DataFrame) -> DataFrame:
     return stars.withColumn("pool", star_pool("star_stratum")).filter(F.col("pool").isNotNull())
 
 
-def select_stars(manifest: DataFrame, config: StarSelectionConfig | None = None, splits: SplitConfig | None = None) -> DataFrame:
-    """(kepid, split, star_stratum, selection_reason): named stars, and others drawn by split and pool or all of them."""
+def select_stars(manifest: DataFrame, config: StarSelectionConfig | None = None, splits: SplitConfig | None = None, order: str = "md5") -> DataFrame:
+    """(kepid, split, star_stratum, selection_reason): named stars, and others drawn by split and pool or all of them.
+
+    ``order="md5"`` draws by a hash, in as many tasks as there are buckets; ``order="generator"`` draws from the sorted
+    ids by the seeded generator on the driver, for choices that must equal those of another implementation, and is for
+    catalogs of a few thousand stars.
+    """
+    if order not in ("md5", "generator"):
+        raise ValueError(f"unknown order {order}")
     config, splits = config or StarSelectionConfig(), splits or SplitConfig()
     stars = manifest.groupBy("kepid").agg(F.min("split").alias("split"), F.min("star_stratum").alias("star_stratum"))
     named = stars.filter(F.col("kepid").isin([int(k) for k in config.include_kepids])) if config.include_kepids else stars.filter(F.lit(False))
@@ -61,11 +69,24 @@ def select_stars(manifest: DataFrame, config: StarSelectionConfig | None = None,
         for split in SPLITS:
             for name, n in cut_sizes(per_split[split], dict.fromkeys(POOLS, 0.5)).items():
                 wanted = F.when((F.col("split") == split) & (F.col("pool") == name), n).otherwise(wanted)
-        drawn = hash_rank(pool, ["split", "pool"], "kepid", config.seed).filter(F.col("rank") <= wanted).withColumn("selection_reason", F.lit("sampled"))
+        ranked = hash_rank(pool, ["split", "pool"], "kepid", config.seed) if order == "md5" else _generated(pool, config.seed, wanted)
+        drawn = ranked.filter(F.col("rank") <= wanted).withColumn("selection_reason", F.lit("sampled"))
     columns = ["kepid", "split", "star_stratum", "selection_reason"]
     return named.withColumn("selection_reason", F.lit("include_kepids")).select(columns).unionByName(drawn.select(columns))
 
 
+def _generated(pool: DataFrame, seed: int, wanted, limit: int = 1_000_000) -> DataFrame:
+    """pool with rank 1 for the stars that the generator of their split and pool draws, and beyond any limit for others."""
+    rows = guard_size(pool, limit, "stars for order='generator'").withColumn("_wanted", wanted).orderBy("kepid").collect()
+    drawn = []
+    for s, split in enumerate(SPLITS):
+        for p, name in enumerate(POOLS):
+            mine = [r for r in rows if r["split"] == split and r["pool"] == name]
+            n = min(len(mine), mine[0]["_wanted"]) if mine else 0
+            drawn += [mine[k]["kepid"] for k in np.random.default_rng([seed, s, p]).choice(len(mine), size=n, replace=False)]
+    return pool.filter(F.col("kepid").isin(drawn)).withColumn("rank", F.lit(1))
+
+
 def select_products(products: DataFrame, config: ProductConfig | None = None) -> DataFrame:
     """Of each star's products one a quarter (the first by filename), from the wanted quarters, the first few."""
     config = config or ProductConfig()

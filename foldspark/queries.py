@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldspark import functions as fn
-from foldspark.config import DatasetConfig, DetrendConfig, PreprocessingConfig, RepresentationConfig, SearchConfig, SelectionConfig, SplitConfig, StarSelectionConfig
+from foldspark.config import DatasetConfig, DetrendConfig, PreprocessingConfig, ProductConfig, RepresentationConfig, SearchConfig, SelectionConfig, SplitConfig, StarSelectionConfig
 from foldspark.operators import labels, perturb, search, selection, splits, statistics, tensors, views
 from foldspark.operators import timeseries as ts
 from foldspark.plans import api, jobs
 from foldspark.plans import preprocess as prep
+from foldspark.sources import products
 from foldspark.sources.testdata import catalog, light_curve, signals, table
 
 GAP, WINDOW, POINTS, BINS, FACTOR = 1.0, 4.0, 3, 16, 1.5
@@ -56,7 +57,7 @@ _CAT = """cat AS (SELECT o_custkey AS kepid, 'K' || lpad(o_orderkey::VARCHAR, 8,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CANDIDATE' WHEN '2' THEN 'FALSE POSITIVE' WHEN '3' THEN 'candidate ' WHEN '4' THEN 'NOT DISPOSITIONED' END AS koi_pdisposition,
   0.5::DOUBLE + (o_orderkey % 97) / 10.0::DOUBLE AS koi_period, (o_orderkey % 31) / 10.0::DOUBLE AS koi_time0bk,
   CASE WHEN o_orderkey % 23 <> 0 THEN 1.0::DOUBLE + o_orderkey % 7 END AS koi_duration, o_totalprice AS koi_depth, o_orderkey FROM orders)"""
-_SIG = f"{_CAT}, sig AS (SELECT * FROM cat QUALIFY row_number() OVER (PARTITION BY kepid ORDER BY o_orderkey) <= 3)"
+_SIG = f"{_CAT}, sig AS (SELECT * FROM cat)"
 _NORMAL = "nullif(trim(regexp_replace(upper({}), '\\s+', ' ', 'g')), '')"
 _LAB = f"""{_CAT}, nrm AS (SELECT *, {_NORMAL.format("koi_disposition")} AS a, {_NORMAL.format("koi_pdisposition")} AS p FROM cat),
 oc AS (SELECT *, CASE WHEN a IS NULL OR p IS NULL THEN 'missing_disposition' WHEN a = 'NOT DISPOSITIONED' OR p = 'NOT DISPOSITIONED' THEN 'not_dispositioned'
@@ -246,7 +247,9 @@ def detrend_fold_bin(spark, d):
     flat = ts.running_median_trend(_segmented(spark, d), WINDOW, POINTS).select("kepid", "time", (F.col("flux") / F.col("trend")).alias("flat"))
     known = signals(spark, d).select("kepid", "kepoi_name", "koi_period", "koi_time0bk")
     phases = flat.join(known, "kepid").withColumn("phase", fn.phase_fold("time", *_EPH) / F.col("koi_period"))
-    return r6(views.bin_curve(phases, ["kepoi_name"], "phase", "flat", -0.5, 0.5, BINS), "value")
+    sampled = ts.clean(light_curve(spark, d)).select("kepid").distinct()
+    named = known.join(sampled, "kepid", "left_semi").select("kepoi_name")
+    return r6(views.bin_curve(phases, ["kepoi_name"], "phase", "flat", -0.5, 0.5, BINS, groups=named), "value")
 
 
 # Views of signals.
@@ -334,10 +337,24 @@ def folded_depth(spark, d):
     return views.folded_depth(_folded(spark, d), ["kepoi_name"]).withColumn("depth_ppm", F.round("depth_ppm", 2))
 
 
-@query(f"""WITH {_NORM} SELECT kepid, count(*) AS n_points, count(DISTINCT quarter) AS n_quarters, 0.0::DOUBLE AS star_mask_fraction, round(stddev_pop(flux) * 1e6, 0) AS star_trend_rms_ppm FROM nm GROUP BY kepid""")
+_TREND = _trend_sql(_MASKED, "mk", "NOT masked").replace("round(coalesce(", "(coalesce(").replace("fallback), 6)", "fallback))")
+
+
+@query(f"""WITH t AS ({_TREND}), m AS (WITH {_MASKED} SELECT * FROM mk), j AS (SELECT m.*, trend FROM m JOIN t USING (kepid, event_id))
+SELECT kepid, count(*) AS n_points, count(DISTINCT quarter) AS n_quarters, round(avg(masked::INT), 6) AS star_mask_fraction, round(stddev_pop(trend) * 1e6, 0) AS star_trend_rms_ppm FROM j GROUP BY kepid""")
 def star_diagnostics(spark, d):
-    rows = _normalised(spark, d).withColumn("trend", F.col("flux")).withColumn("in_known_transit_mask", F.lit(False))
-    return prep.star_diagnostics(rows).withColumn("star_trend_rms_ppm", F.round("star_trend_rms_ppm", 0))
+    rows = ts.running_median_trend(_masked(spark, d), WINDOW, POINTS, ~F.col("masked")).withColumnRenamed("masked", "in_known_transit_mask")
+    return r6(prep.star_diagnostics(rows), "star_mask_fraction").withColumn("star_trend_rms_ppm", F.round("star_trend_rms_ppm", 0))
+
+
+@query(f"""WITH t AS ({_TREND}), m AS (WITH {_MASKED} SELECT * FROM mk)
+SELECT kepid, round(time, 6) AS time_bkjd, quarter::SMALLINT AS quarter, round(flux, 6) AS flux_norm, round(flux_err, 6) AS flux_err_norm, round(trend, 6) AS trend,
+round(flux / trend, 6) AS flux_detrended, round(flux_err / trend, 6) AS flux_err_detrended, masked AS in_known_transit_mask FROM m JOIN t USING (kepid, event_id)""")
+def processed_curves(spark, d):
+    """Whole star processing: clean, normalise, segment, mask, detrend."""
+    detrend = DetrendConfig(window_days=WINDOW, gap_days=GAP, min_points=POINTS, mask_known_transits=True, mask_duration_factor=FACTOR)
+    out = prep.preprocess(light_curve(spark, d), PreprocessingConfig(detrend=detrend, clip_upper_sigma=None), labels.apply_label_policy(signals(spark, d)))
+    return r6(out, "time_bkjd", "flux_norm", "flux_err_norm", "trend", "flux_detrended", "flux_err_detrended")
 
 
 # Catalog, labels and splits.
@@ -382,11 +399,16 @@ def split_summary(spark, d):
     return splits.split_summary(splits.build_split_manifest(_labelled(spark, d)))
 
 
-@query(f"""WITH {_SPLIT}, w AS (SELECT kepid, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b, bool_or(split = 'test') AS c FROM mf GROUP BY kepid)
+@query(f"""WITH {_SPLIT}, lk AS (SELECT kepid, kepoi_name, split FROM mf UNION ALL
+SELECT kepid, kepoi_name, CASE split WHEN 'train' THEN 'val' WHEN 'val' THEN 'test' ELSE 'train' END FROM mf WHERE kepoi_name LIKE '%0'),
+w AS (SELECT kepid, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b, bool_or(split = 'test') AS c FROM lk GROUP BY kepid)
 SELECT count(*) FILTER (a AND b) AS shared_kic_train_val, count(*) FILTER (a AND c) AS shared_kic_train_test, count(*) FILTER (b AND c) AS shared_kic_val_test,
-(SELECT count(*) - count(DISTINCT kepoi_name) FROM mf) AS duplicate_koi_ids FROM w""")
+(SELECT count(*) - count(DISTINCT kepoi_name) FROM lk) AS duplicate_koi_ids FROM w""")
 def leakage_check(spark, d):
-    return splits.leakage_counts(splits.build_split_manifest(_labelled(spark, d)))
+    """The counts of a manifest that has been made to leak."""
+    manifest = splits.build_split_manifest(_labelled(spark, d))
+    moved = F.when(F.col("split") == "train", "val").when(F.col("split") == "val", "test").otherwise("train")
+    return splits.leakage_counts(manifest.unionByName(manifest.filter(F.col("kepoi_name").endswith("0")).withColumn("split", moved)))
 
 
 _SUBSET = f"{_LAB}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || kepoi_name), kepoi_name) AS k FROM lab WHERE label IS NOT NULL)"
@@ -413,8 +435,6 @@ def select_stars(spark, d):
 o AS (SELECT * FROM p WHERE quarter IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY kepid, quarter ORDER BY filename) = 1)
 SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY kepid ORDER BY quarter, filename) <= 2""")
 def select_products(spark, d):
-    from foldspark.config import ProductConfig
-
     files = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("kepid"), F.col("l_linenumber").alias("quarter"), F.concat(F.lit("f"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0")).alias("filename")
     )
@@ -456,10 +476,85 @@ def sibling_signals(spark, d):
     return listed.select("kepoi_name", F.col("s.kepoi_name").alias("sibling"), F.col("s.period_days").alias("sibling_period"))
 
 
-@query("SELECT 0::BIGINT AS only_in_catalog, 0::BIGINT AS only_in_manifest, 0::BIGINT AS different_labels")
+@query(f"""WITH {_SPLIT}, a AS (SELECT kepoi_name, label FROM lab WHERE kepoi_name NOT LIKE '%3'),
+b AS (SELECT kepoi_name, CASE WHEN kepoi_name LIKE '%5' THEN 1 - label ELSE label END AS label FROM mf WHERE kepoi_name NOT LIKE '%7')
+SELECT count(*) FILTER (b.kepoi_name IS NULL) AS only_in_catalog, count(*) FILTER (a.kepoi_name IS NULL) AS only_in_manifest,
+count(*) FILTER (a.kepoi_name IS NOT NULL AND b.kepoi_name IS NOT NULL AND a.label IS DISTINCT FROM b.label) AS different_labels FROM a FULL JOIN b USING (kepoi_name)""")
 def label_agreement(spark, d):
-    labelled = _labelled(spark, d)
-    return jobs.agree(labelled, splits.build_split_manifest(labelled))
+    """A catalog against a manifest that each lack signals of the other and differ in labels."""
+    labelled, name = _labelled(spark, d), F.col("kepoi_name")
+    manifest = splits.build_split_manifest(labelled).filter(~name.endswith("7"))
+    return jobs.agree(labelled.filter(~name.endswith("3")), manifest.withColumn("label", F.when(name.endswith("5"), 1 - F.col("label")).otherwise(F.col("label"))))
+
+
+# Reports of a dataset, on signals that stand for its examples.
+
+_EXAMPLES = f"""{_SPLIT}, ex AS (SELECT mf.kepid, mf.kepoi_name, split, label, training_status, CASE WHEN kepoi_name LIKE '%1' THEN 'insufficient_points' ELSE 'ok' END AS example_status,
+count(*) OVER (PARTITION BY mf.kepid) AS n_kois_on_star, cat.koi_depth / 1e5::DOUBLE AS contam FROM mf JOIN cat USING (kepoi_name))"""
+
+
+def _example_rows(spark, d):
+    rows = splits.build_split_manifest(_labelled(spark, d)).join(catalog(spark, d).select("kepoi_name", "koi_depth"), "kepoi_name")
+    status = F.when(F.col("kepoi_name").endswith("1"), "insufficient_points").otherwise("ok")
+    rows = rows.withColumn("example_status", status).withColumn("contam_max_relative_to_depth", F.col("koi_depth") / F.lit(1e5))
+    return rows.withColumn("n_kois_on_star", F.count("*").over(Window.partitionBy("kepid")))
+
+
+@query(f"""WITH {_EXAMPLES} SELECT kepoi_name, 'test' AS split, nullif(split, 'val') AS manifest_split FROM ex WHERE kepoi_name LIKE '%9' AND split <> 'test'""")
+def split_mismatches(spark, d):
+    """Examples that claim another split than the manifest, which lacks the validation split."""
+    rows = _example_rows(spark, d)
+    manifest = rows.filter((F.col("split") != "val") | ~F.col("kepoi_name").endswith("9"))
+    claimed = rows.withColumn("split", F.when(F.col("kepoi_name").endswith("9"), "test").otherwise(F.col("split")))
+    return jobs.split_mismatches(claimed, manifest)
+
+
+@query(f"""WITH {_EXAMPLES}, ok AS (SELECT * FROM ex WHERE example_status = 'ok' AND training_status = 'train_eligible'),
+pn AS (SELECT 'positive' AS panel, * FROM ok WHERE label = 1 UNION ALL SELECT 'negative', * FROM ok WHERE label = 0 UNION ALL SELECT 'multi', * FROM ok WHERE kepid = (SELECT min(kepid) FROM ok WHERE n_kois_on_star >= 3)),
+pl AS (SELECT panel, row_number() OVER (PARTITION BY panel ORDER BY kepoi_name)::INT AS place, kepoi_name, kepid FROM pn) SELECT * FROM pl WHERE place <= 3""")
+def shown_examples(spark, d):
+    return jobs.shown_examples(_example_rows(spark, d))
+
+
+@query(f"""WITH {_EXAMPLES}, st AS (SELECT kepid, max(contam) AS contamination FROM ex WHERE n_kois_on_star > 1 GROUP BY kepid),
+pl AS (SELECT row_number() OVER (ORDER BY contamination DESC NULLS LAST, kepid)::INT AS place, * FROM st) SELECT place, kepid, round(contamination, 6) AS contamination FROM pl WHERE place <= 4""")
+def contaminated_stars(spark, d):
+    return r6(jobs.contaminated_stars(_example_rows(spark, d)), "contamination")
+
+
+# Products.
+
+_FILES = """li AS (SELECT l_suppkey AS kepid, l_linenumber AS quarter, 'f' || lpad(l_orderkey::VARCHAR, 10, '0') AS filename, l_orderkey % 1000 AS size_bytes, l_orderkey FROM lineitem),
+fl AS (SELECT DISTINCT filename FROM li WHERE l_orderkey % 3 <> 0),
+mn AS (SELECT kepid, CASE WHEN kepid % 8 = 0 THEN 'p' ELSE 'other' END AS policy, filename FROM li WHERE kepid % 4 = 0 AND quarter = 7 AND l_orderkey % 6 <> 0),
+ca AS (SELECT kepid, count(mn.filename) AS n FROM mn LEFT JOIN fl USING (filename) WHERE policy = 'p' GROUP BY kepid HAVING bool_and(fl.filename IS NOT NULL)),
+o1 AS (SELECT * FROM li WHERE kepid % 5 <> 0 AND quarter IN (1, 3, 5) QUALIFY row_number() OVER (PARTITION BY kepid, quarter ORDER BY filename) = 1),
+o2 AS (SELECT * FROM o1 QUALIFY row_number() OVER (PARTITION BY kepid ORDER BY quarter, filename) <= 2),
+ch AS (SELECT kepid, count(*) AS n, sum(CASE WHEN fl.filename IS NULL THEN size_bytes ELSE 0 END) AS need FROM o2 LEFT JOIN fl USING (filename) GROUP BY kepid)"""
+
+
+def _products(spark, d):
+    """(products found, manifests, stored files) from the line items."""
+    key = F.col("l_orderkey")
+    name = F.concat(F.lit("f"), F.lpad(key.cast("string"), 10, "0"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("kepid"), F.col("l_linenumber").alias("quarter"), name.alias("filename"), (key % 1000).alias("size_bytes"), key.alias("key"))
+    policy = F.when(F.col("kepid") % 8 == 0, "p").otherwise("other")
+    manifests = rows.filter("kepid % 4 = 0 AND quarter = 7 AND key % 6 <> 0").select("kepid", policy.alias("policy"), "filename")
+    return rows.filter("kepid % 5 <> 0").drop("key"), manifests, rows.filter("key % 3 <> 0").select("filename")
+
+
+@query(f"WITH {_FILES} SELECT kepid, n AS n_products FROM ca")
+def cached_products(spark, d):
+    _, manifests, files = _products(spark, d)
+    return products.cached_products(manifests, files, "p")
+
+
+@query(f"""WITH {_FILES} SELECT s_suppkey AS kepid, CASE WHEN ca.kepid IS NOT NULL THEN 'cached' WHEN ch.kepid IS NULL THEN 'no_products' WHEN need > 600 THEN 'error' ELSE 'download' END AS status,
+coalesce(ca.n, ch.n, 0) AS n_products, CASE WHEN ca.kepid IS NULL THEN coalesce(need, 0) ELSE 0 END::BIGINT AS needed_bytes FROM supplier LEFT JOIN ca ON ca.kepid = s_suppkey LEFT JOIN ch ON ch.kepid = s_suppkey""")
+def fetch_status(spark, d):
+    found, manifests, files = _products(spark, d)
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("kepid"))
+    return products.fetch_status(targets, manifests, found, files, ProductConfig(quarters=(1, 3, 5), max_products_per_target=2), policy="p", budget=600)
 
 
 # Statistics.
@@ -627,6 +722,16 @@ def api_lightcurve(spark, d):
     return r6(api.light_curve(_tables(spark, d), "1"), "time_bkjd", "flux_norm", "flux_detrended")
 
 
+@query(f"""WITH {_NORM}, f AS (SELECT kepid // {FIELD} AS kepid, time, flux, quarter FROM nm WHERE kepid // {FIELD} = 1), s AS (SELECT min(time) AS lo, max(time) AS hi FROM f),
+b AS (SELECT f.*, {_bin("time", "lo", "hi", 100)} AS bin FROM f, s)
+SELECT kepid, bin, round(avg(time), 6) AS time_bkjd, round(avg(flux), 6) AS flux_norm, 1.0::DOUBLE AS trend, round(avg(flux), 6) AS flux_detrended, round_even(avg(quarter), 0)::INT AS quarter FROM b GROUP BY kepid, bin""")
+def api_lightcurve_binned(spark, d):
+    """The second field of stars, whose samples are more than the points asked for."""
+    tables = _tables(spark, d)
+    field = tables.processed.withColumn("kepid", F.floor(F.col("kepid") / FIELD).cast("long"))
+    return r6(api.light_curve(api.Tables(tables.catalog, field), "1", max_points=100), "time_bkjd", "flux_norm", "flux_detrended")
+
+
 @query(f"""WITH {_NORM}, e AS (SELECT -(least(24.0::DOUBLE, 12.0::DOUBLE * koi_period)) AS lo, koi_period AS p, koi_time0bk AS t0 FROM (SELECT * FROM ({"WITH " + _CAT} SELECT * FROM cat) WHERE kepid = 1 ORDER BY kepoi_name LIMIT 1)),
 h AS (SELECT kepid, {_fold("time", "p", "t0")} * 24.0::DOUBLE AS x, flux, lo FROM nm, e WHERE kepid = 1), i AS (SELECT * FROM h WHERE abs(x) <= -lo),
 b AS (SELECT kepid, {_bin("x", "lo", "(-lo)", 12)} AS bin, flux FROM i), g AS (SELECT kepid, bin, median(flux) AS v, count(*) AS n FROM b GROUP BY ALL),
@@ -665,9 +770,14 @@ def bls_search(spark, d):
     return inputs.select("kepid", "status", "n_points").join(search.best_peaks(found, ["kepid"]), "kepid", "left")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SERIES}, o AS (SELECT kepid, period, power, row_number() OVER (PARTITION BY kepid ORDER BY power DESC, period DESC) AS r FROM se WHERE period > 0),
+g AS (SELECT kepid, r, [{{'p': period, 'q': power}}] AS taken FROM o WHERE r = 1 UNION ALL
+SELECT o.kepid, o.r, CASE WHEN len(taken) >= 5 OR len(list_filter(taken, lambda t: abs(period - t.p) / t.p <= 0.01)) > 0 THEN taken ELSE list_append(taken, {{'p': period, 'q': power}}) END
+FROM g JOIN o ON o.kepid = g.kepid AND o.r = g.r + 1), e AS (SELECT kepid, arg_max(taken, r) AS taken FROM g GROUP BY kepid), u AS (SELECT kepid, taken, unnest(range(len(taken))) AS i FROM e)
+SELECT kepid, i::INT AS place, round(taken[i + 1].p, 6) AS period_days, taken[i + 1].q AS power FROM u""")
 def top_peaks(spark, d):
-    return search.top_peaks(_series(spark, d).filter("period > 0"), ["kepid"], k=5, apart=0.01)
+    found = search.top_peaks(_series(spark, d).filter("period > 0"), ["kepid"], k=5, apart=0.01)
+    return r6(found.select("kepid", F.posexplode("top_peaks").alias("place", "peak")).select("kepid", "place", "peak.*"), "period_days")
 
 
 @query()
