@@ -38,7 +38,13 @@ def running_sums(df: DataFrame, group: list[str], order: str, measures: list[str
     quantiles of each group, so they hold about equally many rows.
     """
     cuts = df.groupBy(*group).agg(F.percentile_approx(order, F.array(*(F.lit(k / buckets) for k in range(1, buckets))), F.lit(10_000)).alias("_cuts"))
-    placed = df.join(cuts, group).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    # A value is placed by every step-th cut and then by the cuts of one step.
+    step = max(1, int(buckets**0.5))
+    cuts = cuts.withColumn("_heads", F.filter("_cuts", lambda c, k: (k + 1) % step == 0))
+    cuts = cuts.withColumn("_runs", F.transform(F.sequence(F.lit(0), F.size("_heads")), lambda k: F.slice("_cuts", k * step + 1, step)))
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col(order)))
+    placed = df.join(cuts.drop("_cuts"), group).withColumn("_head", below("_heads"))
+    placed = placed.withColumn("_bucket", F.col("_head") * step + below(F.get("_runs", F.col("_head")))).drop("_heads", "_runs", "_head")
     inside = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*group, "_bucket").agg(*(F.sum(m).alias(f"_t_{m}") for m in measures))

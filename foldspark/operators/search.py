@@ -119,15 +119,19 @@ def periodogram(inputs: DataFrame, keys: list[str], config: SearchConfig) -> Dat
     """(keys, k, PERIODOGRAM) of every period of every key whose status is ok.
 
     A key's samples are shuffled once for each of its blocks of periods, which are as many as the cores need to be busy:
-    one where keys outnumber twice the cores. ``config.chunk`` is the least number of periods worth a block.
+    one where keys outnumber the tasks. ``config.chunk`` is the least number of periods worth a block.
     """
     ready = inputs.filter("status = 'ok'")
     # The samples' arrays aren't made for this count, as it doesn't need them.
-    wanted = -(-2 * inputs.sparkSession.sparkContext.defaultParallelism // max(1, ready.select(*keys).count()))
+    spark = inputs.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    wanted = -(-tasks // max(1, ready.select(*keys).count()))
     blocks = F.least(F.lit(wanted), F.ceil(F.col("n_periods") / config.chunk)).cast("int")
     chunks = ready.withColumn("blocks", blocks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     durations = np.sort(np.array(config.durations_hours)) / 24.0
-    spread = chunks.select(*keys, "t", "y", "e", "hi", "n_periods", "blocks", "block").repartition(*keys, "block")
+    spread = chunks.select(*keys, "t", "y", "e", "hi", "n_periods", "blocks", "block")
+    # With a number, as few small rows would be merged into one task.
+    spread = spread.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys, "block")
     names = [c.split()[0] for c in PERIODOGRAM.split(", ")]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

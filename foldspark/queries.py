@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foldspark import functions as fn
 from foldspark.config import DatasetConfig, DetrendConfig, PreprocessingConfig, ProductConfig, RepresentationConfig, SearchConfig, SelectionConfig, SplitConfig, StarSelectionConfig
+from foldspark.lineage import settle
 from foldspark.operators import labels, perturb, search, selection, splits, statistics, tensors, views
 from foldspark.operators import timeseries as ts
 from foldspark.plans import api, jobs
@@ -765,7 +766,7 @@ _SEARCH = SearchConfig(min_period_days=1.0, max_period_days=10.0, durations_hour
 
 @query()
 def bls_search(spark, d):
-    inputs = search.search_inputs(_fields(spark, d), ["kepid"], _SEARCH)
+    inputs = settle(search.search_inputs(_fields(spark, d), ["kepid"], _SEARCH))
     found = search.periodogram(inputs, ["kepid"], _SEARCH)
     return inputs.select("kepid", "status", "n_points").join(search.best_peaks(found, ["kepid"]), "kepid", "left")
 
