@@ -5,8 +5,9 @@ each rank to the positions where a pair that merges at this rank begins; the ran
 at once with array operations, and only the neighbours of a merged pair get new index entries. The ids of a word are
 then remembered by the task, up to a bound, and a document's ids are those of its words.
 
-Edge cases: a null or empty text has no ids; repeated rows keep their rows; a null id stays null; other columns are
-ignored. An id that the vocabulary lacks makes decoding fail.
+Edge cases: a null or empty text has no ids; a very long text is a block of its own, encoded whole; of equal pairs the
+leftmost merges first; repeated rows keep their rows; a null id stays null; other columns are ignored; an empty table
+gives an empty result. An id that the vocabulary lacks makes decoding fail.
 """
 
 from __future__ import annotations

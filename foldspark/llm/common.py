@@ -33,6 +33,13 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foldspark-"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def blocks_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most ``rows`` rows, with at most ``size`` bytes of text unless a single row has more."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -122,7 +129,10 @@ def sample_ids(rows: DataFrame, id_col: str, class_col: str, per_class: int) ->
 
 
 def rows_of(df: DataFrame, id_col: str, ids: list[int], *columns: str) -> DataFrame:
-    """One row for each of these (few) ids: the id and the least of its rows' values."""
+    """One row for each of these (few) ids: the id and the least of its rows' values.
+
+    Null values are the least, so a repeated id may give nulls.
+    """
     found = df.filter(F.col(id_col).isin([int(i) for i in ids]))
     least = found.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(*columns)).alias("row"))
     return least.select("id", "row.*")

@@ -9,7 +9,8 @@ first table where it meets, and a unit returns link counts and a spanning forest
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, and neither
 does a row with a null id (its component is null and it is not kept); repeated rows count as vectors of their own;
-vectors of unlike lengths never link; other columns are ignored.
+a cosine that equals the threshold links; vectors of unlike lengths never link; very long vectors are hashed whole;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

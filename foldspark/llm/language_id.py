@@ -7,7 +7,9 @@ n-grams, landmarks and regression weights multiply out to one matrix, and a bloc
 its presence matrix with it.
 
 Edge cases: a null text, or one without a letter, gives ``und`` with score 0, as do all texts where nothing can be
-learned; repeated rows keep their rows; a null id is never learned from and not held out; other columns are ignored.
+learned; a very long text is hashed whole, in chunks; of languages with equal scores the first by name is taken;
+repeated rows keep their rows, and of rows that repeat an id only the least is learned from; a null id is never learned
+from and not held out; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from foldspark.llm.common import crc_of, map_rows, rows_of, sample_ids
 MAX_GRAM, DIMENSIONS = 4, 1 << 16
 #: Documents of each language to learn from, landmarks of each language, and the ridge of the regression.
 PER_LANGUAGE, LANDMARKS, RIDGE = 300, 48, 1e-3
+#: Documents and landmarks of all languages together: with more than 25 or 20 languages each has a smaller part.
+MOST_DOCUMENTS, MOST_LANDMARKS = 7500, 960
 #: Characters of the short stretch of each document that is learned beside the whole.
 STRETCH = 80
 #: Characters hashed at once.
@@ -83,6 +87,7 @@ def fit(found: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, rid
     if not names:
         return Model([], np.zeros((DIMENSIONS, 0), dtype=np.float32), 1.0)
     of = np.array([names.index(x) for x in languages])
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(names)))
     chosen = np.concatenate([np.flatnonzero(of == k)[:landmarks] for k in range(len(names))])
     unit = np.unpackbits(found[chosen], axis=1).astype(np.float32)
     unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
@@ -105,8 +110,10 @@ def fit(found: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, rid
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from at most ``per_language`` rows of each language; executors send packed presence bits only."""
-    picked = sample_ids(docs.filter(F.col(text_col).isNotNull()), id_col, lang_col, per_language)
-    chosen = rows_of(docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, list(picked), text_col, lang_col)
+    picked = sample_ids(docs, id_col, lang_col, per_language)
+    share = max(1, MOST_DOCUMENTS // max(1, len(set(picked.values()))))
+    ids = [i for name in sorted(set(picked.values()), key=str) for i in [k for k, v in picked.items() if v == name][:share]]
+    chosen = rows_of(docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, ids, text_col, lang_col)
 
     def rows(columns: list[list]) -> Iterator[tuple]:
         for doc_id, text, lang in zip(*columns):

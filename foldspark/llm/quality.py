@@ -5,9 +5,11 @@ ordered thresholds part them. It gives the expected grade and the probability of
 selected. The features are hashed words, word shapes and shape pairs of the whole text, and hashed bands of its
 repetition, case, length and symbol rates.
 
-Edge cases: a null or empty text has the features of an empty text and is scored like any other; without ratings, or
-with a single grade, every tail probability is 1; repeated rows keep their rows; a null id is never learned from; other
-columns are kept by the filter and ignored by the scores.
+Edge cases: a null or empty text has the features of an empty text and is scored like any other; a very long text is
+read whole; without ratings, or with a single grade, every tail probability is 1; a probability that equals the limit
+keeps its document; repeated rows keep their rows, and of rows that repeat an id the least is learned from; a null id is
+never learned from; other columns are kept by the filter and ignored by the scores; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ a pair, only the nearer one visits the ring of the other, and from there on it v
 by the triangle inequality each pair within the radius meets in one leaf. Inside a leaf a second tree, over the leaf's
 own fingerprints, prunes in the same way down to small blocks that are compared exactly.
 
-Edge cases: a null or empty text, or one without words, has fingerprint zero and links like any other; equal
+Edge cases: a null or empty text, or one without words, has fingerprint zero and links like any other; a very long text
+is hashed whole; a bit that is set in exactly half the hashes is 0; equal
 fingerprints form one class before any search; repeated rows keep their rows; components join fingerprints, never ids,
 so rows with a null id link by their text and rows that share an id but not their text stay apart; a component's id is
 its least id, null if all its ids are; other columns are ignored; an empty table gives an empty result.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import connected, local_components, map_rows, use_checkpoints
 
 SEED = 42
-#: Fingerprints in the sample that the tree of shards is built from.
-SAMPLE = 16384
+#: Fingerprints in the sample that the tree of shards is built from: one of SAMPLED, at least SAMPLE and at most MOST (8 MB
+#: on the driver, enough leaves for two thousand million fingerprints; beyond it leaves are cut into blocks).
+SAMPLE, SAMPLED, MOST = 16384, 512, 1 << 20
 #: Fingerprints that a leaf stores, and queries that one task holds, before the leaf is split into blocks.
 LEAF, LEAF_QUERIES = 16384, 262144
 RINGS = 4
@@ -155,6 +157,7 @@ def link_fingerprints(classes: DataFrame, radius: int = 2, leaf: int = LEAF, sam
     Each leaf gives a star for each of its local components, never all pairs of a dense group.
     """
     total = classes.count()
+    sample = max(sample, min(MOST, total // SAMPLED))
     marks = [r["mark"] for r in classes.select("mark").orderBy(F.xxhash64("mark", F.lit("tree")), "mark").limit(sample).collect()]
     tree, _ = build_tree(np.array(marks, dtype=np.int64).view(np.uint64), total, radius, leaf)
 
@@ -224,10 +227,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def mark_of(texts: pd.Series) -> pd.Series:
         return pd.Series([v - (1 << 64) if (v := fingerprint(t, width)) >> 63 else v for t in texts], dtype="int64")
 
-    rows = docs.withColumn("_mark", mark_of(F.col(text_col).cast("string")))
+    # The row travels as one column, so that its own columns' names can't clash.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows = docs.select(whole, F.col(id_col).cast("long").alias("own_id"), mark_of(F.col(text_col).cast("string")).alias("own_mark"))
     # A null id meets only null ids: as two keys that are never null.
-    same = (F.col("_mark") == F.col("mark")) & (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.coalesce("_id", F.lit(0))) & (F.col(id_col).isNull() == F.col("_id").isNull())
-    found = rows.join(chosen, same).select("root", *(F.col(c) for c in docs.columns))
+    same = (F.col("own_mark") == F.col("mark")) & (F.coalesce("own_id", F.lit(0)) == F.coalesce("_id", F.lit(0))) & (F.col("own_id").isNull() == F.col("_id").isNull())
     others = [c for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
-    first = F.min_by(F.struct(*docs.columns), F.struct(text_col, *others))
-    return found.groupBy("root").agg(first.alias("_row")).select("_row.*")
+    first = F.min_by("whole", F.struct(*(F.col("whole")[c] for c in (text_col, *others))))
+    return rows.join(chosen, same).groupBy("root").agg(first.alias("whole")).select("whole.*")

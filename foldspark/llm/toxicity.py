@@ -9,9 +9,10 @@ A document's gains, of its best window, in all, from stems and for its length, a
 that no dictionary has seen. (Zstandard's own trainer chooses by frequency alone and fills a toxic dictionary with
 ordinary syllables.)
 
-Edge cases: a null or empty text is one empty window, with no gain; where one class has no labels every score is the
-share of toxic labels, 0 without labels; repeated rows keep their rows; a null id is never learned from and not held
-out; other columns are ignored by the scores and kept by the filter.
+Edge cases: a null or empty text is one empty window, with no gain; all windows of a very long text are compared; where
+one class has no labels every score is the share of toxic labels, 0 without labels; a score of exactly 0.5 is toxic;
+repeated rows keep their rows, and of rows that repeat an id the least is learned from; a null id is never learned from
+and not held out; other columns are ignored by the scores and kept by the filter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
