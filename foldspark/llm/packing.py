@@ -32,7 +32,7 @@ CAPACITY, END_ID = 2048, 0
 #: Documents in a group.
 GROUP_DOCS = 4096
 #: Stretches and words whose ids a Python worker remembers at most; beyond this it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Characters for which lower-casing and normal form C act on each alone, whatever the library's Unicode version.
 _SIMPLE = re.compile("[^\t\n\r -~\xa0-˿Ѐ-ԯ]|<\\|")
 #: The tokenizer's pattern of words (a fixed value), and the same in Python for the characters above.

@@ -216,12 +216,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """One row of docs for each component: of its least id (null only if all are), then of the least text, then of the
-    least other columns."""
+    """One row of docs for each component: of its least id (null only if all are), then of the least fingerprint, then of
+    the least text, then of the least other columns.
+
+    Texts are shuffled once: a component's row is looked for under one fingerprint and id, by which both the join and
+    the choice among equal ones are parted.
+    """
     marked, settled = _settled(docs, id_col, text_col, width, radius, leaf, sample)
+    # A null id meets only null ids: as two keys that are never null.
+    keyed = lambda df, name: df.withColumns({"key_null": F.col(name).isNull(), "key_id": F.coalesce(name, F.lit(0))}).drop(name)
     distinct = marked.groupBy("simhash", "doc_id").count()
     least = distinct.join(settled, F.col("simhash") == F.col("mark")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = least.select("mark", F.col("doc_id").alias("_id"), "root")
+    chosen = keyed(least.groupBy("root").agg(F.min("mark").alias("key_mark"), F.first("doc_id").alias("kept_id")), "kept_id").drop("root")
 
     @F.pandas_udf("long")
     def mark_of(texts: pd.Series) -> pd.Series:
@@ -229,9 +235,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     # The row travels as one column, so that its own columns' names can't clash.
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    rows = docs.select(whole, F.col(id_col).cast("long").alias("own_id"), mark_of(F.col(text_col).cast("string")).alias("own_mark"))
-    # A null id meets only null ids: as two keys that are never null.
-    same = (F.col("own_mark") == F.col("mark")) & (F.coalesce("own_id", F.lit(0)) == F.coalesce("_id", F.lit(0))) & (F.col("own_id").isNull() == F.col("_id").isNull())
+    rows = keyed(docs.select(whole, F.col(id_col).cast("long").alias("own_id"), mark_of(F.col(text_col).cast("string")).alias("key_mark")), "own_id")
     others = [c for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
     first = F.min_by("whole", F.struct(*(F.col("whole")[c] for c in (text_col, *others))))
-    return rows.join(chosen, same).groupBy("root").agg(first.alias("whole")).select("whole.*")
+    keys = ["key_mark", "key_id", "key_null"]
+    return rows.join(chosen, keys).groupBy(*keys).agg(first.alias("whole")).select("whole.*")
