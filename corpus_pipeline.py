@@ -36,7 +36,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each near-duplicate group, by id, then text, then other columns; of equal rows one stays."""
+    """The least document of each near-duplicate group, by id, fingerprint, text and other columns; of equal rows one stays."""
     return simhash_dedup.keep_one(docs).select(*COLUMNS)
 
 
