@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import tempfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: Bytes of text in a block of rows; a longer text is a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -73,6 +73,22 @@ def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterator[tuple]], schem
     return df.mapInArrow(run, struct)
 
 
+def by_text(work: Callable[[list[str | None]], Iterable], kind: str) -> Callable[[F.Column], F.Column]:
+    """A column function from a text to ``kind``: ``work`` gives the values of a list of texts.
+
+    Arrow hands over up to ten thousand rows at once; only a block of them is held as Python objects.
+    """
+    out = to_arrow_schema(T.StructType.fromDDL(f"value {kind}")).field(0).type
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+        made = [pa.array(work(part.column(0).to_pylist()), out) for part in blocks_of(whole, 512, BLOCK_BYTES)]
+        return pa.concat_arrays(made) if made else pa.array([], out)
+
+    return run
+
+
 def union_of(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     """The begins and the ends of the stretches that (kind, begin, end) spans cover together, in order."""
     begins: list[int] = []

@@ -21,11 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import map_rows, rows_of, sample_ids
+from foldspark.llm.common import by_text, map_rows, rows_of, sample_ids
 
 DIMENSIONS = 1 << 12
 #: Rated documents of each grade to learn from.
@@ -167,10 +166,9 @@ def keep_good(docs: DataFrame, ratings: DataFrame, keep_chance: float = KEEP_CHA
     shared = docs.sparkSession.sparkContext.broadcast(model)
     step = sum(g < GOOD_GRADE for g in model.grades)
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
+    def good(texts: list[str | None]) -> np.ndarray:
         made = shared.value
         tails = made.tails(np.array([made.score(features(t)) for t in texts], dtype=np.float64))
-        return pd.Series(tails[:, step - 1] >= keep_chance if 0 < step <= tails.shape[1] else np.ones(len(texts), dtype=bool))
+        return tails[:, step - 1] >= keep_chance if 0 < step <= tails.shape[1] else np.ones(len(texts), dtype=bool)
 
-    return docs.filter(good(F.col(text_col).cast("string")))
+    return docs.filter(by_text(good, "boolean")(F.col(text_col).cast("string")))

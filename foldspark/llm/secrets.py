@@ -24,11 +24,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import map_rows, touches, union_of
+from foldspark.llm.common import by_text, map_rows, touches, union_of
 
 KINDS = ("assign", "access", "hex")
 ADDED, REDACTED = "secret", "[SECRET]"
@@ -451,8 +450,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in a text column replaced, in one pass over them."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, shared.value) for t in texts], dtype=object)
-
+    clean = by_text(lambda texts: [redacted(t, shared.value) for t in texts], "string")
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import connected, local_components, map_rows, use_checkpoints
+from foldspark.llm.common import by_text, connected, local_components, map_rows, use_checkpoints
 
 SEED = 42
 #: Fingerprints in the sample that the tree of shards is built from: one of SAMPLED, at least SAMPLE and at most MOST (8 MB
@@ -51,13 +51,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, simhash): the fingerprint as a signed long with the same bits."""
 
     def rows(columns: list[list]) -> Iterator[tuple]:
         for doc_id, text in zip(*columns):
-            value = fingerprint(text, width)
-            yield doc_id, value - (1 << 64) if value >> 63 else value
+            yield doc_id, _signed(fingerprint(text, width))
 
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, "doc_id long, simhash long")
 
@@ -229,10 +232,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     least = distinct.join(settled, F.col("simhash") == F.col("mark")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = keyed(least.groupBy("root").agg(F.min("mark").alias("key_mark"), F.first("doc_id").alias("kept_id")), "kept_id").drop("root")
 
-    @F.pandas_udf("long")
-    def mark_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([v - (1 << 64) if (v := fingerprint(t, width)) >> 63 else v for t in texts], dtype="int64")
-
+    mark_of = by_text(lambda texts: [_signed(fingerprint(t, width)) for t in texts], "long")
     # The row travels as one column, so that its own columns' names can't clash.
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
     rows = keyed(docs.select(whole, F.col(id_col).cast("long").alias("own_id"), mark_of(F.col(text_col).cast("string")).alias("key_mark")), "own_id")

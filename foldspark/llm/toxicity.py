@@ -23,12 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import crc_of, map_rows, rows_of, sample_ids, use_checkpoints
+from foldspark.llm.common import by_text, crc_of, map_rows, rows_of, sample_ids, use_checkpoints
 
 #: Bytes in a window and between the starts of windows.
 WINDOW, STRIDE = 80, 64
@@ -305,9 +304,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is below 0.5, in one pass over them."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
-
-    @F.pandas_udf("boolean")
-    def ordinary(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()) < 0.5)
-
+    ordinary = by_text(lambda texts: shared.value.scores(texts) < 0.5, "boolean")
     return docs.filter(ordinary(F.col(text_col).cast("string")))
