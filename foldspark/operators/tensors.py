@@ -95,13 +95,26 @@ def model_inputs(examples: DataFrame, split: str | None = None, views: tuple[str
 
 
 def batches(inputs: DataFrame, size: int, seed: int | None = None, key: str = "kepoi_name") -> Iterator[pa.RecordBatch]:
-    """Arrow batches for a training loop, in the order of a seeded hash; partitions are fetched one at a time."""
+    """Arrow batches for a training loop, in the order of a seeded hash; partitions are fetched one at a time.
+
+    Executors encode the rows, so that the driver only cuts and joins Arrow columns.
+    """
     ordered = inputs if seed is None else inputs.orderBy(hash_key(seed, key), key)
-    rows: list[dict] = []
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        rows.append(row.asDict(recursive=True))
-        if len(rows) == size:
-            yield pa.RecordBatch.from_pylist(rows)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows)
+
+    def encoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part.slice(at, size))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["stream"])
+
+    waiting: pa.Table | None = None
+    for row in ordered.mapInArrow(encoded, "stream binary").toLocalIterator(prefetchPartitions=True):
+        table = pa.ipc.open_stream(bytes(row["stream"])).read_all()
+        waiting = table if waiting is None else pa.concat_tables([waiting, table])
+        while waiting.num_rows >= size:
+            yield waiting.slice(0, size).combine_chunks().to_batches()[0]
+            waiting = waiting.slice(size)
+    if waiting is not None and waiting.num_rows:
+        yield waiting.combine_chunks().to_batches()[0]
