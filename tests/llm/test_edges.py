@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foldspark.llm import byte_bpe, embedding_dedup, fingerprints, language_id, packing, pii, quality, secrets, simhash_dedup, toxicity
+from foldspark.llm import (
+    byte_bpe, collocations, embedding_dedup, fill_in_middle, fingerprints, language_id, packing, pii, quality, secrets, simhash_dedup,
+    token_counts, toxicity,
+)
 
 CLASH = "id score spans base ids piece start length part copy mix sequence_id offset mark node root component_id fingerprint range coarse fine sub guest order held_out predicted kept simhash expected_grade tail_chance lang_pred ids_crc32 decoded _id _mark _row class label".split()
 LONG = ("Lorem ipsum dolor sit amet a1b2c3 x@y.zz 12.3.4.5 " * 22_000) + "x" * 100_000
@@ -47,6 +50,8 @@ OPERATORS = {
     "op7": lambda d, y: fingerprints.compare_with_next(d),
     "op8": lambda d, y: toxicity.classify(d, y),
     "op10": lambda d, y: simhash_dedup.near_duplicates(d),
+    "op11": lambda d, y: token_counts.count_tokens(d, word_bpe()),
+    "op13": lambda d, y: fill_in_middle.digest(fill_in_middle.rearrange(d)),
 }
 
 
@@ -63,6 +68,12 @@ def test_operator_keeps_every_row(spark, name):
     assert empty.count() == 0 and empty.columns == OPERATORS[name](make(spark), tables(spark)).columns
 
 
+def test_collocations_of_odd_documents(spark):
+    rows = [tuple(r) for r in collocations.collocations(make(spark)).select("lang", "phrase", "a", "n").collect()]
+    assert {r[0] for r in rows} <= {"en", "und"} and ("en", "lorem ipsum dolor sit", 22_000) in {r[:3] for r in rows}
+    assert collocations.collocations(make(spark, empty=True)).count() == 0
+
+
 def test_vectors_with_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (None, [1.0, 0.0], "x"), (3, None, "x"), (4, [0.05] * 20_000, "x"), (5, [0.05] * 20_000, "x")]
     names = "k1 k2 node copies vector links root component n c table_no bucket block".split()
