@@ -5,6 +5,7 @@ Samples come from events, signals from orders; windows and bins are scaled to ab
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from foldspark import functions as fn
 from foldspark.config import DatasetConfig, DetrendConfig, PreprocessingConfig, ProductConfig, RepresentationConfig, SearchConfig, SelectionConfig, SplitConfig, StarSelectionConfig
-from foldspark.lineage import settle
+from foldspark.lineage import remove, settle, shared_folder
 from foldspark.operators import labels, perturb, search, selection, splits, statistics, tensors, views
 from foldspark.operators import timeseries as ts
+from foldspark.operators.budget import spend
 from foldspark.plans import api, jobs
 from foldspark.plans import preprocess as prep
 from foldspark.sources import products
@@ -558,6 +560,57 @@ def fetch_status(spark, d):
     return products.fetch_status(targets, manifests, found, files, ProductConfig(quarters=(1, 3, 5), max_products_per_target=2), policy="p", budget=600)
 
 
+_TURNS = """run AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS kepid, false AS fits, {budget}::BIGINT AS left_before, {budget}::BIGINT AS left_after
+UNION ALL SELECT it.k, it.kepid, need <= left_after, left_after, CASE WHEN need <= left_after THEN left_after - cost ELSE left_after END FROM run JOIN it ON it.k = run.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE it AS (SELECT row_number() OVER (ORDER BY c_custkey) AS k, c_custkey AS kepid, greatest(floor(c_acctbal), 0)::BIGINT AS need,
+greatest(floor(c_acctbal), 0)::BIGINT + c_custkey % 5 AS cost FROM customer), {_TURNS.format(budget=300_000)} SELECT kepid, fits, left_before FROM run WHERE k > 0""")
+def running_budget(spark, d):
+    """Stars in turn against one budget, where one that doesn't fit is passed over."""
+    need = F.greatest(F.floor("c_acctbal"), F.lit(0)).cast("long")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("kepid"), need.alias("need"), (need + F.col("c_custkey") % 5).alias("cost"))
+    return spend(rows, 300_000, "kepid", "need", "cost").select("kepid", "fits", "left_before")
+
+
+@query(f"""WITH RECURSIVE {_FILES}, co AS (SELECT kepid, sum(size_bytes)::BIGINT AS cost FROM o2 GROUP BY kepid),
+st AS (SELECT s_suppkey::BIGINT AS kepid, CASE WHEN ca.kepid IS NOT NULL THEN 'cached' WHEN ch.kepid IS NULL THEN 'no_products' ELSE 'download' END AS status,
+coalesce(ca.n, ch.n, 0) AS n_products, CASE WHEN ca.kepid IS NULL THEN coalesce(need, 0) ELSE 0 END::BIGINT AS needed_bytes FROM supplier LEFT JOIN ca ON ca.kepid = s_suppkey LEFT JOIN ch ON ch.kepid = s_suppkey),
+it AS (SELECT row_number() OVER (ORDER BY kepid) AS k, kepid, needed_bytes AS need, cost FROM st JOIN co USING (kepid) WHERE status = 'download'), {_TURNS.format(budget=6000)}
+SELECT st.kepid, CASE WHEN run.kepid IS NULL THEN status WHEN fits THEN 'download' ELSE 'error' END AS status, n_products, needed_bytes, left_before AS left_bytes FROM st LEFT JOIN run ON run.kepid = st.kepid""")
+def fetch_plan(spark, d):
+    """A batch of targets in turn: each against what those before it have left of the batch's budget."""
+    found, manifests, files = _products(spark, d)
+    targets = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("kepid"))
+    config = ProductConfig(quarters=(1, 3, 5), max_products_per_target=2)
+    return products.plan_fetch(targets, manifests, found, files, 6000, config, policy="p").drop("message")
+
+
+def _refuse(uri: str) -> bytes:
+    """The bytes of a product's address; one in forty can't be had."""
+    if int(uri.rsplit("f", 1)[1]) % 40 == 0:
+        raise OSError(f"refused {uri}")
+    return uri.encode()
+
+
+@query(f"""WITH {_FILES}, wt AS (SELECT kepid, filename, quarter, 'mast:' || kepid || '/' || filename AS uri, l_orderkey % 40 = 0 AS bad, row_number() OVER (PARTITION BY kepid ORDER BY quarter, filename) AS k FROM o2),
+ft AS (SELECT kepid, min(k) FILTER (bad) AS stop FROM wt GROUP BY kepid)
+SELECT kepid, CASE WHEN stop IS NULL THEN 'downloaded' ELSE 'error' END AS status, coalesce(stop - 1, max(k))::BIGINT AS n_products, sum(strlen(uri)) FILTER (stop IS NULL OR k < stop)::BIGINT AS new_bytes,
+CASE WHEN stop IS NOT NULL THEN 'download failed: refused ' || max(uri) FILTER (k = stop) END AS message, CASE WHEN stop IS NULL THEN min(sha256(uri)) END AS first_sha256 FROM wt JOIN ft USING (kepid) GROUP BY kepid, stop""")
+def stored_fetch(spark, d):
+    """Products written to the shared folder by the executors, with manifests of those stars that have all of theirs."""
+    found, _, _ = _products(spark, d)
+    chosen = selection.select_products(found, ProductConfig(quarters=(1, 3, 5), max_products_per_target=2))
+    wanted = chosen.withColumn("data_uri", F.concat(F.lit("mast:"), F.col("kepid").cast("string"), F.lit("/"), "filename"))
+    root = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}"
+    done = products.fetch(wanted, root, _refuse, "p")
+    listed = products.read_manifests(spark, root).groupBy("kepid").agg(F.min("sha256").alias("first_sha256"))
+    bytes_ = F.nullif("new_bytes", F.lit(0)).alias("new_bytes")
+    out = settle(done.join(listed, "kepid", "left").select("kepid", "status", "n_products", bytes_, "message", "first_sha256"))
+    remove(spark, root)
+    return out
+
+
 # Statistics.
 
 _BIAS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

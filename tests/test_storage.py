@@ -84,14 +84,6 @@ def test_fetch_outcomes(spark):
     got = {r["kepid"]: (r["status"], r["n_products"], r["needed_bytes"]) for r in products.fetch_status(targets, manifests, found, files, budget=500).collect()}
     assert got == {1: ("cached", 1, 0), 2: ("error", 2, 900), 3: ("download", 1, 0), 4: ("no_products", 0, 0), 5: ("no_products", 0, 0)}
 
-    def download(uri):
-        if uri == "bad":
-            raise OSError("refused")
-
-    wanted = spark.createDataFrame([(1, "a", "good"), (1, "b", "bad"), (1, "c", "good"), (2, "d", "good")], "kepid long, filename string, data_uri string")
-    done = {r["kepid"]: (r["status"], r["n_products"], r["message"]) for r in products.fetch(wanted, download).collect()}
-    assert done == {1: ("error", 1, "download failed: refused"), 2: ("downloaded", 1, None)}
-
 
 @pytest.mark.parametrize("n", [1, 4, 47, 48, 49, 130, 500])
 def test_band_solver_equals_a_dense_one(n):
