@@ -7,6 +7,9 @@ time (about 70,000 half-hour cadences in four years), whatever the number of sou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +37,25 @@ def by_source(curve: DataFrame) -> DataFrame:
     return curve.repartition("kepid")
 
 
-def normalize_per_quarter(curve: DataFrame) -> DataFrame:
+NOT_POSITIVE = "a quarter's median flux is not positive"
+
+
+def normalize_per_quarter(curve: DataFrame, problem: str | None = None) -> DataFrame:
     """Flux and error over the median flux of their source and quarter, kept as ``median_flux``.
 
-    A median that isn't positive is an error, as it can't be divided by.
+    A median that isn't positive can't be divided by. It is an error, or, where a column ``problem`` is named, that
+    column holds the message on all of the source's samples, and the quarter's flux is null.
     """
     median = F.median("flux").over(Window.partitionBy("kepid", "quarter"))
-    sure = F.when(median > 0, median).otherwise(F.raise_error(F.lit("a quarter's median flux is not positive")).cast("double"))
+    if problem is None:
+        sure = F.when(median > 0, median).otherwise(F.raise_error(F.lit(NOT_POSITIVE)).cast("double"))
+    else:
+        curve = curve.withColumn("_median", median)
+        sure = F.when(F.col("_median") > 0, F.col("_median"))
+        wrong = F.max(F.when(F.col("_median").isNull() | (F.col("_median") <= 0), NOT_POSITIVE)).over(Window.partitionBy("kepid"))
+        curve = curve.withColumn(problem, wrong)
     return (
-        curve.withColumn("median_flux", sure).withColumn("flux", F.col("flux") / F.col("median_flux")).withColumn("flux_err", F.col("flux_err") / F.col("median_flux"))
+        curve.withColumn("median_flux", sure).drop("_median").withColumn("flux", F.col("flux") / F.col("median_flux")).withColumn("flux_err", F.col("flux_err") / F.col("median_flux"))
     )
 
 
@@ -86,18 +99,45 @@ def interpolate(df: DataFrame, at: str, value: str, part, into: str) -> DataFram
     return df.withColumn(into, F.coalesce(F.col(value), between)).drop("_known", "_p", "_n")
 
 
-def robust_spline_trend(curve: DataFrame, knot_spacing_days: float = 0.3, min_points: int = 10, sigma_lower: float = 3.0, sigma_upper: float = 3.0, max_iter: int = 3, usable: str | None = None, value: str = "flux", into: str = "trend") -> DataFrame:
+def robust_spline_trend(curve: DataFrame, knot_spacing_days: float = 0.3, min_points: int = 10, sigma_lower: float = 3.0, sigma_upper: float = 3.0, max_iter: int = 3, usable: str | None = None, value: str = "flux", into: str = "trend", problem: str | None = None) -> DataFrame:
     """curve (with segments) with the trend of a clipped least-squares cubic spline, fitted to each segment.
 
     The fit is iterative, which no built-in expression can be; a star's segments are one call, on the layout that the
-    curve already has by star.
+    curve already has by star. With a column ``problem`` a star that has one isn't fitted, and one whose fit fails gets it.
     """
     if knot_spacing_days <= 0:
         raise ValueError("knot_spacing_days must be positive")
     fit = spline_trend_kernel(knot_spacing_days, min_points, sigma_lower, sigma_upper, max_iter, value, usable, into)
+    if problem is not None:
+        return by_star(curve, fit, into, problem)
     return curve.groupBy("kepid").applyInPandas(fit, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
 
 
+def by_star(curve: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], into: str, problem: str) -> DataFrame:
+    """curve with what a kernel adds, star by star, where a star's failure is a message and not the job's.
+
+    ``kernel`` takes and returns a star's samples, with the new column ``into``. Where it raises, or the star has a message
+    in ``problem`` before, the samples stay with a null there and the first line of the error as the message.
+    """
+    columns = [*curve.columns, into]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        known = group[problem].dropna()
+        if not len(known):
+            try:
+                return kernel(group)[columns]
+            except MemoryError:
+                raise
+            except Exception as error:  # an outcome of this star
+                message = next(iter(str(error).splitlines()), "") or type(error).__name__
+        else:
+            message = known.iloc[0]
+        return group.assign(**{into: float("nan"), problem: message})[columns]
+
+    made = curve.groupBy("kepid").applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
+    return made.withColumn(into, F.nanvl(into, F.lit(None).cast("double")))
+
+
 def upper_outliers(curve: DataFrame, sigma: float = 5.0, value: str = "flux_detrended", into: str = "is_outlier") -> DataFrame:
     """curve with a mark on samples strictly above the source's median by ``sigma`` robust standard deviations."""
     if sigma <= 0:

@@ -50,9 +50,9 @@ def build_dataset(curve: DataFrame, catalog: DataFrame, manifest: DataFrame, con
         selection.guard_size(stars, config.max_stars, "stars")
     stars = settle(stars)
     raw = curve.join(stars.select("kepid"), "kepid", "left_semi")
-    log = settle(prep.star_status(raw, stars.select("kepid"), config.preprocessing, labelled))
+    processed, log = prep.preprocess_stars(raw, stars, config.preprocessing, labelled)
+    log = settle(log)
     ready = log.filter("status = 'ok'").select("kepid")
-    processed = settle(prep.preprocess(raw.join(ready, "kepid", "left_semi"), config.preprocessing, labelled))
     return prep.build_examples(processed, labelled, stars.join(ready, "kepid", "left_semi"), config), log
 
 

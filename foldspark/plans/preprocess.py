@@ -13,6 +13,10 @@ from foldspark.operators import views
 from foldspark.schemas import EXAMPLE_CATALOG_COLUMNS, PROCESSED_COLUMNS
 
 
+NO_SAMPLES, ALL_EMPTY = "no light-curve samples", "all quarters were empty after cleaning"
+NO_EPHEMERIS = "masking known transits needs an ephemeris"
+
+
 def star_ephemerides(catalog: DataFrame) -> DataFrame:
     """(kepid, ephemerides): each star's known ephemerides in one array; a star has a handful of signals."""
     known = catalog.select("kepid", "kepoi_name", ephemeris().alias("e")).filter(F.col("e").isNotNull())
@@ -20,51 +24,66 @@ def star_ephemerides(catalog: DataFrame) -> DataFrame:
     return known.groupBy("kepid").agg(F.transform(ordered, lambda s: s["e"]).alias("ephemerides"))
 
 
-def star_status(curve: DataFrame, stars: DataFrame, config: PreprocessingConfig, catalog: DataFrame | None = None) -> DataFrame:
-    """(kepid, status, message): which stars can be processed. One that can't is reported, it doesn't fail the job."""
-    medians = ts.clean(curve, config.quality_bitmask).groupBy("kepid", "quarter").agg(F.median("flux").alias("m"))
-    after = medians.groupBy("kepid").agg(F.min(F.col("m") > 0).alias("_positive"))
-    seen = stars.join(curve.groupBy("kepid").agg(F.count("*").alias("_raw")), "kepid", "left").join(after, "kepid", "left")
-    failed = F.when(F.col("_positive").isNull(), "all quarters were empty after cleaning").when(~F.col("_positive"), "a quarter's median flux is not positive")
-    if config.detrend.mask_known_transits:
-        seen = seen.join(star_ephemerides(catalog).select("kepid", F.lit(True).alias("_known")), "kepid", "left")
-        failed = failed.when(F.col("_known").isNull(), "masking known transits needs an ephemeris")
-    none = F.col("_raw").isNull()
-    return seen.select(
-        "kepid", F.when(none, "no_lightcurve").when(failed.isNotNull(), "preprocessing_failed").otherwise("ok").alias("status"),
-        F.when(none, "no light-curve samples").otherwise(F.coalesce(failed, F.lit(""))).alias("message"),
-    )
-
-
 def preprocess(curve: DataFrame, config: PreprocessingConfig | None = None, catalog: DataFrame | None = None, tie: str | None = None) -> DataFrame:
     """Processed curves: clean, divide by each quarter's median, detrend by segment, clip upward outliers.
 
     One shuffle by star serves every step. With ``mask_known_transits`` samples in any known transit of their star
-    never enter the trend; the catalog gives the ephemerides.
+    never enter the trend; the catalog gives the ephemerides. A star that can't be processed is an error here;
+    ``preprocess_stars`` reports it instead.
     """
     config = config or PreprocessingConfig()
+    return _processed(curve, config, catalog, tie, None, None).select(*PROCESSED_COLUMNS)
+
+
+def _processed(curve: DataFrame, config: PreprocessingConfig, catalog: DataFrame | None, tie: str | None, problem: str | None, kernel) -> DataFrame:
+    """The steps of ``preprocess``. With a column ``problem`` a star's failures stand there, and its samples stay."""
     d = config.detrend
     if d.mask_known_transits and catalog is None:
         raise ValueError("mask_known_transits needs the catalog's ephemerides")
-    ready = ts.normalize_per_quarter(ts.by_source(ts.clean(curve, config.quality_bitmask)))
+    ready = ts.normalize_per_quarter(ts.by_source(ts.clean(curve, config.quality_bitmask)), problem)
     if d.mask_known_transits:
-        ready = ts.mask_transits(ready, star_ephemerides(catalog), d.mask_duration_factor)
+        known = star_ephemerides(catalog)
+        if problem is not None:
+            ready = ready.join(known.select("kepid", F.lit(True).alias("_known")), "kepid", "left")
+            ready = ready.withColumn(problem, F.coalesce(problem, F.when(F.col("_known").isNull(), NO_EPHEMERIS))).drop("_known")
+        ready = ts.mask_transits(ready, known, d.mask_duration_factor)
     else:
         ready = ready.withColumn("in_known_transit_mask", F.lit(False))
     if not d.enabled:
         ready = ready.withColumn("trend", F.lit(1.0))
     else:
         ready = ts.segments(ready, d.gap_days, tie).withColumn("_usable", ~F.col("in_known_transit_mask"))
-        if d.method == "robust_spline":
-            ready = ts.robust_spline_trend(ready, d.knot_spacing_days, d.min_points, d.sigma_lower, d.sigma_upper, d.max_iter, "_usable")
+        if kernel is not None:
+            ready = ts.by_star(ready, kernel, "trend", problem)
+        elif d.method == "robust_spline":
+            ready = ts.robust_spline_trend(ready, d.knot_spacing_days, d.min_points, d.sigma_lower, d.sigma_upper, d.max_iter, "_usable", problem=problem)
         else:
             ready = ts.running_median_trend(ready, d.window_days, d.min_points, F.col("_usable"))
     ready = ready.withColumn("flux_detrended", F.col("flux") / F.col("trend")).withColumn("flux_err_detrended", F.col("flux_err") / F.col("trend"))
     if config.clip_upper_sigma is not None:
         ready = ts.upper_outliers(ready, config.clip_upper_sigma).filter(~F.col("is_outlier"))
     names = {"time": "time_bkjd", "flux": "flux_norm", "flux_err": "flux_err_norm"}
-    out = ready.withColumnsRenamed(names).withColumn("quarter", F.col("quarter").cast("smallint"))
-    return out.select(*PROCESSED_COLUMNS)
+    return ready.withColumnsRenamed(names).withColumn("quarter", F.col("quarter").cast("smallint"))
+
+
+def preprocess_stars(curve: DataFrame, stars: DataFrame, config: PreprocessingConfig | None = None, catalog: DataFrame | None = None, tie: str | None = None, kernel=None) -> tuple[DataFrame, DataFrame]:
+    """(processed curves, log): every star of ``stars`` is processed or reported, and none of them fails the job.
+
+    The log is (kepid, status, message): ``ok``, ``no_lightcurve``, or ``preprocessing_failed`` with what the star's
+    cleaning, normalising, masking or detrending raised. Curves of failed stars are left out. All steps run once, in one
+    pass over the samples, whose result is settled; the log is an aggregate of it. ``kernel`` detrends a star's samples
+    in place of the configured method: it takes them as a pandas frame with flux, time, segment and _usable and adds
+    ``trend``.
+    """
+    config = config or PreprocessingConfig()
+    wanted = stars.select("kepid").distinct()
+    raw = curve.join(wanted, "kepid", "left_semi")
+    made = settle(_processed(raw, config, catalog, tie, "_problem", kernel).select(*PROCESSED_COLUMNS, "_problem"))
+    after = made.groupBy("kepid").agg(F.max("_problem").alias("_problem"), F.lit(True).alias("_clean"))
+    seen = wanted.join(raw.groupBy("kepid").agg(F.lit(True).alias("_raw")), "kepid", "left").join(after, "kepid", "left")
+    message = F.when(F.col("_raw").isNull(), NO_SAMPLES).when(F.col("_clean").isNull(), ALL_EMPTY).otherwise(F.coalesce("_problem", F.lit("")))
+    status = F.when(F.col("_raw").isNull(), "no_lightcurve").when(F.col("_clean").isNull() | F.col("_problem").isNotNull(), "preprocessing_failed").otherwise("ok")
+    return made.filter(F.col("_problem").isNull()).drop("_problem"), seen.select("kepid", status.alias("status"), message.alias("message"))
 
 
 def signals_of(catalog: DataFrame) -> DataFrame:

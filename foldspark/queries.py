@@ -525,6 +525,21 @@ def contaminated_stars(spark, d):
     return r6(jobs.contaminated_stars(_example_rows(spark, d)), "contamination")
 
 
+@query(f"""WITH {_LC}, {_CAT}, dl AS (SELECT kepid, quarter, flux - 22 AS flux FROM lc WHERE isfinite(time) AND isfinite(flux) AND isfinite(flux_err) AND (quality & 1130799) = 0 AND kepid % 11 <> 3),
+qm AS (SELECT kepid, quarter, median(flux) AS m FROM dl GROUP BY ALL), bd AS (SELECT kepid, bool_or(m <= 0) AS bad FROM qm GROUP BY kepid),
+rw AS (SELECT DISTINCT kepid FROM lc), ep AS (SELECT DISTINCT kepid FROM cat WHERE koi_period > 0 AND koi_time0bk IS NOT NULL)
+SELECT c_custkey::BIGINT AS kepid, CASE WHEN rw.kepid IS NULL THEN 'no_lightcurve' WHEN bd.kepid IS NULL OR bad OR ep.kepid IS NULL THEN 'preprocessing_failed' ELSE 'ok' END AS status,
+CASE WHEN rw.kepid IS NULL THEN 'no light-curve samples' WHEN bd.kepid IS NULL THEN 'all quarters were empty after cleaning' WHEN bad THEN 'a quarter''s median flux is not positive'
+WHEN ep.kepid IS NULL THEN 'masking known transits needs an ephemeris' ELSE '' END AS message
+FROM customer LEFT JOIN rw ON rw.kepid = c_custkey LEFT JOIN bd ON bd.kepid = c_custkey LEFT JOIN ep ON ep.kepid = c_custkey""")
+def star_log(spark, d):
+    """Every star processed by the masked spline or reported, with the curves shifted so that many can't be."""
+    curve = light_curve(spark, d).withColumns({"flux": F.col("flux") - 22, "quality": F.when(F.col("kepid") % 11 == 3, 1).otherwise(F.col("quality")).cast("long")})
+    stars = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("kepid"))
+    config = PreprocessingConfig(detrend=DetrendConfig(method="robust_spline", gap_days=GAP, min_points=POINTS, knot_spacing_days=WINDOW, mask_known_transits=True))
+    return prep.preprocess_stars(curve, stars, config, catalog(spark, d), "event_id")[1]
+
+
 # Products.
 
 _FILES = """li AS (SELECT l_suppkey AS kepid, l_linenumber AS quarter, 'f' || lpad(l_orderkey::VARCHAR, 10, '0') AS filename, l_orderkey % 1000 AS size_bytes, l_orderkey FROM lineitem),
