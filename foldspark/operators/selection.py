@@ -17,11 +17,16 @@ from foldspark.operators.splits import SPLITS, allocate, cut_sizes
 POOLS = ("has_positive", "negative_only")
 
 
-def select_subset(labelled: DataFrame, selection: SelectionConfig | None = None) -> DataFrame:
+def select_subset(labelled: DataFrame, selection: SelectionConfig | None = None, order: str = "md5") -> DataFrame:
     """At most ``limit`` signals, evenly by label unless asked otherwise, in the order of a seeded hash of their names.
 
-    The choice depends on the names and the seed alone. No eligible signal at all is an error.
+    The choice depends on the names and the seed alone. No eligible signal at all is an error. ``order="sample"`` draws
+    the places in the order of names that a data frame's ``sample`` draws with this seed (NumPy's legacy generator), for
+    choices that must equal earlier ones; it permutes as many numbers as a label has signals, so it is for catalogs of at
+    most a million. Of signals with the same name the order is not defined there.
     """
+    if order not in ("md5", "sample"):
+        raise ValueError(f"unknown order {order}")
     selection = selection or SelectionConfig()
     pool = labelled if selection.include_excluded else labelled.filter(F.col("label").isNotNull())
     stratified = selection.stratify_by_label and not selection.include_excluded
@@ -31,12 +36,24 @@ def select_subset(labelled: DataFrame, selection: SelectionConfig | None = None)
         raise ValueError("no eligible signals to select from")
     groups = [POSITIVE, NEGATIVE] if stratified else [0]
     shares = dict(zip(groups, allocate(min(selection.limit, sum(sizes.values())), [sizes.get(g, 0) for g in groups])))
+    if order == "sample":
+        return _sampled(pool, sizes, shares, selection.seed).drop("_group")
     wanted = F.lit(0)
     for group, n in shares.items():
         wanted = F.when(F.col("_group") == group, n).otherwise(wanted)
     return hash_rank(pool, ["_group"], "kepoi_name", selection.seed).filter(F.col("rank") <= wanted).drop("_group", "rank")
 
 
+def _sampled(pool: DataFrame, sizes: dict, shares: dict, seed: int, limit: int = 1_000_000) -> DataFrame:
+    """The signals of each group at the places that the legacy generator draws; only places leave the driver."""
+    if max(sizes.values()) > limit:
+        raise ValueError(f"more than {limit} signals for order='sample'; use order='md5'")
+    drawn = [(int(g), int(k)) for g, n in shares.items() if n for k in np.random.RandomState(seed).permutation(sizes[g])[:n]]
+    places = pool.sparkSession.createDataFrame(drawn, "_group int, _place int")
+    placed = pool.withColumn("_place", F.row_number().over(Window.partitionBy("_group").orderBy("kepoi_name")) - 1)
+    return placed.join(places, ["_group", "_place"], "left_semi").drop("_place")
+
+
 def eligible_stars(manifest: DataFrame) -> DataFrame:
     """(kepid, split, star_stratum, pool): stars with a labelled signal."""
     stars = manifest.groupBy("kepid").agg(F.min("split").alias("split"), F.min("star_stratum").alias("star_stratum"))

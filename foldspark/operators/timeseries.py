@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foldspark.config import MAD_TO_SIGMA, QUALITY_BITMASK
 from foldspark.functions import in_any_transit, is_finite, quality_ok
-from foldspark.operators.spline import spline_trend_kernel
+from foldspark.operators.spline import running_median, segment_kernel, spline_trend_kernel
 
 
 def clean(curve: DataFrame, mask: int = QUALITY_BITMASK) -> DataFrame:
@@ -67,24 +67,23 @@ def segments(curve: DataFrame, gap_days: float = 0.5, tie: str | None = None) ->
     return curve.withColumn("_gap", gap).withColumn("segment", F.sum("_gap").over(upto).cast("int")).drop("_gap")
 
 
-def running_median_trend(curve: DataFrame, window_days: float = 1.5, min_points: int = 10, usable: Column | None = None, value: str = "flux", into: str = "trend") -> DataFrame:
+def running_median_trend(curve: DataFrame, window_days: float = 1.5, min_points: int = 10, usable: Column | None = None, value: str = "flux", into: str = "trend", problem: str | None = None) -> DataFrame:
     """curve (with segments) with a trend: the median of usable values within half a window, both ends included.
 
     Where fewer than ``min_points`` are usable the trend is interpolated in time between estimates of the segment, or
-    held beyond the first and last; a segment without any has its usable median, or else its median.
+    held beyond the first and last; a segment without any has its usable median, or else its median. A window's values
+    stay in order while it slides, where a built-in percentile over a range frame sorts every window anew; a star's
+    segments are one call, on the layout that the curve already has by star.
     """
     if window_days <= 0:
         raise ValueError("window_days must be positive")
-    part = Window.partitionBy("kepid", "segment")
-    seen = F.col(value) if usable is None else F.when(usable, F.col(value))
-    # A range frame of fractional width can only be written as SQL text.
-    half = f"{window_days / 2!r}D"
-    frame = f"OVER (PARTITION BY kepid, segment ORDER BY time RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
-    estimate = F.expr(f"CASE WHEN count(_seen) {frame} >= {min_points} THEN percentile(_seen, 0.5D) {frame} END")
-    curve = curve.withColumn("_seen", seen).withColumn("_estimate", estimate)
-    curve = interpolate(curve, "time", "_estimate", part, into="_filled")
-    fallback = F.coalesce(F.median("_seen").over(part), F.median(value).over(part))
-    return curve.withColumn(into, F.coalesce("_filled", fallback)).drop("_seen", "_estimate", "_filled")
+    seen = F.col(value).isNotNull() if usable is None else F.coalesce(usable, F.lit(False)) & F.col(value).isNotNull()
+    kernel = segment_kernel(lambda t, y, ok: running_median(t, y, window_days, min_points, ok), value, "_seen", into)
+    marked = curve.withColumn("_seen", seen)
+    if problem is not None:
+        return by_star(marked, kernel, into, problem).drop("_seen")
+    made = marked.groupBy("kepid").applyInPandas(kernel, ", ".join(f"`{n}` {t}" for n, t in marked.dtypes) + f", `{into}` double")
+    return made.drop("_seen")
 
 
 def interpolate(df: DataFrame, at: str, value: str, part, into: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _processed(curve: DataFrame, config: PreprocessingConfig, catalog: DataFrame
         elif d.method == "robust_spline":
             ready = ts.robust_spline_trend(ready, d.knot_spacing_days, d.min_points, d.sigma_lower, d.sigma_upper, d.max_iter, "_usable", problem=problem)
         else:
-            ready = ts.running_median_trend(ready, d.window_days, d.min_points, F.col("_usable"))
+            ready = ts.running_median_trend(ready, d.window_days, d.min_points, F.col("_usable"), problem=problem)
     ready = ready.withColumn("flux_detrended", F.col("flux") / F.col("trend")).withColumn("flux_err_detrended", F.col("flux_err") / F.col("trend"))
     if config.clip_upper_sigma is not None:
         ready = ts.upper_outliers(ready, config.clip_upper_sigma).filter(~F.col("is_outlier"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foldspark import functions as fn
 from foldspark.config import DatasetConfig, DetrendConfig, PreprocessingConfig, ProductConfig, RepresentationConfig, SearchConfig, SelectionConfig, SplitConfig, StarSelectionConfig
+from foldspark.functions import sql as fsql
 from foldspark.lineage import remove, settle, shared_folder
 from foldspark.operators import labels, perturb, search, selection, splits, statistics, tensors, views
 from foldspark.operators import timeseries as ts
@@ -744,6 +745,28 @@ def closest_signal(spark, d):
 _SERIES = f"{_LC}, se AS (SELECT kepid, row_number() OVER (PARTITION BY kepid ORDER BY time, event_id) - 1 AS k, time AS period, flux AS power FROM lc)"
 
 
+_GRID = f"""ceil(ln(20.0::DOUBLE) / (0.5::DOUBLE / (2.0::DOUBLE * baseline)))::BIGINT + 1"""
+
+
+@query(f"""WITH {_NORM}, sp AS (SELECT kepid, max(time) - min(time) AS baseline, count(*) AS n FROM nm GROUP BY kepid), gd AS (SELECT kepid, {_GRID} AS size FROM sp WHERE baseline > 0),
+pr AS (SELECT kepid, size, unnest(range(size)) AS k FROM gd), fm AS (SELECT js.kepid, kepoi_name, koi_period AS period, koi_time0bk AS epoch, koi_duration AS duration_hours, time, flux FROM js),
+st AS (SELECT kepid, median(flux) AS mid FROM nm GROUP BY kepid), sd AS (SELECT nm.kepid, 1.4826::DOUBLE * median(abs(flux - mid)) AS s FROM nm JOIN st USING (kepid) GROUP BY nm.kepid),
+inn AS (SELECT kepid, count(*) FILTER (abs({_fold("time", "period", "epoch")}) < 0.5 * 1.5 * duration_hours / 24) AS in_transit FROM fm GROUP BY kepid)
+SELECT pr.kepid, count(*) AS n_periods, round(sum(exp(ln(0.5::DOUBLE) + k * ((ln(10.0::DOUBLE) - ln(0.5::DOUBLE)) / greatest(size - 1, 1)))), 4) AS sum_periods, round(any_value(s), 6) AS robust_std, coalesce(any_value(in_transit), 0) AS in_transit
+FROM pr JOIN sd USING (kepid) LEFT JOIN inn USING (kepid) GROUP BY pr.kepid""".replace(_NORM, _JOINED))
+def sql_functions(spark, d):
+    """The registered functions in SQL text: a lateral join with the grid's table function, an aggregate and a predicate."""
+    fsql.register(spark)
+    _normalised(spark, d).createOrReplaceTempView("fs_curve")
+    signals(spark, d).createOrReplaceTempView("fs_signals")
+    return spark.sql("""
+        WITH spans AS (SELECT kepid, max(time) - min(time) AS baseline, robust_std(collect_list(flux)) AS s FROM fs_curve GROUP BY kepid),
+        grids AS (SELECT kepid, s, k, period FROM spans, LATERAL period_grid(baseline, 0.5D, 10D, 0.5D, 2D)),
+        hits AS (SELECT c.kepid, count_if(in_transit(time, koi_period, koi_time0bk, koi_duration)) AS in_transit FROM fs_curve c JOIN fs_signals USING (kepid) GROUP BY c.kepid)
+        SELECT kepid, count(*) AS n_periods, round(sum(period), 4) AS sum_periods, round(any_value(s), 6) AS robust_std, coalesce(any_value(in_transit), 0L) AS in_transit
+        FROM grids LEFT JOIN hits USING (kepid) GROUP BY kepid""")
+
+
 def _series(spark, d):
     k = F.row_number().over(Window.partitionBy("kepid").orderBy("time", "event_id")).cast("long") - 1
     return light_curve(spark, d).select("kepid", k.alias("k"), F.col("time").alias("period"), F.col("flux").alias("power"))

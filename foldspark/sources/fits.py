@@ -58,9 +58,7 @@ def read_header(data: bytes, at: int) -> tuple[dict, int]:
 def read_table(data: bytes) -> tuple[dict, dict, np.ndarray]:
     """(primary header, table header, rows) of a file whose first extension is a binary table."""
     primary, at = read_header(data, 0)
-    axes = [primary.get(f"NAXIS{k}", 0) for k in range(1, primary.get("NAXIS", 0) + 1)]
-    size = math.prod(axes) * abs(primary.get("BITPIX", 8)) // 8 if axes else 0
-    header, at = read_header(data, at + -(-size // _BLOCK) * _BLOCK)
+    header, at = read_header(data, at + _data_size(primary))
     fields = []
     for k in range(1, header["TFIELDS"] + 1):
         form = str(header[f"TFORM{k}"]).strip()
@@ -72,18 +70,47 @@ def read_table(data: bytes) -> tuple[dict, dict, np.ndarray]:
     return primary, header, np.frombuffer(data, dtype=np.dtype(fields), count=header["NAXIS2"], offset=at)
 
 
-def decode(name: str, data: bytes, flux_column: str) -> pd.DataFrame:
-    """One file's samples, unfiltered."""
-    primary, header, rows = read_table(data)
+def read_headers(file) -> tuple[dict, dict]:
+    """(primary header, table header) of an open file, without what lies between or after them."""
+
+    def header() -> dict:
+        blocks = b""
+        while True:
+            blocks += file.read(_BLOCK)
+            try:
+                return read_header(blocks, 0)[0]
+            except ValueError:
+                if len(blocks) % _BLOCK or not blocks or len(blocks) > 1000 * _BLOCK or file.tell() >= file.size():
+                    raise
+
+    primary = header()
+    file.seek(file.tell() + _data_size(primary))
+    return primary, header()
+
+
+def _data_size(primary: dict) -> int:
+    """Bytes of the primary data, in whole blocks."""
+    axes = [primary.get(f"NAXIS{k}", 0) for k in range(1, primary.get("NAXIS", 0) + 1)]
+    size = math.prod(axes) * abs(primary.get("BITPIX", 8)) // 8 if axes else 0
+    return -(-size // _BLOCK) * _BLOCK
+
+
+def kept_fields(name: str, primary: dict, header: dict, flux_column: str) -> dict:
+    """What a file's headers say: star, quarter and the kept fields. Another time reference is an error."""
     offset = float(header.get("BJDREFI", 0)) + float(header.get("BJDREFF", 0.0))
     if abs(offset - TIME_OFFSET) > 1e-8 + 1e-5 * TIME_OFFSET:
         raise ValueError(f"unexpected time reference {offset}")
     both = {**header, **primary}
     kept = {k.lower(): None if both.get(k) is None else str(both[k]) for k in _KEPT}
+    return {"kepid": int(primary["KEPLERID"]), "quarter": int(primary["QUARTER"]), "file": name, "flux_column": flux_column, **kept, "error": None}
+
+
+def decode(name: str, data: bytes, flux_column: str) -> pd.DataFrame:
+    """One file's samples, unfiltered."""
+    primary, header, rows = read_table(data)
     return pd.DataFrame({
-        "kepid": int(primary["KEPLERID"]), "quarter": int(primary["QUARTER"]), "row": np.arange(len(rows), dtype=np.int32),
-        "time": rows["TIME"].astype(float), "flux": rows[flux_column].astype(float), "flux_err": rows[f"{flux_column}_ERR"].astype(float),
-        "quality": rows["SAP_QUALITY"].astype(np.int64), "file": name, "flux_column": flux_column, **kept, "error": None,
+        "row": np.arange(len(rows), dtype=np.int32), "time": rows["TIME"].astype(float), "flux": rows[flux_column].astype(float),
+        "flux_err": rows[f"{flux_column}_ERR"].astype(float), "quality": rows["SAP_QUALITY"].astype(np.int64), **kept_fields(name, primary, header, flux_column),
     })
 
 

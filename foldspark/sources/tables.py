@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
+import os
+import platform
 import re
-from collections.abc import Callable
-
+import urllib.parse
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +54,34 @@ def read_catalog(spark: SparkSession, path: str, format: str = "csv") -> DataFra
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file under a path."""
+    """(path, length, sha256) of each file under a path.
+
+    Spark lists the files; tasks read them piece by piece, so a file of any size passes. Stores that Arrow doesn't reach
+    are read by Spark, file by file.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    try:
+        fs.FileSystem.from_uri(_address(path))
+    except (pa.ArrowInvalid, OSError):
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = []
+            for name in batch["path"]:
+                store, place = fs.FileSystem.from_uri(name)
+                hashed = hashlib.sha256()
+                with store.open_input_stream(place) as stream:
+                    while piece := stream.read(1 << 20):
+                        hashed.update(piece)
+                hashes.append(hashed.hexdigest())
+            yield batch.assign(sha256=hashes)
+
+    return files.select("path", "length").repartition("path").mapInPandas(digest, "path string, length long, sha256 string")
+
+
+def _address(path: str) -> str:
+    return path if re.match(r"[a-z][a-z0-9+.-]*:", path) else f"file://{path}"
 
 
 def verify_hashes(spark: SparkSession, path: str, expected: dict[str, str]) -> None:
@@ -63,15 +97,23 @@ def write_by_star(processed: DataFrame, path: str, files: int = 64) -> None:
     processed.repartition(files, "kepid").sortWithinPartitions("kepid", "time_bkjd").write.mode("overwrite").parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> dict:
-    """The split manifest as Parquet by split, after its leakage check; an existing one is never overwritten."""
+MANIFEST_ORDER = ("split", "kepid", "kepoi_name")
+
+
+def write_manifest(manifest: DataFrame, path: str, files: int = 8) -> dict:
+    """The split manifest as Parquet by split, after its leakage check; an existing one is never overwritten.
+
+    Rows are dealt to at most ``files`` files by ranges of split, star and name and sorted within them, so the files of a
+    split in the order of their names hold its rows in order. ``read_in_order`` relies on it.
+    """
     from foldspark.operators.splits import check_no_leakage, split_summary
 
     spark = manifest.sparkSession
     if exists(spark, path):
         raise FileExistsError(f"{path} exists already")
     check_no_leakage(manifest)
-    manifest.write.partitionBy("split").mode("errorifexists").parquet(path)
+    ordered = manifest.repartitionByRange(files, *MANIFEST_ORDER).sortWithinPartitions(*MANIFEST_ORDER)
+    ordered.write.partitionBy("split").mode("errorifexists").parquet(path)
     return {r["split"]: r.asDict() for r in split_summary(read_manifest(spark, path)).collect()}  # three rows
 
 
@@ -88,6 +130,13 @@ def read_manifest(spark: SparkSession, path: str, verify: bool = False) -> DataF
     return rows
 
 
+def read_in_order(spark: SparkSession, path: str) -> Iterator[DataFrame]:
+    """The files of a written manifest, one DataFrame each, in the order that makes their rows sorted."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    for r in found.orderBy("path").collect():  # a handful of files
+        yield spark.read.option("basePath", path).parquet(r["path"]).select(*schemas.MANIFEST_COLUMNS)
+
+
 def _file_system(spark: SparkSession, path: str):
     """(Hadoop path, its file system): any store that Spark reads."""
     context = spark.sparkContext
@@ -220,3 +269,60 @@ def run_id(name: str, taken: set[str] = frozenset(), now: datetime.datetime | No
     while found in taken:
         found, k = f"{first}_{k}", k + 1
     return found
+
+
+def claim_run(spark: SparkSession, root: str, name: str, now: datetime.datetime | None = None) -> str:
+    """The name of a new run folder under ``root`` that no other writer has or will get.
+
+    The folder is made by an operation that fails where it exists: a directory on a local disk, elsewhere a claim file
+    created without overwriting.
+    """
+    taken: set[str] = set()
+    now = now or datetime.datetime.now(datetime.UTC)
+    while True:
+        run = run_id(name, taken, now)
+        if _claimed(spark, f"{root.rstrip('/')}/{run}"):
+            return run
+        taken.add(run)
+
+
+def _claimed(spark: SparkSession, folder: str) -> bool:
+    address = urllib.parse.urlparse(_address(folder))
+    if address.scheme == "file":
+        os.makedirs(os.path.dirname(address.path), exist_ok=True)
+        try:
+            os.mkdir(address.path)
+        except FileExistsError:
+            return False
+        return True
+    place, store = _file_system(spark, f"{folder}/_claim")
+    try:
+        store.create(place, False).close()
+    except Py4JJavaError as problem:
+        if "FileAlreadyExists" in str(problem.java_exception):
+            return False
+        raise
+    return True
+
+
+def write_run(spark: SparkSession, root: str, run: str, kind: str, results: DataFrame, config: dict, inputs: dict[str, str] | None = None) -> DataFrame:
+    """A claimed run's results and one row of where they come from; the row is returned.
+
+    The row has the configuration, versions of what ran, and for each input by name its files with their hashes.
+    """
+    folder = f"{root.rstrip('/')}/{run}"
+    results.write.parquet(f"{folder}/results")
+    environment = {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "numpy": np.__version__, "pandas": pd.__version__, "pyarrow": pa.__version__}
+    row = spark.createDataFrame([(run, kind, datetime.datetime.now(datetime.UTC), json.dumps(config, sort_keys=True, default=str), json.dumps(environment, sort_keys=True))], "run_id string, kind string, created_at timestamp, config string, environment string")
+    hashes = None
+    for label, path in sorted((inputs or {}).items()):
+        one = content_hashes(spark, path).filter("NOT startswith(element_at(split(path, '/'), -1), '_')").select(F.lit(label).alias("input"), "path", "length", "sha256")
+        hashes = one if hashes is None else hashes.unionByName(one)
+    empty = F.array().cast("array<struct<input: string, path: string, length: bigint, sha256: string>>")
+    if hashes is None:
+        row = row.withColumn("inputs", empty)
+    else:
+        listed = hashes.agg(F.array_sort(F.collect_list(F.struct("input", "path", "length", "sha256"))).alias("inputs"))
+        row = row.join(F.broadcast(listed))  # one row each
+    row.coalesce(1).write.parquet(f"{folder}/provenance")
+    return spark.read.parquet(f"{folder}/provenance")
