@@ -131,8 +131,8 @@ def _with_ranges(docs: DataFrame, range_rows: int) -> DataFrame:
     bounds = [int(c) for c in (cuts or [])[every - 1 :: every]] if wanted > 1 else []
     hot = {b: n * fine for b, n in Counter(bounds).items() if n > 1}
     null_parts = max(1, -(-(rows - known) // range_rows))
-    hashed = bool(hot) or null_parts > 1 or fine > 1
-    ranged = docs.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 11) if hashed else F.lit(0).cast("long"))
+    # Whatever the table's size, rows with one id are in the order of their texts' hashes.
+    ranged = docs.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 11))
     ranged = ranged.withColumn("coarse", F.coalesce(_range_of(ids, bounds) if bounds else F.when(ids.isNotNull(), 0), F.lit(-1)))
     inner = F.array().cast("array<bigint>")
     if fine > 1:

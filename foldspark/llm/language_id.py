@@ -14,11 +14,11 @@ from and not held out; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ STRETCH = 80
 #: Characters hashed at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's letters; numbers such as a half or a circled one are none.
+_LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

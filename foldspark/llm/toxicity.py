@@ -34,6 +34,8 @@ WINDOW, STRIDE = 80, 64
 #: Documents of each class for the dictionaries and for the calibration, and ordinary documents whose windows, all of
 #: them, the ordinary dictionary is trained on; whole texts are learned from.
 FOR_DICTIONARY, FOR_CALIBRATION, FOR_TRAINER = 1000, 500, 250
+#: Bytes of text whose windows the trainer of the ordinary dictionary gets at most, on the driver.
+TRAINER_BYTES = 32_000_000
 DICTIONARY_BYTES, LEVEL = 24_000, 6
 #: Lengths of toxic stretches in bytes (the shortest is the compressor's least match), documents that must hold one, its
 #: most ordinary share in parts of its toxic one, times a document is covered, and a decoy's least ordinary share.
@@ -184,7 +186,7 @@ def learn(texts: DataFrame, order: list[list[int]], toxic_share: float) -> Model
     common = _common(texts, first[1], {s[i:j] for s in counts for i in range(len(s) - SHORTEST + 1) for j in range(i + SHORTEST, len(s) + 1)})
     stretches, decoys, stems = toxic_stretches(held, counts, common, len(first[1]))
     joined = lambda parts: b"".join(p + _APART for p in parts)
-    trained = _trained(_windows_of(texts, first[1][:FOR_TRAINER]))
+    trained = _trained(_windows_of(texts, _within(texts, first[1][:FOR_TRAINER], TRAINER_BYTES)))
     plain, bare = joined(decoys) + trained, _without(trained, stems)
     model = Model(plain, joined(stretches) + plain, bare, joined(stems) + bare, (0.0,) * (1 + FEATURES))
     rest = [(toxic[at[0] :] or toxic, 1), (ordinary[at[1] :] or ordinary, 0)]
@@ -228,6 +230,17 @@ def _common(texts: DataFrame, ids: list[int], parts: set[bytes]) -> dict[bytes,
     return {bytes(r["s"]): r["n"] for r in counted.toLocalIterator()}
 
 
+def _within(texts: DataFrame, ids: list[int], most: int) -> list[int]:
+    """Of these documents, in turn, those whose texts together have at most ``most`` bytes; one that is too long is passed over."""
+    sizes = {r["i"]: r["n"] for r in _of(texts, ids).select("i", F.octet_length("t").alias("n")).collect()}
+    kept, total = [], 0
+    for i in ids:
+        if total + sizes[i] <= most:
+            kept.append(i)
+            total += sizes[i]
+    return kept
+
+
 def _windows_of(texts: DataFrame, ids: list[int]) -> list[bytes]:
     """All windows of these documents, in this order."""
 

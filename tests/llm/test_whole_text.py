@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foldspark.llm import common, fingerprints, pii, quality, secrets, simhash_dedup, toxicity
+from foldspark.llm import common, fingerprints, language_id, pii, quality, secrets, simhash_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -177,3 +180,32 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.use_checkpoints(Session())
+
+
+def test_next_of_equal_ids_does_not_depend_on_unrelated_rows(spark):
+    """Rows that share an id are in the order of their texts' hashes at every size of the table."""
+    import xxhash
+
+    texts = [f"a text of its own number {k} " * 9 for k in range(5)]
+    own = [(7, t) for t in texts]
+    lone = {}
+    for more in ([], [(None, f"n {k}") for k in range(500)], [(k, f"d {k % 50}") for k in range(8, 900)]):
+        docs = spark.createDataFrame([*own, (6, "the row after them"), *more], "doc_id long, text string")
+        made = fingerprints.compare_with_next(docs, range_rows=100).filter("doc_id = 7")
+        lone[len(more)] = sorted((r["fingerprint"], r["edited_sha256"]) for r in made.collect())
+    assert len(set(map(tuple, lone.values()))) == 1
+    order = sorted(texts, key=lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) >> 11)
+    following = [*order[1:], "the row after them"]
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(order, following)}
+    assert {h for _, h in lone[0]} == want
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["½ ² ①", "Ⅷ", "12 _ -", "é", "字"])] + [(10 + k, "the river and the house") for k in range(4)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert [got[k] for k in range(5)] == ["und", "und", "und", "en", "en"]
+
+
+def test_trainer_takes_documents_up_to_its_bytes(spark):
+    texts = spark.createDataFrame([(k, "x" * n) for k, n in enumerate((50, 500, 30, 20, 1))], "i long, t string")
+    assert toxicity._within(texts, [0, 1, 2, 3, 4], 100) == [0, 2, 3] and toxicity._within(texts, [4, 1], 501) == [4, 1]
