@@ -89,35 +89,44 @@ def transits_observed(df: DataFrame, keys: list[str], time: str = "time") -> Dat
     return df.groupBy(*keys).agg(F.count_distinct(F.when(inside, number)).alias("n_transits_observed"))
 
 
-def contamination(df: DataFrame, keys: list[str], time: str = "time", own_depth: str = "depth", siblings: str = "siblings") -> DataFrame:
-    """How much of a source's other signals survives folding on each signal's ephemeris.
-
-    Rows are samples with their signal's (period, epoch, duration_hours, depth) and an array of the other signals'
-    ephemerides and depths. The phase has bins of half a duration; in each, the share of samples inside any other
-    transit, and the mean dip that the others' depths would make there. The maxima over bins come back, that dip also
-    within the own transit and relative to the own depth. Without a duration, or others with one, all are zero.
+def contamination(samples: DataFrame, signals: DataFrame, time: str = "time") -> DataFrame:
+    """(kepoi_name, ...) how much of a star's other signals survives folding on each of its signals' ephemerides.
+
+    ``samples`` is (kepid, time), ``signals`` (kepid, kepoi_name, period, epoch, duration_hours, depth); those without a
+    period are left out, and so are signals of stars without samples. The phase has bins of half a duration; in each, the
+    share of samples inside any other transit, and the mean dip that the others' depths would make there. The maxima over
+    bins come back, that dip also within the own transit and relative to the own depth. Without a duration, or others with
+    one, all are zero.
+
+    A sample meets its star's signals once, as one array; those that it is inside of, mostly none or one, are listed. For a
+    signal that isn't among them its others are the whole list, whose sum is at hand, else the list without it. So a star
+    of k signals costs k steps a sample, and a row a signal holds a bin and two numbers.
     """
-    usable = F.filter(F.coalesce(F.col(siblings), F.array()), lambda s: F.coalesce(s["duration_hours"] != 0, F.lit(False)))
-    n_bins = F.greatest(F.lit(8), F.least(F.lit(4096), F.ceil(2 * F.col("period") * 24.0 / F.col("duration_hours")).cast("int")))
-    rows = df.withColumn("_others", usable).withColumn("_n", F.when((F.size("_others") > 0) & (F.col("duration_hours") != 0), n_bins))
-    groups = rows.groupBy(*keys).agg(F.first(own_depth).alias("_depth")) if own_depth not in keys else rows.select(*keys, F.col(own_depth).alias("_depth")).distinct()
-    phase = phase_fold(time, "period", "epoch") / F.col("period")
-    place = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((phase + 0.5) * F.col("_n")).cast("int")))
-    hit = lambda s: in_transit(time, s["period_days"], s["epoch_bkjd"], s["duration_hours"], 1.0)
-    dip = lambda s: F.when(hit(s) & is_finite(s["depth"]), s["depth"]).otherwise(0.0)
-    seen = rows.filter(F.col("_n").isNotNull()).select(
-        *keys, "_n", "period", "duration_hours", place.alias("_bin"),
-        F.exists("_others", hit).cast("double").alias("_any"), F.aggregate("_others", F.lit(0.0), lambda total, s: total + dip(s)).alias("_dip"),
-    )
-    extra = [c for c in ("_n", "period", "duration_hours") if c not in keys]
-    bins = seen.groupBy(*keys, *extra, "_bin").agg(F.avg("_any").alias("_any"), F.avg("_dip").alias("_dip"))
+    known = signals.filter(F.col("period").isNotNull())
+    one = F.struct("kepoi_name", "period", "epoch", "duration_hours", F.when(is_finite("depth"), F.col("depth")).alias("depth"))
+    with_duration = F.array_sort(F.collect_list(F.when(F.coalesce(F.col("duration_hours") != 0, F.lit(False)), one)))
+    listed = known.groupBy("kepid").agg(with_duration.alias("_all")).filter(F.size("_all") > 1)
+    met = samples.select("kepid", time).join(listed, "kepid")
+    hit = lambda s: in_transit(time, s["period"], s["epoch"], s["duration_hours"], 1.0)
+    marked = F.transform("_all", lambda s, i: F.when(hit(s), F.struct(i.alias("i"), F.coalesce(s["depth"], F.lit(0.0)).alias("depth"))))
+    deep = lambda hits: F.aggregate(hits, F.lit(0.0), lambda total, h: total + h["depth"])
+    met = met.withColumn("_hits", F.array_compact(marked)).withColumn("_depth", deep("_hits"))
+    others = lambda i: F.filter("_hits", lambda h: h["i"] != i)
+    inside = lambda i: F.exists("_hits", lambda h: h["i"] == i)
+    n_bins = lambda s: F.greatest(F.lit(8), F.least(F.lit(4096), F.ceil(2 * s["period"] * 24.0 / s["duration_hours"]).cast("int")))
+    place = lambda s: F.greatest(F.lit(0), F.least(n_bins(s) - 1, F.floor((phase_fold(time, s["period"], s["epoch"]) / s["period"] + 0.5) * n_bins(s)).cast("int")))
+    each = F.transform("_all", lambda s, i: F.struct(
+        s["kepoi_name"].alias("kepoi_name"), n_bins(s).alias("_n"), s["period"].alias("period"), s["duration_hours"].alias("duration_hours"), place(s).alias("_bin"),
+        F.exists("_hits", lambda h: h["i"] != i).cast("double").alias("_any"), F.when(inside(i), deep(others(i))).otherwise(F.col("_depth")).alias("_dip"),
+    ))
+    bins = met.select(F.inline(each)).groupBy("kepoi_name", "_n", "period", "duration_hours", "_bin").agg(F.avg("_any").alias("_any"), F.avg("_dip").alias("_dip"))
     centre = F.lit(-0.5) + (F.col("_bin") + 0.5) / F.col("_n")
     own = F.abs(centre) < 0.5 * F.col("duration_hours") / 24.0 / F.col("period") + 0.5 / F.col("_n")
-    top = bins.groupBy(*keys).agg(F.max("_any").alias("_any"), F.max("_dip").alias("_max"), F.max(F.when(own, F.col("_dip"))).alias("_own"))
-    found = groups.join(top, keys, "left")
-    relative = F.when(F.col("_max").isNull(), 0.0).when(is_finite("_depth") & (F.col("_depth") > 0), F.col("_max") / F.col("_depth"))
+    top = bins.groupBy("kepoi_name").agg(F.max("_any").alias("_any"), F.max("_dip").alias("_max"), F.max(F.when(own, F.col("_dip"))).alias("_own"))
+    found = known.join(samples.select("kepid").distinct(), "kepid", "left_semi").select("kepoi_name", "depth").join(top, "kepoi_name", "left")
+    relative = F.when(F.col("_max").isNull(), 0.0).when(is_finite("depth") & (F.col("depth") > 0), F.col("_max") / F.col("depth"))
     return found.select(
-        *keys,
+        "kepoi_name",
         F.coalesce("_any", F.lit(0.0)).alias("contam_max_bin_fraction"),
         F.coalesce("_max", F.lit(0.0)).alias("contam_max_expected_ppm"),
         F.coalesce("_own", F.lit(0.0)).alias("contam_in_transit_expected_ppm"),

@@ -132,17 +132,18 @@ def build_examples(processed: DataFrame, labelled: DataFrame, stars: DataFrame,
     r = config.representation
     for name in EXAMPLE_CATALOG_COLUMNS:
         labelled = labelled if name in labelled.columns else labelled.withColumn(name, F.lit(None).cast("double"))
-    signals = settle(signals_of(labelled.join(stars.select("kepid", "split"), "kepid")))
+    signals = settle(signals_of(labelled.join(stars.select("kepid", "split"), "kepid")).drop("siblings"))
     usable = signals.filter(F.col("period").isNotNull() & (F.col("duration_hours") > 0))
     diagnostics = settle(star_diagnostics(processed))
     enough = diagnostics.filter(F.col("n_points") >= r.min_valid_points).select("kepid")
     samples = processed.select("kepid", F.col("time_bkjd").alias("time"), F.col("flux_detrended").alias("flux"))
     keys = ["kepoi_name"]
-    folded = settle(usable.join(enough, "kepid", "left_semi").select("kepid", *keys, "period", "epoch", "duration_hours", "depth", "siblings").join(samples, "kepid"))
+    own = usable.join(enough, "kepid", "left_semi").select("kepid", *keys, "period", "epoch", "duration_hours", "depth")
+    folded = settle(own.join(samples, "kepid"))
     wide = views.as_arrays(views.global_view(folded, keys, r.global_bins), keys, r.global_bins, "global")
     near = views.as_arrays(views.local_view(folded, keys, r.local_bins, r.local_half_width_durations, r.local_bin_width_durations), keys, r.local_bins, "local")
     rows = signals.join(diagnostics, "kepid", "left")
-    for part in (wide, near, views.transits_observed(folded, keys), views.contamination(folded, keys)):
+    for part in (wide, near, views.transits_observed(folded, keys), views.contamination(samples, own)):
         rows = rows.join(part, keys, "left")
     rows = rows.withColumns({
         "global_coverage": views.coverage(F.col("global_count")),

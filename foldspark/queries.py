@@ -309,16 +309,15 @@ nb AS (SELECT *, greatest(8, least(4096, ceil(2 * p * 24.0::DOUBLE / du)))::INT
 bn AS (SELECT *, greatest(0, least(n - 1, floor((ph / p + 0.5::DOUBLE) * n)))::INT AS bin FROM nb),
 g AS (SELECT kepoi_name, n, p, du, bin, avg(a) AS a, avg(dip) AS dip FROM bn GROUP BY ALL),
 t AS (SELECT kepoi_name, max(a) AS a, max(dip) AS m, max(dip) FILTER (abs(-0.5::DOUBLE + (bin + 0.5::DOUBLE) / n) < 0.5::DOUBLE * du / 24.0::DOUBLE / p + 0.5::DOUBLE / n) AS o FROM g GROUP BY kepoi_name)
-SELECT kepoi_name, round(coalesce(a, 0.0), 6) AS contam_max_bin_fraction, round(coalesce(m, 0.0), 3) AS contam_max_expected_ppm, round(coalesce(o, 0.0), 3) AS contam_in_transit_expected_ppm,
+SELECT kepoi_name, round(coalesce(a, 0.0), 6) AS contam_max_bin_fraction, round(coalesce(m, 0.0), 6) AS contam_max_expected_ppm, round(coalesce(o, 0.0), 6) AS contam_in_transit_expected_ppm,
 round(CASE WHEN m IS NULL THEN 0.0 WHEN koi_depth > 0 THEN m / koi_depth END, 6) AS contam_max_relative_to_depth FROM own LEFT JOIN t USING (kepoi_name)"""
 
 
 @query(f"WITH {_CONTAM}")
 def contamination(spark, d):
-    known = prep.signals_of(signals(spark, d)).select("kepid", "kepoi_name", "period", "epoch", "duration_hours", "depth", "siblings")
-    out = views.contamination(_normalised(spark, d).join(known, "kepid"), ["kepoi_name"])
-    out = r6(out, "contam_max_bin_fraction", "contam_max_relative_to_depth")
-    return out.withColumns({c: F.round(c, 3) for c in ("contam_max_expected_ppm", "contam_in_transit_expected_ppm")})
+    known = prep.signals_of(signals(spark, d)).select("kepid", "kepoi_name", "period", "epoch", "duration_hours", "depth")
+    out = views.contamination(_normalised(spark, d), known)
+    return r6(out, "contam_max_bin_fraction", "contam_max_relative_to_depth", "contam_max_expected_ppm", "contam_in_transit_expected_ppm")
 
 
 @query(f"""WITH {_COUNTS}, np AS (SELECT kepid, count(*) AS n_points FROM nm GROUP BY kepid),
