@@ -92,7 +92,6 @@ def dataset_report(examples: DataFrame) -> dict[str, DataFrame]:
     labelled = examples.filter(F.col("label").isNotNull())
     ok = examples.filter("example_status = 'ok'")
     flags = ["koi_fpflag_nt", "koi_fpflag_ss", "koi_fpflag_co", "koi_fpflag_ec"]
-    contam = F.col("contam_max_relative_to_depth")
     return {
         "status": labels.value_counts(examples, "example_status"),
         "labels": labels.value_counts(examples, "split", "label_name"),
@@ -100,12 +99,19 @@ def dataset_report(examples: DataFrame) -> dict[str, DataFrame]:
         "bias": statistics.bias_table(labelled, list(statistics.BIAS_VARIABLES)).orderBy(F.desc("separability")),
         "signals_per_star": statistics.signals_per_star(examples),
         "flag_means": labelled.groupBy("label").agg(*(F.avg(c).alias(c) for c in flags)),
-        "contamination": ok.agg(F.median(contam).alias("median"), F.count_if(contam > 0.25).alias("above_quarter"), F.max(contam).alias("max")),
+        "contamination": contamination_summary(examples),
         "missing": statistics.missing_counts(examples, ["koi_period", "koi_time0bk", "koi_duration", "koi_depth"]),
         "near_threshold": ok.agg(F.count_if(F.col("transit_coverage") < 0.6).alias("low_transit_coverage"), F.count_if(F.col("global_coverage") < 0.6).alias("low_global_coverage")),
     }
 
 
+def contamination_summary(examples: DataFrame, much: float = 0.25) -> DataFrame:
+    """One row: the median and the greatest contamination of usable examples, and how many have more than ``much``."""
+    contam = F.nanvl("contam_max_relative_to_depth", F.lit(None).cast("double"))
+    ok = examples.filter("example_status = 'ok'")
+    return ok.agg(F.median(contam).alias("median"), F.count_if(contam > much).alias("above_quarter"), F.max(contam).alias("max"))
+
+
 def split_mismatches(examples: DataFrame, manifest: DataFrame) -> DataFrame:
     """(kepoi_name, split, manifest_split): examples whose split is not that of the manifest, or that it lacks."""
     known = manifest.select("kepoi_name", F.col("split").alias("manifest_split"))

@@ -20,7 +20,7 @@ from foldspark.operators import timeseries as ts
 from foldspark.operators.budget import spend
 from foldspark.plans import api, jobs
 from foldspark.plans import preprocess as prep
-from foldspark.sources import products
+from foldspark.sources import products, tables
 from foldspark.sources.testdata import catalog, light_curve, signals, table
 
 GAP, WINDOW, POINTS, BINS, FACTOR = 1.0, 4.0, 3, 16, 1.5
@@ -540,6 +540,35 @@ def star_log(spark, d):
     return prep.preprocess_stars(curve, stars, config, catalog(spark, d), "event_id")[1]
 
 
+@query(f"""WITH {_SEG}, cb AS (SELECT *, 1 + 0.02::DOUBLE * x - 0.3::DOUBLE * x * x + 0.1::DOUBLE * x * x * x AS flux_cubic FROM (SELECT kepid, event_id, segment, (time - 15) / 10 AS x FROM sg))
+SELECT kepid, event_id, round(CASE WHEN count(*) OVER w < 4 THEN median(flux_cubic) OVER w ELSE flux_cubic END, 6) AS trend FROM cb WINDOW w AS (PARTITION BY kepid, segment)""")
+def spline_of_cubics(spark, d):
+    """The clipped spline of curves that are cubics in time, whose trend is the cubic itself."""
+    x = (F.col("time") - 15) / 10
+    rows = _segmented(spark, d).withColumn("flux", 1 + 0.02 * x - 0.3 * x * x + 0.1 * x * x * x)
+    return r6(ts.robust_spline_trend(rows, 2.0, POINTS).select("kepid", "event_id", "trend"), "trend")
+
+
+@query(f"""WITH {_EXAMPLES} SELECT split, example_status, training_status, label, count(*) AS n, count(DISTINCT kepid) AS n_stars FROM ex GROUP BY ALL""")
+def dataset_counts(spark, d):
+    return tables.dataset_counts(_example_rows(spark, d))
+
+
+@query(f"""WITH {_EXAMPLES}, ok AS (SELECT * FROM ex WHERE example_status = 'ok') SELECT round(median(contam), 6) AS median, count(*) FILTER (contam > 0.25) AS above_quarter, round(max(contam), 6) AS max FROM ok""")
+def contamination_summary(spark, d):
+    return r6(jobs.contamination_summary(_example_rows(spark, d)), "median", "max")
+
+
+@query(f"""WITH {_CAT}, rn AS (SELECT kepid, 'r' || (o_orderkey % 5) AS run_id, (o_orderkey % 3) / 2.0::DOUBLE AS severity, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, koi_period AS period, kepoi_name FROM cat),
+ok AS (SELECT * FROM rn WHERE kepid = (SELECT min(kepid) FROM rn WHERE status = 'ok') AND status = 'ok') SELECT * FROM ok WHERE run_id = (SELECT max(run_id) FROM ok)""")
+def api_bls(spark, d):
+    """All severities of the newest run with a result for a star."""
+    key = F.col("o_orderkey")
+    runs = catalog(spark, d).select("kepid", F.concat(F.lit("r"), (key % 5).cast("string")).alias("run_id"), ((key % 3) / F.lit(2.0)).alias("severity"), F.when(key % 7 == 0, "failed").otherwise("ok").alias("status"), F.col("koi_period").alias("period"), "kepoi_name")
+    first = runs.filter("status = 'ok'").agg(F.min("kepid")).first()[0]
+    return api.latest_runs(api.Tables(catalog(spark, d), runs=runs), f"KIC {first}")
+
+
 # Products.
 
 _FILES = """li AS (SELECT l_suppkey AS kepid, l_linenumber AS quarter, 'f' || lpad(l_orderkey::VARCHAR, 10, '0') AS filename, l_orderkey % 1000 AS size_bytes, l_orderkey FROM lineitem),

@@ -151,12 +151,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace(spark: SparkSession, made: str, path: str) -> None:
-    """Put a finished folder in the place of another one."""
+    """Put a finished folder in the place of another one, which is moved aside first and deleted last.
+
+    If the work stops in between, the former folder is there under ``<path>.replaced``; the next call clears that up.
+    """
     place, store = _file_system(spark, path)
+    aside, new = _file_system(spark, f"{path}.replaced")[0], _file_system(spark, made)[0]
     if store.exists(place):
-        store.delete(place, True)
-    if not store.rename(_file_system(spark, made)[0], place):
+        if store.exists(aside):
+            store.delete(aside, True)
+        if not store.rename(place, aside):
+            raise OSError(f"{path} could not be moved aside")
+    if not store.rename(new, place):
         raise OSError(f"{made} could not be renamed to {path}")
+    if store.exists(aside):
+        store.delete(aside, True)
 
 
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
@@ -213,11 +222,20 @@ def cached_catalog(spark: SparkSession, path: str, fetch: Callable[[], DataFrame
     return read_catalog(spark, f"{path}/table", "parquet"), document, False
 
 
-def write_dataset(examples: DataFrame, log: DataFrame, path: str, info: dict | None = None) -> dict:
+def same_snapshot(catalog: dict, splits: dict) -> None:
+    """Splits count only with the catalog that they were made from: the checksums of both documents must be equal."""
+    if catalog.get("sha256") != splits.get("source_catalog", {}).get("sha256"):
+        raise ValueError("the splits were made from another catalog snapshot")
+
+
+def write_dataset(examples: DataFrame, log: DataFrame, path: str, info: dict | None = None, overwrite: bool = False) -> dict:
     """A built dataset: examples with their arrays, the log of stars, checksums and a document of counts.
 
-    Everything is written beside the path and takes its place when it is whole, so a reader never sees a part.
+    Everything is written beside the path and takes its place when it is whole, so a reader never sees a part. One that is
+    there is replaced only if asked for, which is checked before anything is computed.
     """
+    if not overwrite and exists(examples.sparkSession, path):
+        raise FileExistsError(f"{path} exists already")
     spark, stage = examples.sparkSession, f"{path}.building"
     examples.write.mode("overwrite").parquet(f"{stage}/examples")
     log.write.mode("overwrite").parquet(f"{stage}/log")

@@ -35,7 +35,10 @@ def test_dataset_round_trip_and_damage(spark, tmp_path):
     made, stars, read = tables.load_dataset(spark, path, verify=True)
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, examples(spark).collect())) and stars.count() == 2 and read["name"] == "small"
     assert not os.path.exists(path + ".building")
-    tables.write_dataset(examples(spark).limit(7), log, path)
+    with pytest.raises(FileExistsError):
+        tables.write_dataset(examples(spark).limit(7), log, path)
+    tables.write_dataset(examples(spark).limit(7), log, path, overwrite=True)
+    assert not tables.exists(spark, f"{path}.replaced")
     assert tables.load_dataset(spark, path)[0].count() == 7
     victim = next(Path(path, "examples").glob("part-*"))
     examples(spark).limit(7).withColumn("kepid", F.col("kepid") + 1).coalesce(1).write.parquet(str(tmp_path / "other"))
@@ -75,6 +78,25 @@ def test_snapshot_is_fetched_once_and_checked(spark, tmp_path):
     assert tables.exists(spark, path) and not tables.exists(spark, str(tmp_path / "nothing"))
 
 
+def test_a_dataset_is_moved_aside_until_the_new_one_stands(spark, tmp_path):
+    made, path = str(tmp_path / "made"), str(tmp_path / "data")
+    for folder, n in ((path, 3), (f"{path}.replaced", 1)):
+        spark.range(n).write.parquet(folder)
+    with pytest.raises(OSError):
+        tables.replace(spark, made, path)  # nothing was made
+    assert spark.read.parquet(f"{path}.replaced").count() == 3
+    spark.range(5).write.parquet(made)
+    tables.replace(spark, made, path)
+    assert spark.read.parquet(path).count() == 5 and not tables.exists(spark, f"{path}.replaced")
+
+
+def test_splits_of_another_snapshot_are_refused():
+    tables.same_snapshot({"sha256": {"a": "1"}}, {"source_catalog": {"sha256": {"a": "1"}}})
+    for other in ({"source_catalog": {"sha256": {"a": "2"}}}, {}):
+        with pytest.raises(ValueError, match="another catalog snapshot"):
+            tables.same_snapshot({"sha256": {"a": "1"}}, other)
+
+
 def test_fetch_outcomes(spark):
     found = spark.createDataFrame([(1, 1, "a", 10), (2, 1, "b", 900), (2, 2, "c", None), (3, 1, "d", 10)], "kepid long, quarter int, filename string, size_bytes long")
     policy = products.policy_of(ProductConfig())
