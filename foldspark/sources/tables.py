@@ -157,6 +157,8 @@ def replace(spark: SparkSession, made: str, path: str) -> None:
     """
     place, store = _file_system(spark, path)
     aside, new = _file_system(spark, f"{path}.replaced")[0], _file_system(spark, made)[0]
+    if not store.exists(new):
+        raise FileNotFoundError(f"{made} isn't there")
     if store.exists(place):
         if store.exists(aside):
             store.delete(aside, True)

@@ -82,9 +82,9 @@ def test_a_dataset_is_moved_aside_until_the_new_one_stands(spark, tmp_path):
     made, path = str(tmp_path / "made"), str(tmp_path / "data")
     for folder, n in ((path, 3), (f"{path}.replaced", 1)):
         spark.range(n).write.parquet(folder)
-    with pytest.raises(OSError):
-        tables.replace(spark, made, path)  # nothing was made
-    assert spark.read.parquet(f"{path}.replaced").count() == 3
+    with pytest.raises(FileNotFoundError):
+        tables.replace(spark, made, path)  # nothing was made, so nothing is moved
+    assert spark.read.parquet(path).count() == 3
     spark.range(5).write.parquet(made)
     tables.replace(spark, made, path)
     assert spark.read.parquet(path).count() == 5 and not tables.exists(spark, f"{path}.replaced")
