@@ -14,7 +14,9 @@ other columns are ignored; an empty table gives an empty result. Offsets are cod
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -30,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: characters, an @ and 255 more, four bytes have three dots, 19 digits have 18 marks between them, and a phone number's
 #: 15 digits each have two marks or a sign before them.
 LONGEST = {"email": 320, "ip": 7, "card": 37, "phone": 44}
+#: Characters of the longest domain, and digit runs whose segments are scored together.
+DOMAIN, RUNS = 255, 8192
 #: Generated stretches to learn from, passes over them, learning rate and shrinkage.
 EXAMPLES, PASSES, RATE, SHRINK = 400, 6, 0.5, 1e-4
 
@@ -112,6 +116,8 @@ def segment_features(text: str, begin: int, end: int, kind: str) -> list[str] |
     made = ["is", f"left{left}", f"right{right}", f"tail{end + 1 < len(text) and text[end] in '.-' and text[end + 1].isdigit()}"]
     groups = re.split(r"[ ().-]+", part.strip("+()"))
     if kind == "email":
+        if len(part.rpartition("@")[2]) > DOMAIN:
+            return None
         made += [f"ending{part.rpartition('.')[2].isalpha()}", f"dots{'..' in part}"]
     elif kind == "ip":
         made += [f"bytes{all(_at_most_255(g) for g in groups)}", f"zeros{any(len(g) > 1 and g[0] == '0' for g in groups)}"]
@@ -152,32 +158,242 @@ def _outside(text: str, begin: int, end: int) -> str:
 
 
 Weights = dict[str, float]
-
-
-def best_segments(text: str, weights: Weights) -> list[tuple[str, int, int]]:
-    """The spans of the best segmentation of a stretch, by bounded dynamic programming."""
-    bounds, found = candidates(text)
-    if not found:
-        return []
-    by_end: dict[int, list] = {}
-    for i, j, kind, made in found:
-        by_end.setdefault(j, []).append((i, kind, sum(weights.get(m, 0.0) for m in made)))
-    best, back = [0.0], [None]
-    for j in range(1, len(bounds)):
-        value, step = best[j - 1] + weights.get(_outside(text, bounds[j - 1], bounds[j]), 0.0), None
-        for i, kind, score in by_end.get(j, ()):
-            if best[i] + score > value:
-                value, step = best[i] + score, (i, kind)
-        best.append(value)
-        back.append(step)
-    spans, j = [], len(bounds) - 1
-    while j > 0:
-        if back[j] is None:
-            j -= 1
+Spans = list[tuple[str, int, int]]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _member(codes: np.ndarray, characters: str) -> np.ndarray:
+    """Which codes are one of some ASCII characters."""
+    table = np.zeros(129, dtype=bool)
+    table[[ord(c) for c in characters]] = True
+    return table[np.minimum(codes, 128)]
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values)])
+
+
+class _Line:
+    """Arrays over the characters, atoms and digit runs of a text, from which whole segments are scored.
+
+    Each feature of a segment is a difference of running sums or a property of one end, so scores are table look-ups.
+    """
+
+    def __init__(self, text: str, weights: Weights):
+        self.weights = weights
+        codes = self.codes = _codes(text)
+        n = len(codes)
+        self.bounds = np.fromiter(itertools.chain([0], (m.end() for m in _ATOM.finditer(text))), dtype=np.int64)
+        digit = self.digit = (codes >= 48) & (codes <= 57)
+        numeral = digit.copy()
+        for code in np.unique(codes[codes > 127]):
+            if chr(code).isdigit():
+                numeral |= codes == code
+        edge = _member(codes, _EDGE)
+        # Of a span's begin and end: an edge character or the text's own end beside it, and ".5" or "-5" behind it.
+        self.left = np.concatenate([[True], edge])
+        self.right = np.concatenate([edge, [True]])
+        self.tail = np.concatenate([_member(codes[:-1], ".-") & numeral[1:], [False, False]]) if n else np.zeros(1, bool)
+        heads = self.bounds[:-1]
+        outside = np.where(numeral[heads], self.weight("out digit"), np.where(codes[heads] == ord("@"), self.weight("out at"), self.weight("out")))
+        #: The score of leaving all before a position outside, by character position of an atom's bound.
+        self.out = np.zeros(n + 1)
+        self.out[self.bounds] = _sums(outside)
+        steps = np.flatnonzero(np.diff(np.concatenate([[False], digit, [False]]).astype(np.int8)))
+        self.begins, self.ends = steps[::2], steps[1::2]
+
+    def weight(self, name: str) -> float:
+        return self.weights.get(name, 0.0)
+
+    def table(self, kind: str, name: str, values) -> np.ndarray:
+        return np.array([self.weight(f"{kind} {name}{v}") for v in values])
+
+    def ends_of(self, kind: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The part of the score that any kind has, less that of being outside."""
+        flag = lambda name, at: self.table(kind, name, (False, True))[at.astype(np.int8)]
+        made = self.weight(f"{kind} is") + flag("left", self.left[begin]) + flag("right", self.right[end]) + flag("tail", self.tail[end])
+        return made - (self.out[end] - self.out[begin])
+
+    def numbers(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """(begins, ends, kind, gain over being outside) of the address, card and phone segments that gain."""
+        runs = len(self.begins)
+        if not runs:
+            return
+        codes, size = self.codes, self.ends - self.begins
+        value = codes[self.digit].astype(np.int64) - 48
+        count = np.concatenate([[0], np.cumsum(size)])  # digits before a run
+        twice = np.where(value > 4, 2 * value - 9, 2 * value)
+        odd = np.arange(len(value)) % 2 == 1
+        sums = np.stack([_sums(np.where(odd, twice, value)), _sums(np.where(odd, value, twice))])
+        gap_from, gap_size = self.ends[:-1], self.begins[1:] - self.ends[:-1]
+        mark = _sums(_member(codes, " ().-"))
+        between = mark[self.begins[1:]] - mark[gap_from] == gap_size
+        one = codes[np.minimum(gap_from, len(codes) - 1)]
+        # Running counts of gaps that the kind does not allow.
+        gaps = {"ip": _sums(~((gap_size == 1) & (one == ord(".")))), "card": _sums(~((gap_size == 1) & ((one == ord(" ")) | (one == ord("-"))))), "phone": _sums(~(between & (gap_size <= 2)))}
+        opened, closed = _sums(codes == ord("(")), _sums(codes == ord(")"))
+        four = _sums(size != 4)
+        short = np.minimum(size, 5)
+        number = sum(np.where(short > k, value[np.minimum(count[:-1] + k, len(value) - 1)] * 10 ** np.maximum(short - 1 - k, 0), 0) for k in range(5))
+        over, long_run = _sums(number > 255), _sums(size > 4)
+        zero = _sums((size > 1) & (value[count[:-1]] == 0))
+        first = np.isin(value[count[:-1]], (3, 4, 5, 6))
+
+        def checked(r, s):
+            last = count[s + 1] - 1
+            side = 1 - last % 2
+            # Digits at an odd distance from the last one are doubled.
+            return (sums[1 - side, count[s + 1]] - sums[1 - side, count[r]]) % 10 == 0
+
+        starts = list(self._phone_starts())
+        for low in range(0, runs, RUNS):
+            part = np.arange(low, min(low + RUNS, runs))
+            for step in range(19):
+                r = part[part + step < runs]
+                if not len(r):
+                    break
+                s = r + step
+                digits = count[s + 1] - count[r]
+                if step == 3:
+                    k = (gaps["ip"][s] == gaps["ip"][r]) & (long_run[s + 1] == long_run[r])
+                    yield self._gaining("ip", r[k], s[k], self.begins[r[k]], self.table("ip", "bytes", (False, True))[(over[s + 1] == over[r]).astype(np.int8)[k]] + self.table("ip", "zeros", (False, True))[(zero[s + 1] > zero[r]).astype(np.int8)[k]])
+                k = (gaps["card"][s] == gaps["card"][r]) & (digits >= 13) & (digits <= 19)
+                if k.any():
+                    a, b = r[k], s[k]
+                    groups = np.where(a == b, 0, np.where(four[b + 1] == four[a], 1, 2))
+                    more = self.table("card", "sum", (False, True))[checked(a, b).astype(np.int8)] + self.table("card", "digits", range(20))[digits[k]] + self.table("card", "first", (False, True))[first[a].astype(np.int8)]
+                    yield self._gaining("card", a, b, self.begins[a], more + np.where(groups == 0, self.weight("card groupsone"), np.where(groups == 1, self.weight("card groupsfour"), self.weight("card groupsodd"))))
+            for begins, plus, bracket, extra in starts:
+                longest = np.zeros(len(part), dtype=np.int64)
+                valid = begins[part] >= 0
+                for step in range(15):
+                    r = part[part + step < runs]
+                    valid, longest = valid[: len(r)], longest[: len(r)]
+                    s = r + step
+                    longest = np.maximum(longest, size[s])
+                    digits = count[s + 1] - count[r]
+                    valid = valid & (gaps["phone"][s] == gaps["phone"][r]) & (digits <= 15 - bracket)
+                    if not valid.any():
+                        break
+                    k = valid & (digits >= 6 - bracket)
+                    if not k.any():
+                        continue
+                    a, b, n = r[k], s[k], digits[k]
+                    start = begins[a]
+                    both = (opened[self.ends[b]] > opened[start]) & (closed[self.ends[b]] > closed[start])
+                    more = self.table("phone", "digits", range(16))[n] + self.weight(f"phone plus{plus}") + self.table("phone", "bracket", (False, True))[both.astype(np.int8)]
+                    more = more + self.table("phone", "groups", range(7))[np.minimum(step + 1 + extra[a], 6)] + self.table("phone", "last", range(16))[size[b]]
+                    more = more + self.table("phone", "longest", range(16))[longest[k]] + self.table("phone", "card", (False, True))[((n >= 13) & checked(a, b)).astype(np.int8)]
+                    yield self._gaining("phone", a, b, start, more)
+
+    def _phone_starts(self) -> Iterator[tuple[np.ndarray, bool, int, np.ndarray]]:
+        """(begin by run or -1, has a plus, starts with a bracket, has a mark left after the brackets) of each way to begin a phone number."""
+        codes, begins = self.codes, self.begins
+        at = lambda k: np.where(begins >= k, codes[np.maximum(begins - k, 0)], 0)
+        plain, mark = _member(codes, " .-"), _member(codes, " ().-")
+        is_mark = lambda k: mark[np.maximum(begins - k, 0)]
+        is_plain = lambda k: plain[np.maximum(begins - k, 0)]
+        none = np.zeros(len(begins), dtype=np.int64)
+        yield begins, False, 0, none
+        yield np.where(at(1) == ord("+"), begins - 1, -1), True, 0, none
+        fits = np.ones(len(begins), dtype=bool)
+        for back in (1, 2, 3):
+            found = fits & (at(back) == ord("("))
+            extra = np.zeros(len(begins), dtype=bool)
+            for k in range(1, back):
+                extra |= is_plain(k)
+            yield np.where(found, begins - back, -1), False, 1, extra.astype(np.int64)
+            yield np.where(found & (at(back + 1) == ord("+")), begins - back - 1, -1), True, 1, extra.astype(np.int64)
+            fits &= is_mark(back) & (begins >= back)
+
+    def _gaining(self, kind: str, r: np.ndarray, s: np.ndarray, start: np.ndarray, more: np.ndarray):
+        end = self.ends[s]
+        gain = self.ends_of(kind, start, end) + more
+        k = gain > 0
+        return start[k], end[k], KINDS.index(kind), gain[k]
+
+    def emails(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(begins, their scores, ends, their scores) of each ``@``: an address's score is a part of its begin and one of its end."""
+        codes, n = self.codes, len(self.codes)
+        ats = np.flatnonzero(codes == ord("@"))
+        if not len(ats):
+            return
+        local = _member(codes, "".join(_LOCAL))
+        bound = np.zeros(n + 1, dtype=bool)
+        bound[self.bounds] = True
+        letter = _member(codes, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+        label = letter | self.digit | (codes == ord("-"))
+        dot = codes == ord(".")
+        flag = lambda name: self.table("email", name, (False, True))
+        left, right, tail, ending, dots = map(flag, ("left", "right", "tail", "ending", "dots"))
+        # Bytes give single values far faster than arrays do.
+        is_label, is_letter, is_dot, is_bound = (x.tobytes() for x in (label, letter, dot, bound))
+        for at in ats.tolist():
+            low = max(0, at - 64)
+            broken = np.flatnonzero(~local[low:at])
+            begins = np.arange(low + (broken[-1] + 1 if len(broken) else 0), at)
+            begins = begins[bound[begins]]
+            if not len(begins):
+                continue
+            high = min(n, at + 1 + DOMAIN)
+            ends, from_label, seen, alpha = [], at + 1, False, True
+            for k in range(at + 1, high):
+                if is_label[k] and k - from_label < 63:
+                    alpha = alpha and is_letter[k] == 1
+                    if seen and is_bound[k + 1]:
+                        ends.append((k + 1, alpha))
+                elif is_dot[k] and k > from_label:
+                    from_label, seen, alpha = k + 1, True, True
+                else:
+                    break
+            if not ends:
+                continue
+            stops = np.array([e for e, _ in ends])
+            twice = _sums(dot[begins[0] : at - 1] & dot[begins[0] + 1 : at]) if at - begins[0] > 1 else np.zeros(1, dtype=np.int64)
+            double = twice[-1] > twice[np.minimum(begins - begins[0], len(twice) - 1)]
+            yield begins, self.weight("email is") + left[self.left[begins].astype(np.int8)] + dots[double.astype(np.int8)] + self.out[begins], stops, right[self.right[stops].astype(np.int8)] + tail[self.tail[stops].astype(np.int8)] + ending[np.array([int(a) for _, a in ends])] - self.out[stops]
+
+
+def best_segments(text: str, weights: Weights) -> Spans:
+    """The spans of the best segmentation of a text, by bounded dynamic programming over the segments that gain.
+
+    The value of a position is that of the best segmentation up to it less that of leaving all outside. It never falls,
+    so a segment that gains nothing over being outside is never needed, and positions where none ends keep the value.
+    """
+    line = _Line(text, weights)
+    found = [x for x in line.numbers() if len(x[0])]
+    begins, ends, kinds, gains = (np.concatenate(x).tolist() for x in zip(*((b, e, np.full(len(b), k), g) for b, e, k, g in found))) if found else ([],) * 4
+    arcs = list(zip(ends, begins, kinds, gains))
+    # An address is met once for each end; its begin is chosen then, from the values before the @.
+    mails = list(line.emails())
+    arcs += [(int(end), int(m[0][0]), -1 - k, score) for k, m in enumerate(mails) for end, score in zip(m[2].tolist(), m[3].tolist())]
+    arcs.sort()
+    places, values, back = [0], [0.0], [None]
+    chosen: dict[int, tuple[float, int]] = {}
+    at = lambda place: bisect.bisect_right(places, place) - 1
+    for end, begin, kind, gain in arcs:
+        if kind < 0:
+            if kind not in chosen:
+                starts, scores = mails[-1 - kind][:2]
+                chosen[kind] = max(((values[at(b)] + s, -b) for b, s in zip(starts.tolist(), scores.tolist())))
+            value, begin = chosen[kind][0] + gain, -chosen[kind][1]
         else:
-            i, kind = back[j]
-            spans.append((kind, bounds[i], bounds[j]))
-            j = i
+            value = values[at(begin)] + gain
+        if value > values[-1]:
+            step = (KINDS[max(kind, 0)], begin, end)
+            if places[-1] == end:
+                values[-1], back[-1] = value, step
+            else:
+                places.append(end)
+                values.append(value)
+                back.append(step)
+    spans, k = [], len(places) - 1
+    while back[k] is not None:
+        spans.append(back[k])
+        k = at(back[k][1])
     return spans[::-1]
 
 
@@ -260,18 +476,33 @@ def train(examples: int = EXAMPLES) -> Weights:
     return weights
 
 
-def all_spans(text: str | None, weights: Weights) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def spans_of(texts: list[str | None], weights: Weights) -> Iterator[tuple[Spans, Spans]]:
+    """(base spans, base and added spans) of each text; all stretches of the texts are segmented in one programme.
+
+    A line end stands between two stretches. No segment holds one, and it is an edge like a text's own ends.
+    """
+    where, parts, places, upto = [], [], [], 0
+    for k, text in enumerate(texts):
+        if text and ("@" in text or _DIGITS.search(text)):
+            for stretch in _STRETCH.finditer(text):
+                parts.append(stretch.group())
+                places.append(upto)
+                where.append((k, stretch.start() - upto))
+                upto += len(parts[-1]) + 1
+    found: dict[int, Spans] = {}
+    for kind, begin, end in best_segments("\n".join(parts), weights) if parts else ():
+        k, shift = where[bisect.bisect_right(places, begin) - 1]
+        found.setdefault(k, []).append((kind, begin + shift, end + shift))
+    for k, text in enumerate(texts):
+        base = base_spans(text)
+        covered = union_of(base)
+        added = [s for s in found.get(k, ()) if not touches(covered, s[1], s[2])]
+        yield base, in_order(base + added) if added else base
+
+
+def all_spans(text: str | None, weights: Weights) -> tuple[Spans, Spans]:
     """(base spans, base and added spans)."""
-    base = base_spans(text)
-    if not text or not ("@" in text or _DIGITS.search(text)):
-        return base, base
-    added, covered = [], union_of(base)
-    for stretch in _STRETCH.finditer(text):
-        for kind, begin, end in best_segments(stretch.group(), weights):
-            begin, end = begin + stretch.start(), end + stretch.start()
-            if not touches(covered, begin, end):
-                added.append((kind, begin, end))
-    return base, in_order(base + added)
+    return next(spans_of([text], weights))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +510,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(train())
 
     def rows(columns: list[list]) -> Iterator[tuple]:
-        for doc_id, text in zip(*columns):
-            base, spans = all_spans(text, shared.value)
+        for doc_id, (base, spans) in zip(columns[0], spans_of(columns[1], shared.value)):
             yield doc_id, *([{"kind": k, "begin": b, "end": e} for k, b, e in s] for s in (base, spans))
 
     span = "array<struct<kind: string, begin: int, end: int>>"

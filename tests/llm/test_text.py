@@ -114,6 +114,53 @@ def test_segment_programme_is_the_best_of_all_segmentations():
     assert tuple(pii.best_segments(text, weights)) == best(0)[1]
 
 
+def plain_segments(text, weights):
+    """The best segmentation from the named features of every candidate, one by one."""
+    bounds, found = pii.candidates(text)
+    by_end = {}
+    for i, j, kind, made in found:
+        by_end.setdefault(j, []).append((i, kind, sum(weights.get(m, 0.0) for m in made)))
+    best = [(0.0, ())]
+    for j in range(1, len(bounds)):
+        ways = [(best[j - 1][0] + weights.get(pii._outside(text, bounds[j - 1], bounds[j]), 0.0), best[j - 1][1])]
+        ways += [(best[i][0] + score, (*best[i][1], (kind, bounds[i], bounds[j]))) for i, kind, score in by_end.get(j, ())]
+        best.append(max(ways, key=lambda w: w[0]))
+    return best[-1]
+
+
+def test_segments_scored_by_arrays_are_those_of_the_named_features():
+    import random
+
+    weights, rng = pii.train(), random.Random(3)
+    parts = ["1", "22", "333", "4444", "0", "007", "255", "256", "4111111111111111", " ", "  ", ".", "-", "+", "(", ")", "((", "@", "a", "bc.d", "x@y1.com", "a..b@c.de", "192.168.0.1", "+1 (555) 123-4567", "4111 1111 1111 1111", ",", "é", "٣", "_", "½",
+             "555-123-4567", "(555) 123-4567", "+44(0)20 7946 0958", "\t", "a@b.c-d.e2"]
+    made = [text for text, _ in pii._generated(300)] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(700)]
+    # Weights of any sign choose among more segments than the trained ones do.
+    names = sorted({m for text in made for _, _, _, found in pii.candidates(text)[1] for m in found} | {"out", "out digit", "out at"})
+    for now in (weights, {m: rng.gauss(0.3, 1) for m in names}, {m: rng.gauss(0, 2) for m in names}):
+        for text in made:
+            value, spans = plain_segments(text, now)
+            got = pii.best_segments(text, now)
+            if tuple(got) != spans:
+                bounds, found = pii.candidates(text)
+                score = {(kind, bounds[i], bounds[j]): sum(now.get(m, 0.0) for m in f) for i, j, kind, f in found}
+                inside = {p for _, b, e in got for p in range(b, e)}
+                total = sum(score[s] for s in got) + sum(now.get(pii._outside(text, b, e), 0.0) for b, e in zip(bounds, bounds[1:]) if b not in inside)
+                assert total == pytest.approx(value, abs=1e-9), text
+    block = list(pii.spans_of([*made[:400], None, ""], weights))
+    assert block == [pii.all_spans(text, weights) for text in made[:400]] + [([], [])] * 2
+
+
+def test_tables_of_digits_take_linear_time():
+    import time
+
+    weights = pii.train()
+    for part in ("1 ", "1.1.", "12 345 6789\n", "+1(2)3", "a.b@c.d."):
+        start = time.process_time()
+        pii.all_spans(part * (2_000_000 // len(part)), weights)
+        assert time.process_time() - start < 40, part
+
+
 def test_viterbi_is_the_best_of_all_taggings():
     import itertools
 
