@@ -2,8 +2,8 @@
 
 The patterns give the base spans. The random field tags tokens as begin, inside or outside of a secret, from the shape
 of the token and its neighbours, the words and marks before it, and features of the whole file, and is decoded by
-Viterbi. Candidates are long mixed tokens anywhere, and, near an announcing word or with a known prefix, any token or run
-of joined tokens of six or more characters. Another word can't be part of a secret by itself and parts the chain, so
+Viterbi. Candidates are tokens anywhere that mix letters with digits (six characters) or cases (eight), and, near an
+announcing word or with a known prefix, any token or run of joined tokens of six or more characters. Another word can't be part of a secret by itself and parts the chain, so
 stretches of words around the candidates, with the tokens that their features look at, give the same tags as decoding
 the whole text. Its spans are added, as kind ``secret``, where they overlap no base span. It is trained at the start on
 generated lines, as no table marks secrets.
@@ -41,8 +41,13 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/.~-]+|[^\sA-Za-z0-9_+/.~-]")
-#: Tokens that may be part of a secret unannounced: twelve or more characters with a letter and a digit.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*[0-9])(?=[0-9_+/.~-]*[A-Za-z])[A-Za-z0-9_+/.~-]{12,}")
+#: Tokens that may be part of a secret unannounced: of SHORT or more characters with a letter and a digit, or of eight or
+#: more with a capital inside; the features say which are. Words in one case and plain numbers tell nothing by themselves.
+_CANDIDATE = re.compile(
+    r"(?<![A-Za-z0-9_+/.~-])(?:(?=[A-Za-z_+/.~-]*[0-9])(?=[0-9_+/.~-]*[A-Za-z])[A-Za-z0-9_+/.~-]{6,}|(?=[A-Za-z0-9_+/.~-]*[a-z][A-Z])[A-Za-z0-9_+/.~-]{8,})"
+)
+#: Candidates with enough characters for features of their distribution; others have features of their letters.
+_LONG = re.compile(r"(?=[A-Za-z_+/.~-]*[0-9])(?=[0-9_+/.~-]*[A-Za-z])[A-Za-z0-9_+/.~-]{12,}")
 #: Words that announce a secret, and prefixes of well-known kinds of keys: fixed values, in lower case.
 WORDS = ("password", "passwd", "pwd", "pass", "secret", "token", "key", "apikey", "auth", "bearer", "credential", "private")
 PREFIXES = ("sk_", "pk_", "ghp_", "gho_", "glpat-", "xox", "eyj", "aiza", "akia", "asia")
@@ -80,6 +85,10 @@ def is_candidate(token: str) -> bool:
     return bool(_CANDIDATE.fullmatch(token))
 
 
+def is_long(token: str) -> bool:
+    return bool(_LONG.fullmatch(token))
+
+
 def _shape(token: str) -> str:
     if not token[0].isalnum() and len(token) == 1:
         return token
@@ -129,8 +138,10 @@ def _odd_pairs(token: str) -> int:
 def token_features(tokens: list[str], at: int, shared: list[str], announced: bool = False, joined: bool = False) -> list[str]:
     """Names of the features of one token, which may be announced and joined to the one before it."""
     token = tokens[at]
-    if announced and not is_candidate(token):
+    if announced and not is_long(token):
         return _announced_features(tokens, at, joined)
+    if not announced and not is_long(token) and is_candidate(token):
+        return _short_features(tokens, at)
     if not is_candidate(token):
         return ["plain", f"plain {token}" if len(token) == 1 else "plain word"]
     lower = token.lower()
@@ -168,6 +179,27 @@ def _announced_features(tokens: list[str], at: int, joined: bool) -> list[str]:
     ]
 
 
+def _short_features(tokens: list[str], at: int) -> list[str]:
+    """The features of a candidate that is short, or without a digit, and that no word announces."""
+    token = tokens[at]
+    # Parts of one class of characters: names and numbers have few, long ones.
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_.~-]+", token)
+    size = sum(c.isalnum() for c in token)
+    per = min(int(2 * size / max(1, sum(p[0].isalnum() for p in parts))), 8)
+    marks = sum(not c.isalnum() for c in token)
+    digits = int(4 * sum(c.isdigit() for c in token) / len(token))
+    odd = min(_odd_pairs(token) // 2, 4)
+    words = max((len(p) for p in parts if p.isalpha() and not _odd_pairs(p) > 5), default=0)
+    inner = len(re.findall(r"[0-9](?=[A-Za-z])", token))
+    form = "".join("9" if p[0].isdigit() else "." if not p[0].isalpha() else "w" if len(p) < 3 else "W" if _odd_pairs(p) < 5 else "X" for p in parts[:7])
+    back, after = tokens[at - 1] if at else "^", tokens[at + 1] if at + 1 < len(tokens) else "$"
+    return [
+        "weak candidate", f"weak form {form}", f"weak part{per}", f"weak part{per} digits{digits}", f"weak odd{odd} part{per}", f"weak word{min(words, 7)}", f"weak word{min(words, 7)} part{per}",
+        f"weak inner{min(inner, 4)}", f"weak marks{min(marks, 3)} inner{min(inner, 3)}", f"weak length{min(len(token), 16) // 2} part{per}", f"weak first {_shape(parts[0])} {len(parts) > 2}",
+        f"weak digits{digits} odd{odd}", f"weak before {back if len(back) == 1 else 'word'}", f"weak after {after if len(after) == 1 else 'word'}", f"weak shape {_shape(token)} {min(len(parts), 6)}",
+    ]
+
+
 class Chain:
     """Weights of (tag, feature) and of pairs of tags."""
 
@@ -250,7 +282,7 @@ def _generated(count: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             lambda: rng.choice(["sk_live_", "pk_live_"]) + pick(mixed, 24), lambda: rng.choice(["ghp_", "gho_", "glpat-"]) + pick(mixed, 36),
             lambda: "eyJ" + pick(mixed, 20) + "." + pick(mixed, 30) + "." + pick(mixed + "_-", 30), lambda: "xoxb-" + pick(num, 12) + "-" + pick(mixed, 24), lambda: "AIza" + pick(mixed + "_-", 35),
         ])()
-        return made if is_candidate(made) else made[:-2] + "a7"
+        return made if is_long(made) else made[:-2] + "a7"
 
     def clean() -> str:
         return rng.choice([
@@ -313,6 +345,48 @@ def _announced_lines(count: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             yield lead + name + after + tail, []
 
 
+def _unannounced_lines(count: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Lines without announcing words: a quarter with a short random key, the others with names and numbers that mix classes."""
+    rng = random.Random(6)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    low, num = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    up, mixed = low.upper(), low + low.upper() + num
+    prose = (
+        "river market winter station people garden theatre number window country music summer village north report player engine camera street school history letter "
+        "the and was for are her his das und die der une des les que los por con was not new old day man one two red sea sun "
+        "season member system village doctor energy nature planet record result search second simple travel update vector weather winner yellow bridge castle"
+    ).split()
+    syllable = lambda: rng.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "ti", "or", "le", "que", "ich", "ung", "der", "ment", "eau"))
+    word = lambda: rng.choice([rng.choice(prose), "".join(syllable() for _ in range(rng.randint(1, 4)))])
+    said = lambda n: " ".join(word() for _ in range(n))
+    numeral = lambda a, b: pick(num, rng.randint(a, b))
+
+    def key() -> str:
+        return rng.choice([
+            lambda: pick(mixed, rng.randint(9, 16)), lambda: pick(mixed, rng.randint(8, 12)), lambda: pick(low + num, rng.randint(9, 11)), lambda: pick(up + num, rng.randint(9, 11)), lambda: pick("0123456789abcdef", rng.randint(10, 11)), lambda: pick("0123456789abcdef", rng.randint(10, 20)), lambda: pick(up + "234567", rng.choice([16, 26, 32])),
+            lambda: pick(low + up, rng.randint(12, 28)), lambda: pick(mixed + "_-", rng.randint(10, 14)),
+        ])()
+
+    def clean() -> str:
+        return rng.choice([
+            lambda: f"{word()}{rng.choice('._-')}{numeral(1, 4)}@mail{numeral(1, 1)}.example.com", lambda: f"{word()}.{numeral(2, 2)}@{word()}.org", lambda: f"{word()}{numeral(1, 4)}@{word()}.com", lambda: f"{word()}{numeral(1, 4)}", lambda: f"{word()}_{numeral(1, 4)}", lambda: f"{word()}-{numeral(1, 4)}", lambda: f"{word().title()}{numeral(1, 3)}{word().title()}",
+            lambda: f"{numeral(1, 4)}{rng.choice(['km', 'mg', 'px', 'th', 'GB', 'am', 'x'])}{rng.choice(['', '-', '/'])}{word()}", lambda: f"{numeral(3, 4)}x{numeral(3, 4)}", lambda: f"v{numeral(1, 1)}.{numeral(1, 2)}.{numeral(1, 2)}{rng.choice(['', '-rc1', 'b2'])}",
+            lambda: f"{pick(up, rng.randint(1, 4))}{rng.choice(['', '-'])}{numeral(3, 5)}", lambda: f"{numeral(4, 4)}-{numeral(2, 2)}-{numeral(2, 2)}T{numeral(2, 2)}", lambda: word() + word().title() + rng.choice(["", word().title(), "Id", "URL"]),
+            lambda: word().title() + word().title() + rng.choice(["", word().title()]), lambda: f"Mc{word().title()}son", lambda: f"{word()}{word().upper()}", lambda: f"{word().upper()}{word()}", lambda: f"{word()}/{word()}{numeral(1, 2)}", lambda: f"{word()}{numeral(1, 2)}.txt",
+            lambda: f"{word()}.{word().title()}", lambda: f"{numeral(1, 3)}.{numeral(1, 2)}{rng.choice(['kg', 'MB', 'km/h', 'mm'])}", lambda: f"{pick(up, 2)}{numeral(1, 2)} {numeral(1, 1)}{pick(up, 2)}-{word()}", lambda: f"{rng.choice('QHT')}{numeral(1, 1)}-{numeral(4, 4)}", lambda: f"{numeral(2, 2)}{rng.choice(['Jan', 'Feb', 'Aug', 'Dec'])}{numeral(4, 4)}",
+            lambda: f"{pick(up, 3)}-{numeral(1, 4)}-{numeral(1, 2)}", lambda: f"{word().upper()[:3]}_{numeral(8, 8)}", lambda: f"0x{pick('0123456789abcdef', 8)}", lambda: f"{numeral(4, 4)}p{numeral(2, 2)}{word()[:3]}", lambda: f"{pick(up, 1)}{numeral(1, 1)}{pick(up, 1)}{numeral(1, 1)}-{word()}",
+            lambda: f"{pick(up, 1)}{numeral(1, 1)}{pick(up, 1)}-{word()}", lambda: f"{pick(up, 2)}{numeral(2, 2)}-{pick(up, 2)}{numeral(2, 2)}", lambda: f"{pick(low, 1)}{word().title()}{numeral(1, 2)}{rng.choice(['', 'Pro', 'Max', 's'])}", lambda: f"{word().title()}{numeral(2, 2)}{pick(up, 3)}",
+            lambda: f"{pick(up, rng.randint(1, 2))}{word()}{word()}", lambda: f"{numeral(1, 2)}{word()}{numeral(1, 2)}", lambda: f"{word()[:4]}{numeral(1, 1)}{word()[:4]}",
+        ])()
+
+    for _ in range(count):
+        lead, tail = rng.choice(["", said(rng.randint(1, 5)) + " "]) + rng.choice(["", "", "", "(", "id=", "\"", "ref: "]), rng.choice(["", " " + said(rng.randint(1, 5)), "\n" + said(2), ", " + said(1), "."])
+        secret = rng.random() < 0.25
+        found = key() if secret else clean()
+        # A full stop would belong to the token.
+        yield lead + found + tail.lstrip("."), [(len(lead), len(lead + found))] if secret and is_candidate(found) else []
+
+
 def _stretch(tokens: list[re.Match], shared: list[str]) -> list[list[str]]:
     names, near = [m.group() for m in tokens], _announced(tokens)
     return [token_features(names, k, shared, near[k], k > 0 and tokens[k - 1].end() == m.start() and names[k - 1] not in _AROUND_VALUE) for k, m in enumerate(tokens)]
@@ -322,7 +396,7 @@ def _stretch(tokens: list[re.Match], shared: list[str]) -> list[list[str]]:
 def train(examples: int = EXAMPLES) -> Chain:
     chain, past = Chain(), {}
     made = []
-    for text, spans in (*_generated(examples), *_announced_lines(2 * examples)):
+    for text, spans in (*_generated(examples), *_announced_lines(2 * examples), *_unannounced_lines(4 * examples)):
         tokens = list(_TOKEN.finditer(text))
         truth = [OUT] * len(tokens)
         for begin, end in spans:

@@ -155,10 +155,10 @@ def test_tables_of_digits_take_linear_time():
     import time
 
     weights = pii.train()
-    for part in ("1 ", "1.1.", "12 345 6789\n", "+1(2)3", "a.b@c.d."):
+    for part, size in (("1 ", 2_000_000), ("1.1.", 400_000), ("12 345 6789\n", 400_000), ("+1(2)3", 400_000), ("a.b@c.d.", 400_000)):
         start = time.process_time()
-        pii.all_spans(part * (2_000_000 // len(part)), weights)
-        assert time.process_time() - start < 40, part
+        pii.all_spans(part * (size // len(part)), weights)
+        assert time.process_time() - start < size / 50_000, part
 
 
 def test_viterbi_is_the_best_of_all_taggings():
@@ -174,6 +174,33 @@ def test_viterbi_is_the_best_of_all_taggings():
     assert value(tuple(chain.decode(features))) == pytest.approx(value(best))
 
 
+def test_keys_that_no_word_announces_are_found_in_documents(texts):
+    """Keys of common kinds put between words of the table's documents; those have no words from the training lines' generator."""
+    import base64
+    import random
+    import string
+
+    chain, rng = secrets.train(), random.Random(41)
+    assert ("secret", 11, 21) in secrets.all_spans("we saw the Xk29fj2aQz over there", chain)[1]
+    whole = [t for t in texts if t]
+    added = sum(kind == "secret" for t in whole for kind, _, _ in secrets.all_spans(t, chain)[1])
+    assert added <= len(whole) / 500
+    mixed = string.ascii_letters + string.digits
+    makers = {
+        10: lambda: "".join(rng.choice(mixed) for _ in range(10)), 16: lambda: "".join(rng.choice(mixed) for _ in range(16)), 20: lambda: "".join(rng.choice(string.ascii_letters) for _ in range(20)),
+        12: lambda: base64.urlsafe_b64encode(rng.randbytes(9)).decode(), 40: lambda: base64.b32encode(rng.randbytes(25)).decode(),
+    }
+    for size, make in makers.items():
+        found = 0
+        for _ in range(60):
+            words = rng.choice(whole)[:1500].split(" ")
+            at, key = rng.randrange(len(words) + 1), make()
+            begin = len(" ".join(words[:at])) + (at > 0)
+            spans = secrets.all_spans(" ".join([*words[:at], key, *words[at:]]), chain)[1]
+            found += any(b <= begin and e >= begin + len(key) for _, b, e in spans)
+        assert found >= 48, (size, found)
+
+
 def test_redaction_leaves_clean_text_and_removes_secrets(spark):
     rows = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, ["clean words", "password=hunter2222 x", None])).collect()}
     assert rows == {0: "clean words", 1: "[SECRET] x", 2: None}
