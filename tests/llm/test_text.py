@@ -182,7 +182,7 @@ def test_keys_that_no_word_announces_are_found_in_documents(texts):
 
     chain, rng = secrets.train(), random.Random(41)
     assert ("secret", 11, 21) in secrets.all_spans("we saw the Xk29fj2aQz over there", chain)[1]
-    whole = [t for t in texts if t]
+    whole = [t for t in texts.values() if t]
     added = sum(kind == "secret" for t in whole for kind, _, _ in secrets.all_spans(t, chain)[1])
     assert added <= len(whole) / 500
     mixed = string.ascii_letters + string.digits
