@@ -174,7 +174,7 @@ def test_viterbi_is_the_best_of_all_taggings():
     assert value(tuple(chain.decode(features))) == pytest.approx(value(best))
 
 
-def test_keys_that_no_word_announces_are_found_in_documents(texts):
+def test_keys_that_no_word_announces_are_found_in_documents(spark):
     """Keys of common kinds put between words of the table's documents; those have no words from the training lines' generator."""
     import base64
     import random
@@ -182,7 +182,7 @@ def test_keys_that_no_word_announces_are_found_in_documents(texts):
 
     chain, rng = secrets.train(), random.Random(41)
     assert ("secret", 11, 21) in secrets.all_spans("we saw the Xk29fj2aQz over there", chain)[1]
-    whole = [t for t in texts.values() if t]
+    whole = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r["text"]]
     added = sum(kind == "secret" for t in whole for kind, _, _ in secrets.all_spans(t, chain)[1])
     assert added <= len(whole) / 500
     mixed = string.ascii_letters + string.digits
