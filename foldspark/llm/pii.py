@@ -315,8 +315,8 @@ class _Line:
         k = gain > 0
         return start[k], end[k], KINDS.index(kind), gain[k]
 
-    def emails(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(begins, their scores, ends, their scores) of each ``@``: an address's score is a part of its begin and one of its end."""
+    def emails(self) -> Iterator[tuple[list[tuple[int, float]], list[tuple[int, float]]]]:
+        """The begins and the ends, with their scores, of each ``@``: an address's score is a part of its begin and one of its end."""
         codes, n = self.codes, len(self.codes)
         ats = np.flatnonzero(codes == ord("@"))
         if not len(ats):
@@ -329,14 +329,18 @@ class _Line:
         dot = codes == ord(".")
         flag = lambda name: self.table("email", name, (False, True))
         left, right, tail, ending, dots = map(flag, ("left", "right", "tail", "ending", "dots"))
-        # Bytes give single values far faster than arrays do.
-        is_label, is_letter, is_dot, is_bound = (x.tobytes() for x in (label, letter, dot, bound))
+        # Bytes and lists give single values far faster than arrays do.
+        is_label, is_letter, is_dot, is_bound, is_local, lefts, rights, tails = (x.tobytes() for x in (label, letter, dot, bound, local, self.left, self.right, self.tail))
+        left, right, tail, ending, dots, out, first = left.tolist(), right.tolist(), tail.tolist(), ending.tolist(), dots.tolist(), self.out, self.weight("email is")
         for at in ats.tolist():
-            low = max(0, at - 64)
-            broken = np.flatnonzero(~local[low:at])
-            begins = np.arange(low + (broken[-1] + 1 if len(broken) else 0), at)
-            begins = begins[bound[begins]]
-            if not len(begins):
+            begins, double, k = [], 0, at - 1
+            while k >= max(0, at - 64) and is_local[k]:
+                if is_dot[k] and is_dot[k + 1]:
+                    double = 1
+                if is_bound[k]:
+                    begins.append((k, first + left[lefts[k]] + dots[double] + float(out[k])))
+                k -= 1
+            if not begins:
                 continue
             high = min(n, at + 1 + DOMAIN)
             ends, from_label, seen, alpha = [], at + 1, False, True
@@ -351,10 +355,7 @@ class _Line:
                     break
             if not ends:
                 continue
-            stops = np.array([e for e, _ in ends])
-            twice = _sums(dot[begins[0] : at - 1] & dot[begins[0] + 1 : at]) if at - begins[0] > 1 else np.zeros(1, dtype=np.int64)
-            double = twice[-1] > twice[np.minimum(begins - begins[0], len(twice) - 1)]
-            yield begins, self.weight("email is") + left[self.left[begins].astype(np.int8)] + dots[double.astype(np.int8)] + self.out[begins], stops, right[self.right[stops].astype(np.int8)] + tail[self.tail[stops].astype(np.int8)] + ending[np.array([int(a) for _, a in ends])] - self.out[stops]
+            yield begins[::-1], [(e, right[rights[e]] + tail[tails[e]] + ending[alpha] - float(out[e])) for e, alpha in ends]
 
 
 def best_segments(text: str, weights: Weights) -> Spans:
@@ -369,7 +370,7 @@ def best_segments(text: str, weights: Weights) -> Spans:
     arcs = list(zip(ends, begins, kinds, gains))
     # An address is met once for each end; its begin is chosen then, from the values before the @.
     mails = list(line.emails())
-    arcs += [(int(end), int(m[0][0]), -1 - k, score) for k, m in enumerate(mails) for end, score in zip(m[2].tolist(), m[3].tolist())]
+    arcs += [(end, m[0][0][0], -1 - k, score) for k, m in enumerate(mails) for end, score in m[1]]
     arcs.sort()
     places, values, back = [0], [0.0], [None]
     chosen: dict[int, tuple[float, int]] = {}
@@ -377,8 +378,7 @@ def best_segments(text: str, weights: Weights) -> Spans:
     for end, begin, kind, gain in arcs:
         if kind < 0:
             if kind not in chosen:
-                starts, scores = mails[-1 - kind][:2]
-                chosen[kind] = max(((values[at(b)] + s, -b) for b, s in zip(starts.tolist(), scores.tolist())))
+                chosen[kind] = max((values[at(b)] + s, -b) for b, s in mails[-1 - kind][0])
             value, begin = chosen[kind][0] + gain, -chosen[kind][1]
         else:
             value = values[at(begin)] + gain
