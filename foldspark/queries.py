@@ -248,7 +248,7 @@ a AS (SELECT kepoi_name, bin::INT AS bin FROM (SELECT DISTINCT kepoi_name FROM d
 SELECT kepoi_name, bin, -0.46875::DOUBLE + bin / 16.0::DOUBLE AS centre, round(value, 6) AS value, coalesce(n, 0) AS count FROM a LEFT JOIN g USING (kepoi_name, bin)""")
 def detrend_fold_bin(spark, d):
     """The flagship: clean, normalise, detrend, fold on each signal of the star, bin the phase."""
-    flat = ts.running_median_trend(_segmented(spark, d), WINDOW, POINTS).select("kepid", "time", (F.col("flux") / F.col("trend")).alias("flat"))
+    flat = ts.running_median_trend(_segmented(spark, d), WINDOW, POINTS).select("kepid", "time", fn.quotient("flux", "trend").alias("flat"))
     known = signals(spark, d).select("kepid", "kepoi_name", "koi_period", "koi_time0bk")
     phases = flat.join(known, "kepid").withColumn("phase", fn.phase_fold("time", *_EPH) / F.col("koi_period"))
     sampled = ts.clean(light_curve(spark, d)).select("kepid").distinct()
