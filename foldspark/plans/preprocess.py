@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.config import DatasetConfig, PreprocessingConfig, RepresentationConfig
-from foldspark.functions import ephemeris, is_finite
+from foldspark.functions import ephemeris, is_finite, quotient
 from foldspark.lineage import settle
 from foldspark.operators import timeseries as ts
 from foldspark.operators import views
@@ -59,7 +59,7 @@ def _processed(curve: DataFrame, config: PreprocessingConfig, catalog: DataFrame
             ready = ts.robust_spline_trend(ready, d.knot_spacing_days, d.min_points, d.sigma_lower, d.sigma_upper, d.max_iter, "_usable", problem=problem)
         else:
             ready = ts.running_median_trend(ready, d.window_days, d.min_points, F.col("_usable"), problem=problem)
-    ready = ready.withColumn("flux_detrended", F.col("flux") / F.col("trend")).withColumn("flux_err_detrended", F.col("flux_err") / F.col("trend"))
+    ready = ready.withColumn("flux_detrended", quotient("flux", "trend")).withColumn("flux_err_detrended", quotient("flux_err", "trend"))
     if config.clip_upper_sigma is not None:
         ready = ts.upper_outliers(ready, config.clip_upper_sigma).filter(~F.col("is_outlier"))
     names = {"time": "time_bkjd", "flux": "flux_norm", "flux_err": "flux_err_norm"}

@@ -43,7 +43,8 @@ def query(sql: str | None = None):
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Rounded as the SQL rounds, by the nearest whole number of millionths, where ``round(c, 6)`` takes the decimal text."""
+    return df.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in columns})
 
 
 # SQL pieces: common table expressions that build on each other, and expressions.
