@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.config import MAD_TO_SIGMA, QUALITY_BITMASK
-from foldspark.functions import in_any_transit, is_finite, quality_ok
+from foldspark.functions import in_any_transit, is_finite, nan_to_null, quality_ok
 from foldspark.operators.spline import running_median, segment_kernel, spline_trend_kernel
 
 
@@ -138,12 +138,17 @@ def by_star(curve: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], in
 
 
 def upper_outliers(curve: DataFrame, sigma: float = 5.0, value: str = "flux_detrended", into: str = "is_outlier") -> DataFrame:
-    """curve with a mark on samples strictly above the source's median by ``sigma`` robust standard deviations."""
+    """curve with a mark on samples strictly above the source's median by ``sigma`` robust standard deviations.
+
+    These are of the finite values; an infinite one stands above them, and NaN is neither in the median nor marked.
+    """
     if sigma <= 0:
         raise ValueError("sigma must be positive")
     part = Window.partitionBy("kepid")
-    curve = curve.withColumn("_m", F.median(value).over(part)).withColumn("_s", MAD_TO_SIGMA * F.median(F.abs(F.col(value) - F.col("_m"))).over(part))
-    return curve.withColumn(into, F.coalesce(F.col(value) > F.col("_m") + sigma * F.col("_s"), F.lit(False))).drop("_m", "_s")
+    number, finite = nan_to_null(value), F.when(is_finite(value), F.col(value))
+    curve = curve.withColumn("_m", F.median(number).over(part)).withColumn("_f", F.median(finite).over(part))
+    curve = curve.withColumn("_s", MAD_TO_SIGMA * F.median(F.abs(finite - F.col("_f"))).over(part))
+    return curve.withColumn(into, F.coalesce(number > F.col("_m") + sigma * F.col("_s"), F.lit(False))).drop("_m", "_f", "_s")
 
 
 def mask_transits(curve: DataFrame, ephemerides: DataFrame, factor: float = 2.0, into: str = "in_known_transit_mask") -> DataFrame:

@@ -72,3 +72,37 @@ def test_stars_without_an_ephemeris_are_reported(spark, method):
 
 def test_star_log_equals_its_sql(spark):
     assert difference(library.star_log(spark, SF), duck(SF), library.oracle_sql()["star_log"]) is None
+
+
+def test_a_trend_of_zero_gives_infinite_values_and_no_error(spark):
+    # The first half's window has a median of 0 although the quarter's median is positive.
+    values = [0.0, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0, 0.0] + [100.0] * 12
+    curve = spark.createDataFrame([(1, 0.1 * k, v, 1.0, 0, 0) for k, v in enumerate(values)], SCHEMA)
+    for clip, n in ((None, 20), (5.0, 19)):
+        wanted = PreprocessingConfig(detrend=DetrendConfig(window_days=0.4, min_points=3), clip_upper_sigma=clip)
+        strict = {round(10 * r["time_bkjd"]): r["flux_detrended"] for r in prep.preprocess(curve, wanted).collect()}
+        assert len(strict) == n and np.isnan(strict[1]) and strict[15] == 1.0
+        assert clip is not None or strict[4] == float("inf")
+        processed, log = prep.preprocess_stars(curve, stars(spark, 1), wanted)
+        assert [tuple(r) for r in log.collect()] == [(1, "ok", "")] and processed.count() == n
+
+
+def with_zero_trends(con, folder, level):
+    """events whose values begin with ``level`` in every week of a star, fewer than half of them, and are above it later."""
+    kept = "PARTITION BY user_id, event_type = 'error', floor((epoch_us(ts) - 1704067200000000) / 8.64e10::DOUBLE / 7)"
+    low = f"2 * row_number() OVER ({kept} ORDER BY ts, event_id) < count(*) OVER ({kept})"
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN {low} THEN {level} ELSE value + 1 + {level} END AS value) FROM events) TO '{folder}/events.parquet' (FORMAT parquet)")
+    for table in ("orders", "customer"):
+        con.execute(f"COPY {table} TO '{folder}/{table}.parquet' (FORMAT parquet)")
+
+
+@pytest.mark.parametrize("name", ["detrend_fold_bin", "processed_curves", "star_log"])
+def test_zero_trends_equal_the_sql(spark, tmp_path, name):
+    with_zero_trends(duck(SF), tmp_path, 22 if name == "star_log" else 0)
+    assert difference(library.queries()[name](spark, str(tmp_path)), duck(str(tmp_path)), library.oracle_sql()[name]) is None
+
+
+def test_examples_of_zero_trends_are_made(spark, tmp_path):
+    with_zero_trends(duck(SF), tmp_path, 0)
+    made = library.queries()["examples"](spark, str(tmp_path))
+    assert made.filter("n_points > 0").count() > 0 and made.count() == library.queries()["examples"](spark, SF).count()
