@@ -24,6 +24,16 @@ DECISIONS = {
 LABELS = {"planet": POSITIVE, "false_positive": NEGATIVE}
 
 
+def _outcomes() -> dict[str, str]:
+    """The outcome of every pair of known values, and that of a missing one, which is an empty text."""
+    known = {(a, p): DECISIONS.get((a, p), "not_dispositioned") for a in ARCHIVE_VALUES for p in PIPELINE_VALUES}
+    return {"": "missing_disposition"} | {f"{a}/{p}": outcome for (a, p), outcome in known.items()}
+
+
+def _look_up(known: dict, key: F.Column) -> F.Column:
+    return F.try_element_at(F.create_map(*(F.lit(v) for item in known.items() for v in item)), key)
+
+
 def apply_label_policy(catalog: DataFrame, on_unexpected: str = "raise") -> DataFrame:
     """The catalog with label, label_name, training_status, exclusion_reason and label_policy; no row is dropped.
 
@@ -38,15 +48,11 @@ def apply_label_policy(catalog: DataFrame, on_unexpected: str = "raise") -> Data
     if on_unexpected == "raise":
         said = F.concat_ws("/", F.coalesce(F.col("koi_disposition"), F.lit("")), F.coalesce(F.col("koi_pdisposition"), F.lit("")))
         unexpected = F.raise_error(F.concat(F.lit("unexpected disposition: "), said)).cast("string")
-    outcome = (
-        F.when(archive.isNull() | pipeline.isNull(), "missing_disposition")
-        .when(~archive.isin(*ARCHIVE_VALUES) | ~pipeline.isin(*PIPELINE_VALUES), unexpected)
-        .when((archive == "NOT DISPOSITIONED") | (pipeline == "NOT DISPOSITIONED"), "not_dispositioned")
-    )
-    for (a, p), decision in DECISIONS.items():
-        outcome = outcome.when((archive == a) & (pipeline == p), decision)
+    # One look-up reads either text once, where a chain of conditions would normalise it anew in each.
+    pair = F.coalesce(F.concat(archive, F.lit("/"), pipeline), F.lit(""))
+    outcome = F.coalesce(_look_up(_outcomes(), pair), unexpected)
     eligible = F.col("_outcome").isin(*LABELS)
-    label = F.when(F.col("_outcome") == "planet", POSITIVE).when(F.col("_outcome") == "false_positive", NEGATIVE)
+    label = _look_up(LABELS, F.col("_outcome"))
     return (
         catalog.withColumn("_outcome", outcome)
         .withColumns({
