@@ -41,7 +41,7 @@ def select_subset(labelled: DataFrame, selection: SelectionConfig | None = None,
     wanted = F.lit(0)
     for group, n in shares.items():
         wanted = F.when(F.col("_group") == group, n).otherwise(wanted)
-    return hash_rank(pool, ["_group"], "kepoi_name", selection.seed).filter(F.col("rank") <= wanted).drop("_group", "rank")
+    return hash_rank(pool, ["_group"], "kepoi_name", selection.seed, most=wanted).drop("_group", "rank")
 
 
 def _sampled(pool: DataFrame, sizes: dict, shares: dict, seed: int, limit: int = 1_000_000) -> DataFrame:
@@ -86,7 +86,7 @@ def select_stars(manifest: DataFrame, config: StarSelectionConfig | None = None,
         for split in SPLITS:
             for name, n in cut_sizes(per_split[split], dict.fromkeys(POOLS, 0.5)).items():
                 wanted = F.when((F.col("split") == split) & (F.col("pool") == name), n).otherwise(wanted)
-        ranked = hash_rank(pool, ["split", "pool"], "kepid", config.seed) if order == "md5" else _generated(pool, config.seed, wanted)
+        ranked = hash_rank(pool, ["split", "pool"], "kepid", config.seed, most=wanted) if order == "md5" else _generated(pool, config.seed, wanted)
         drawn = ranked.filter(F.col("rank") <= wanted).withColumn("selection_reason", F.lit("sampled"))
     columns = ["kepid", "split", "star_stratum", "selection_reason"]
     return named.withColumn("selection_reason", F.lit("include_kepids")).select(columns).unionByName(drawn.select(columns))
