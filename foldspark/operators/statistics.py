@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark.config import MAD_TO_SIGMA
 from foldspark.functions import is_finite
+from foldspark.lineage import settle
 from foldspark.operators.ranking import quantiles, running_sums, value_at
 
 #: The catalog columns whose bias is reported.
@@ -36,11 +37,13 @@ def bias_table(df: DataFrame, variables: list[str], label: str = "label", least:
     long = df.filter(F.col(label).isin(0, 1)).select((F.col(label) == 1).alias("_pos"), pairs.alias("_v")).select("_pos", "_v.*")
     long = long.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
     pos, seen = F.col("_pos"), F.col("x").isNotNull()
-    counts = long.groupBy("variable").agg(
-        F.count_if(pos & seen).alias("n_pos"), F.count_if(~pos & seen).alias("n_neg"), F.count_if(pos & ~seen).alias("missing_pos"), F.count_if(~pos & ~seen).alias("missing_neg")
+    # The table is read once; all else is made from its distinct values and their counts.
+    values = settle(long.groupBy("variable", "x").agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("q")))
+    total = lambda c, there: F.coalesce(F.sum(F.when(there, F.col(c))), F.lit(0).cast("long"))
+    counts = values.groupBy("variable").agg(
+        total("p", seen).alias("n_pos"), total("q", seen).alias("n_neg"), total("p", ~seen).alias("missing_pos"), total("q", ~seen).alias("missing_neg")
     ).filter((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
-    values = long.filter(seen).groupBy("variable", "x").agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("q"))
-    steps = running_sums(values, ["variable"], "x", ["p", "q"]).join(F.broadcast(counts), "variable")  # a row a variable
+    steps = running_sums(values.filter(seen), ["variable"], "x", ["p", "q"]).join(F.broadcast(counts), "variable")  # a row a variable
     distance = F.max(F.abs(F.col("p_upto") / F.col("n_pos") - F.col("q_upto") / F.col("n_neg")))
     # A positive beats the negatives below it, and half of those that equal it.
     wins = F.sum(F.col("p") * (2 * F.col("q_upto") - F.col("q")))
