@@ -9,6 +9,7 @@ from foldspark.config import DatasetConfig, NoiseConfig, SearchConfig, SplitConf
 from foldspark.functions import relate_periods
 from foldspark.lineage import settle
 from foldspark.operators import labels, perturb, search, selection, splits, statistics
+from foldspark.operators.ranking import running_sums, value_at
 from foldspark.plans import preprocess as prep
 
 
@@ -108,8 +109,15 @@ def dataset_report(examples: DataFrame) -> dict[str, DataFrame]:
 def contamination_summary(examples: DataFrame, much: float = 0.25) -> DataFrame:
     """One row: the median and the greatest contamination of usable examples, and how many have more than ``much``."""
     contam = F.nanvl("contam_max_relative_to_depth", F.lit(None).cast("double"))
-    ok = examples.filter("example_status = 'ok'")
-    return ok.agg(F.median(contam).alias("median"), F.count_if(contam > much).alias("above_quarter"), F.max(contam).alias("max"))
+    ok = examples.filter("example_status = 'ok'").select(contam.alias("contam"))
+    # One count a distinct value: all three figures are made from these, and the median in as many tasks as there are buckets.
+    values = settle(ok.groupBy("contam").agg(F.count("*").alias("_c")))
+    seen = values.filter(F.col("contam").isNotNull()).withColumn("_all", F.lit(True))
+    sizes = seen.groupBy("_all").agg(F.sum("_c").alias("_n"))
+    steps = running_sums(seen, ["_all"], "contam", ["_c"]).join(F.broadcast(sizes), "_all")  # one row
+    median = steps.agg(value_at("contam", "_c_upto", F.col("_n"), 0.5).alias("median"))
+    rest = values.agg(F.coalesce(F.sum(F.when(F.col("contam") > much, F.col("_c"))), F.lit(0).cast("long")).alias("above_quarter"), F.max("contam").alias("max"))
+    return median.join(F.broadcast(rest))  # one row each
 
 
 def split_mismatches(examples: DataFrame, manifest: DataFrame) -> DataFrame:
