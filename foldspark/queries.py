@@ -649,7 +649,7 @@ def stored_fetch(spark, d):
     wanted = chosen.withColumn("data_uri", F.concat(F.lit("mast:"), F.col("kepid").cast("string"), F.lit("/"), "filename"))
     root = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}"
     done = products.fetch(wanted, root, _refuse, "p")
-    listed = products.read_manifests(spark, root).groupBy("kepid").agg(F.min("sha256").alias("first_sha256"))
+    listed = products.read_manifests(spark, root, done).groupBy("kepid").agg(F.min("sha256").alias("first_sha256"))
     bytes_ = F.nullif("new_bytes", F.lit(0)).alias("new_bytes")
     out = settle(done.join(listed, "kepid", "left").select("kepid", "status", "n_products", bytes_, "message", "first_sha256"))
     remove(spark, root)

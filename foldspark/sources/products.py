@@ -110,18 +110,22 @@ def _digest(store: fs.FileSystem, path: str) -> tuple[int, str]:
     return total, hashed.hexdigest()
 
 
-def _put(store: fs.FileSystem, path: str, pieces: Iterable[bytes]) -> None:
-    """Write under a name of its own and rename, so that the name stands for a whole file or for none."""
+def _put(store: fs.FileSystem, path: str, pieces: Iterable[bytes]) -> tuple[int, str]:
+    """Write under a name of its own and rename, so that the name stands for a whole file or for none; length and hash."""
     part = f"{path}.{uuid.uuid4().hex}.part"
+    total, hashed = 0, hashlib.sha256()
     try:
         with store.open_output_stream(part) as stream:
             for piece in pieces:
                 stream.write(piece)
+                total += len(piece)
+                hashed.update(piece)
         store.move(part, path)
     except BaseException:
         if store.get_file_info(part).type != fs.FileType.NotFound:
             store.delete_file(part)
         raise
+    return total, hashed.hexdigest()
 
 
 def _store_star(store: fs.FileSystem, folder: str, kepid: int, wanted: list[dict], policy: str, download: Callable[[str], bytes | Iterable[bytes]]) -> dict:
@@ -135,8 +139,9 @@ def _store_star(store: fs.FileSystem, folder: str, kepid: int, wanted: list[dict
             new = store.get_file_info(path).type == fs.FileType.NotFound
             if new:
                 made = download(product["data_uri"])
-                _put(store, path, [made] if isinstance(made, (bytes, bytearray)) else made)
-            length, sha256 = _digest(store, path)
+                length, sha256 = _put(store, path, [made] if isinstance(made, (bytes, bytearray)) else made)
+            else:
+                length, sha256 = _digest(store, path)
             stored.append(product | {"stored_bytes": length, "sha256": sha256})
             row["n_products"] += 1
             row["n_new"] += new
@@ -159,22 +164,49 @@ def fetch(wanted: DataFrame, root: str, download: Callable[[str], bytes | Iterab
     settled, so that reading them twice fetches nothing twice; a task that is repeated finds its files stored.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
-        kepid = int(group["kepid"].iloc[0])
-        columns = group.sort_values(["quarter", "filename"])[["filename", "data_uri", "quarter", "size_bytes"]]
-        products = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in columns.to_dict("records")]
-        whole = [p | {k: None if p[k] is None else int(p[k]) for k in ("quarter", "size_bytes")} for p in products]
-        return pd.DataFrame([_store_star(store, f"{base}/{star_folder(kepid)}", kepid, whole, policy, download)])
+        for batch in batches:
+            rows = []
+            for kepid, listed in zip(batch["kepid"].tolist(), batch["_products"]):
+                # A batch with nulls holds its numbers as floats.
+                number = lambda v: None if pd.isna(v) else int(v)
+                whole = [{"filename": p["filename"], "data_uri": p["data_uri"], "quarter": number(p["quarter"]), "size_bytes": number(p["size_bytes"])} for p in listed]
+                rows.append(_store_star(store, f"{base}/{star_folder(kepid)}", kepid, whole, policy, download))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in outcome.split(", ")])
 
     outcome = "kepid long, status string, n_products long, n_new long, new_bytes long, message string"
-    return settle(wanted.groupBy("kepid").applyInPandas(run, outcome))
+    # A row a star, whose products are a few; nulls come last, as in a sort of data frames.
+    one = F.struct(F.col("quarter").isNull().alias("_late"), F.col("quarter").cast("long").alias("quarter"), "filename", "data_uri", F.col("size_bytes").cast("long").alias("size_bytes"))
+    stars = wanted.groupBy(F.col("kepid").cast("long").alias("kepid")).agg(F.array_sort(F.collect_list(one)).alias("_products"))
+    return settle(stars.mapInPandas(run, outcome))
+
 
+def read_manifests(spark: SparkSession, root: str, stars: DataFrame | None = None) -> DataFrame:
+    """(kepid, policy, retrieved_at_utc, filename, ...) of every stored star, a row a product, null for a star without any.
 
-def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """(kepid, policy, retrieved_at_utc, filename, ...) of every stored star, a row a product, null for a star without any."""
-    rows = spark.read.schema(_MANIFEST).option("multiLine", "true").json(f"{root}/kic_*/{MANIFEST}")
-    return rows.select("kepid", "policy", "retrieved_at_utc", F.inline_outer("products"))
+    With ``stars`` (kepid) the manifests of these are read where their rows are, without listing the root on the
+    driver; a star without one has no row.
+    """
+    if stars is None:
+        rows = spark.read.schema(_MANIFEST).option("multiLine", "true").json(f"{root}/kic_*/{MANIFEST}")
+        return rows.select("kepid", "policy", "retrieved_at_utc", F.inline_outer("products"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            texts = []
+            for kepid in batch["kepid"].tolist():
+                path = f"{base}/{star_folder(kepid)}/{MANIFEST}"
+                try:
+                    with store.open_input_stream(path) as stream:
+                        texts.append(stream.read().decode())
+                except FileNotFoundError:
+                    pass
+            yield pd.DataFrame({"text": texts}, dtype=object)
+
+    texts = stars.select(F.col("kepid").cast("long").alias("kepid")).filter("kepid IS NOT NULL").mapInPandas(read, "text string")
+    return texts.select(F.from_json("text", _MANIFEST).alias("m")).select("m.*").select("kepid", "policy", "retrieved_at_utc", F.inline_outer("products"))
 
 
 def stored_files(spark: SparkSession, root: str) -> DataFrame:

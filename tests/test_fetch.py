@@ -173,3 +173,15 @@ def test_discovery_notices_changes(spark, tmp_path):
     assert found.catalog() is not first and {tuple(r) for r in found.targets().collect()} == {(5, 1, True, True), (6, 0, True, False), (8, 0, False, True)}
     change = discovery.changes(before, discovery.list_files(spark, raw, "kic_*/*"))
     assert {(r["kepid"], r["path"].rsplit("/", 1)[1], r["change"]) for r in change.collect()} == {(5, "products.json", "changed"), (6, "products.json", "added"), (7, "products.json", "removed")}
+
+
+def test_manifests_of_given_stars_are_those_of_the_listing(spark, tmp_path):
+    root = f"file://{tmp_path}/stars"
+    rows = [(1, 2, "b", "x:b", 3), (1, 1, "a", "x:a", None), (2, None, "c", "x:c", 4)]
+    wanted = spark.createDataFrame(rows, "kepid long, quarter int, filename string, data_uri string, size_bytes long")
+    done = products.fetch(wanted, root, lambda uri: uri.encode(), "p")
+    # What has just been written is hashed on its way and not read again.
+    listed = sorted(map(str, products.read_manifests(spark, root).collect()))
+    more = done.select("kepid").union(spark.createDataFrame([(9,)], "kepid long"))
+    assert sorted(map(str, products.read_manifests(spark, root, more).collect())) == listed and len(listed) == 3
+    assert {(r["filename"], r["stored_bytes"]) for r in products.read_manifests(spark, root, done).collect()} == {("a", 3), ("b", 3), ("c", 3)}
