@@ -7,8 +7,9 @@ time (about 70,000 half-hour cadences in four years), whatever the number of sou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,8 +83,7 @@ def running_median_trend(curve: DataFrame, window_days: float = 1.5, min_points:
     marked = curve.withColumn("_seen", seen)
     if problem is not None:
         return by_star(marked, kernel, into, problem).drop("_seen")
-    made = marked.groupBy("kepid").applyInPandas(kernel, ", ".join(f"`{n}` {t}" for n, t in marked.dtypes) + f", `{into}` double")
-    return made.drop("_seen")
+    return whole_stars(marked, kernel, into).drop("_seen")
 
 
 def interpolate(df: DataFrame, at: str, value: str, part, into: str) -> DataFrame:
@@ -109,7 +109,32 @@ def robust_spline_trend(curve: DataFrame, knot_spacing_days: float = 0.3, min_po
     fit = spline_trend_kernel(knot_spacing_days, min_points, sigma_lower, sigma_upper, max_iter, value, usable, into)
     if problem is not None:
         return by_star(curve, fit, into, problem)
-    return curve.groupBy("kepid").applyInPandas(fit, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
+    return whole_stars(curve, fit, into)
+
+
+def whole_stars(curve: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], into: str) -> DataFrame:
+    """curve with what a kernel adds to many whole stars at once, as a call for each short star costs more than its samples.
+
+    Rows come by star; the last star of a batch waits for the next one, so a task holds a batch and a star.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            star = pd.factorize(rows["kepid"])[0]
+            others = np.flatnonzero(star != star[-1])
+            cut = int(others[-1]) + 1 if len(others) else 0
+            held = rows.iloc[cut:]
+            if cut:
+                yield kernel(rows.iloc[:cut])
+        if held is not None:
+            yield kernel(held)
+
+    ordered = curve.repartition("kepid").sortWithinPartitions("kepid", "segment", "time")
+    return ordered.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
 
 
 def by_star(curve: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], into: str, problem: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldspark.operators import labels, ranking, statistics
+from foldspark.operators import timeseries as ts
 from foldspark.plans import jobs
 from foldspark.sources.testdata import catalog, table
 
@@ -43,3 +44,18 @@ def test_contamination_of_no_values_is_one_row(spark):
     for rows in ([], [("ok", None), ("ok", float("nan"))], [("other", 1.0)]):
         assert [tuple(r) for r in jobs.contamination_summary(spark.createDataFrame(rows, schema)).collect()] == [(None, 0, None)]
     assert tuple(jobs.contamination_summary(spark.createDataFrame([("ok", 0.5), ("ok", 0.25)], schema)).first()) == (0.375, 1, 0.5)
+
+
+def test_stars_stay_whole_across_batches(spark):
+    rows = [(s, 0.1 * k, 1.0 + (7 * k + (s or 3)) % 5, k // 20) for s in (None, 1, 2, 3, 4, 5) for k in range(40)]
+    curve = spark.createDataFrame(rows, "kepid long, time double, flux double, segment int")
+    whole = sorted(map(str, ts.running_median_trend(curve, 1.0, 3).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, ts.running_median_trend(curve, 1.0, 3).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Many stars share a call, and null is a star of its own.
+    one = ts.running_median_trend(curve.filter("kepid IS NULL"), 1.0, 3)
+    assert set(map(str, one.collect())) <= set(whole) and len(whole) == 240
+    assert "FlatMapGroupsInPandas" not in plan(one)
