@@ -22,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers
 
-from foldspark.llm.common import map_rows
+from foldspark.llm.common import BLOCK_BYTES, map_rows
 
 CAPACITY, END_ID = 2048, 0
 #: Documents in a group.
 GROUP_DOCS = 4096
-#: Stretches and words whose ids a Python worker remembers at most; beyond this it starts afresh.
-REMEMBERED = 200_000
+#: Stretches and words beyond which a Python worker forgets those that only one block of texts had.
+REMEMBERED = 400_000
 #: Characters for which lower-casing and normal form C act on each alone, whatever the library's Unicode version.
 _SIMPLE = re.compile("[^\t\n\r -~\xa0-˿Ѐ-ԯ]|<\\|")
 #: The tokenizer's pattern of words (a fixed value), and the same in Python for the characters above.
@@ -50,7 +52,8 @@ def _byte_letters() -> list[str]:
 class WordTokenizer:
     """The ids of texts, remembered by stretches between white space where the tokenizer treats these apart.
 
-    A new stretch is cut into the tokenizer's words here, so that the library only merges words that are new as well.
+    The stretches of a block of texts are told apart by Arrow, and only those that are new become Python objects. They
+    are cut into the tokenizer's words here, so that the library only merges words that are new as well.
     Where the definition isn't of this make, or a text has other characters, the library reads the whole text.
     """
 
@@ -65,29 +68,104 @@ class WordTokenizer:
         like = len(cuts) == 2 and cuts[0] == cut and letters.items() <= cuts[1].items()
         if steps == ["NFC", "Replace", "Lowercase"] and like and not parsed["model"].get("dropout"):
             self.inner = Tokenizer.from_str(json.dumps(parsed | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+            self.closing = self._closing(parsed["model"].get("end_of_word_suffix"))
+        self.letters = dict(enumerate(_byte_letters()))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known stretches and words, where each one's ids end in ``ids``, and whether a later block had it too."""
+        self.known = pa.array([], pa.large_string())
+        self.ends = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+        self.again = np.zeros(0, dtype=bool)
+
+    def _closing(self, suffix: str | None) -> np.ndarray:
+        """By id, whether its token ends a word."""
+        tokens = self.inner.get_vocab(with_added_tokens=False)
+        closing = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        closing[[i for token, i in tokens.items() if suffix and token.endswith(suffix)]] = True
+        return closing
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         simple = [self.inner is not None and not _SIMPLE.search(t) for t in texts]
-        split = [t.lower().split() if s else [] for t, s in zip(texts, simple)]
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t, s in zip(texts, simple) if s], pa.large_string()))
+        stretches = split.flatten().dictionary_encode()
+        ids, ends = self._gather(self._rows_of(stretches.dictionary)[stretches.indices.to_numpy()])
+        bounds = iter((4 * ends[split.offsets.to_numpy()]).tolist())
+        ids, at, made = ids.tobytes(), next(bounds), []
+        for text, s in zip(texts, simple):
+            begin, at = at, next(bounds) if s else at
+            made.append(ids[begin:at] if s else self._encode(text))
+        return made
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known ``rows`` one after the other, and where each row's begin; the last number is their count."""
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.ends[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+    def _rows_of(self, stretches: pa.Array) -> np.ndarray:
+        """The rows of different ``stretches`` among the known ones, where new ones are added."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        mixed = {w: _WORD.findall(w) for w in new if not w.isalpha()}
-        self._learn(list(new.difference(mixed).union(*mixed.values()).difference(self.known)))
-        find = self.known.__getitem__
-        self.known.update({w: b"".join(map(find, parts)) for w, parts in mixed.items()})
-        return [b"".join(map(find, words)) if s else self._encode(t) for t, s, words in zip(texts, simple, split)]
-
-    def _learn(self, words: list[str]) -> None:
+            self._thin_out()
+        rows, new = self._find(stretches)
+        self.again[rows[~new]] = True
+        if not new.any():
+            return rows
+        places, found = np.flatnonzero(new), stretches.filter(pa.array(new)).to_pylist()
+        plain = np.array([w.isalpha() for w in found])
+        mixed = [_WORD.findall(w) for w, p in zip(found, plain) if not p]
+        rows[places[plain]] = self._learn([w for w, p in zip(found, plain) if p])
+        if not mixed:
+            return rows
+        parts = pa.array([w for words in mixed for w in words], pa.large_string()).dictionary_encode()
+        of_part, unknown = self._find(parts.dictionary)
+        of_part[unknown] = self._learn(parts.dictionary.filter(pa.array(unknown)).to_pylist())
+        ids, ends = self._gather(of_part[parts.indices.to_numpy()])
+        # A stretch that is one word is known as that by now.
+        rows[places[~plain]], missing = self._find(stretches.take(pa.array(places[~plain])))
+        ends = ends[np.cumsum([0, *map(len, mixed)])]
+        kept = np.repeat(missing, np.diff(ends))
+        words = [w for w, p in zip(found, plain) if not p]
+        rows[places[~plain][missing]] = self._add([w for w, m in zip(words, missing) if m], ids[kept], np.diff(ends)[missing])
+        return rows
+
+    def _find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of words among the known ones, and which aren't known."""
+        rows = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return rows, rows < 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The rows that new words get."""
+        rows = np.arange(len(self.known), len(self.known) + len(words))
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.large_string())])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids.astype("<u4")])
+        self.again = np.concatenate([self.again, np.zeros(len(words), dtype=bool)])
+        return rows
+
+    def _thin_out(self) -> None:
+        """Keep what more than one block had; start afresh where that is most of it."""
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > REMEMBERED:
+            return self._forget()
+        words, (ids, ends) = self.known.take(pa.array(kept)), self._gather(kept)
+        self.known, self.ends, self.ids, self.again = words, ends, ids, np.zeros(len(kept), dtype=bool)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        ids, sizes = [], []
         for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            made = self.inner.encode([w if w.isascii() else "".join(self.letters[b] for b in w.encode()) for w in part], is_pretokenized=True, add_special_tokens=False)
-            ends = (4 * np.cumsum(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
-            ids = array("I", made.ids).tobytes()
-            self.known.update(zip(part, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+            part = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words[at : at + 4096]]
+            # Without offsets, which cost half the time, the library doesn't say where words end; their last tokens do.
+            made = np.array(self.inner.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.closing[made]) + 1
+            if len(ends) != len(part) or ends[-1] != len(made):
+                slow = self.inner.encode(part, is_pretokenized=True, add_special_tokens=False)
+                made, ends = np.array(slow.ids, dtype=np.int64), np.cumsum(np.bincount(np.array(slow.word_ids, dtype=np.int64), minlength=len(part)))
+            ids.append(made)
+            sizes.append(np.diff(ends, prepend=0))
+        return self._add(words, np.concatenate(ids), np.concatenate(sizes)) if words else np.zeros(0, dtype=np.int64)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -107,7 +185,8 @@ def tokenize(docs: DataFrame, definition: str, end_id: int = END_ID, id_col: str
         for doc_id, ids in zip(doc_ids, _tokenizer(definition).encode_block([t or "" for t in texts])):
             yield doc_id, ids + end
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, "doc_id long, ids binary")
+    # Larger blocks repeat fewer stretches, each of which is looked up once a block.
+    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, "doc_id long, ids binary", batch=2048, size=2 * BLOCK_BYTES)
 
 
 def cut_pieces(tokenized: DataFrame, capacity: int = CAPACITY) -> DataFrame:

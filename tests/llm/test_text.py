@@ -330,6 +330,25 @@ def test_words_of_the_tokenizer_are_cut_alike():
         assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in block]
 
 
+def test_tokenizer_merges_rare_words_once_and_keeps_frequent_ones(monkeypatch):
+    """A full memory forgets words of one block, not those that other blocks had; ids stay those of the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        fast = packing.WordTokenizer(file.read())
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    merged, learn = [], fast._learn
+    monkeypatch.setattr(fast, "_learn", lambda words: merged.extend(words) or learn(words))
+    rng = np.random.default_rng(5)
+    rare = ["".join(rng.choice(list("aeiounrstlж"), 9)) for _ in range(2000)]
+    common = ["the", "ночь,", "it's", "été", "12a"]
+    texts = [" ".join([*common, *rare[at : at + 100], *common]) for at in range(0, 2000, 100)] + [" ", " a ", ""]
+    for text in texts:
+        got = fast.encode_block([text, "<|x"])
+        assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in (text, "<|x")]
+    assert all(merged.count(w) == 1 for w in ("the", "ночь", "été", "it", "'s")) and len(fast.known) < 1000
+
+
 # Fingerprints.
 
 
