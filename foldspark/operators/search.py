@@ -18,6 +18,8 @@ from foldspark.config import SearchConfig
 from foldspark.functions import is_finite
 
 PERIODOGRAM = "period double, power double, duration double, transit_time double, depth double, depth_err double, depth_snr double, log_likelihood double"
+#: Samples or phase bins of neighbouring periods that are searched in one array.
+CELLS = 32_768
 
 
 def grid_size(baseline: Column, lo: Column, hi: Column, min_duration: float, oversample: float) -> Column:
@@ -43,56 +45,99 @@ def box_power(t: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray,
     """The best box of each period, after Kovacs et al. (2002): the weighted mean inside it against that outside.
 
     Samples are summed into phase bins of a fraction of the least duration; differences of the running sums are the
-    boxes at all phases.
+    boxes at all phases. Neighbouring periods are rows of one array, as many as ``CELLS`` allows, which changes no
+    period's result.
     """
     y = y - np.median(y)
     weight = 1.0 / dy**2
     start = float(t.min())
     since = t - start
-    all_w, all_wy = float(weight.sum()), float((weight * y).sum())
+    wy = weight * y
+    all_w, all_wy = float(weight.sum()), float(wy.sum())
     step = float(durations.min()) / phase_oversample
     spans = [(max(1, int(round(d / step))), float(d)) for d in durations]
     longest = max(s for s, _ in spans)
     out = {k.split()[0]: np.full(len(periods), np.nan) for k in PERIODOGRAM.split(", ")}
     out["period"] = periods
-    wy = weight * y
-    phase, whole, place = np.empty(len(t)), np.empty(len(t)), np.empty(len(t), dtype=np.int64)
-    for p, period in enumerate(periods):
-        n = int(math.ceil(period / step))
-        np.multiply(since, 1.0 / period, out=phase)
-        np.floor(phase, out=whole)
-        phase -= whole
-        phase *= period / step
-        np.minimum(phase, n - 1, out=phase)
-        # The conversion cuts off the fraction.
-        np.copyto(place, phase, casting="unsafe")
-        sums = np.zeros((2, n + longest + 1))
-        for row, values in enumerate((weight, wy)):
-            binned = np.bincount(place, weights=values, minlength=n)
-            np.cumsum(np.concatenate([binned, np.resize(binned, longest)]), out=sums[row, 1:])
-        best = -np.inf
+    sizes = np.ceil(periods / step).astype(np.int64)
+    sums_of = _RunningSums(since, (weight, wy), step, longest)
+    begin = 0
+    while begin < len(periods):
+        widths = np.maximum.accumulate(sizes[begin : begin + max(1, CELLS // len(t))]) + longest + 1
+        cells = np.arange(1, len(widths) + 1) * np.maximum(widths, len(t))
+        end = begin + max(1, int(np.searchsorted(cells, CELLS, side="right")))
+        sums = sums_of(periods[begin:end], sizes[begin:end])
+        starts = sums.shape[2] - 1 - longest
+        every, within = np.arange(end - begin), np.arange(starts) < sizes[begin:end, None]
+        best = np.full(end - begin, -np.inf)
+        found = {c: np.empty(end - begin) for c in ("bin", "duration", "inside", "outside", "depth")}
         for span, duration in spans:
-            inside_w = sums[0, span : span + n] - sums[0, :n]
-            inside_y = sums[1, span : span + n] - sums[1, :n]
+            inside_w = sums[0, :, span : span + starts] - sums[0, :, :starts]
+            inside_y = sums[1, :, span : span + starts] - sums[1, :, :starts]
             outside_w = all_w - inside_w
             with np.errstate(divide="ignore", invalid="ignore"):
-                depth = (all_wy - inside_y) / outside_w - inside_y / inside_w
-                error2 = 1.0 / inside_w + 1.0 / outside_w
-                goal = 0.5 * inside_w * depth**2 if objective == "likelihood" else depth / np.sqrt(error2)
-            goal[~((inside_w > 1e-12 * all_w) & (outside_w > 1e-12 * all_w) & (depth >= 0))] = -np.inf
-            k = int(goal.argmax())
-            if goal[k] > best:
-                best = float(goal[k])
-                found = {
-                    "power": best, "duration": duration, "transit_time": start + (k * step + 0.5 * duration) % period, "depth": float(depth[k]),
-                    "depth_err": float(error2[k] ** 0.5), "depth_snr": float(depth[k] / error2[k] ** 0.5), "log_likelihood": float(0.5 * inside_w[k] * depth[k] ** 2),
-                }
-        if best > -np.inf:
-            for name, value in found.items():
-                out[name][p] = value
+                depth = all_wy - inside_y
+                depth /= outside_w
+                inside_y /= inside_w
+                depth -= inside_y
+                goal = 0.5 * inside_w * depth**2 if objective == "likelihood" else depth / np.sqrt(1.0 / inside_w + 1.0 / outside_w)
+            allowed = (inside_w > 1e-12 * all_w) & (outside_w > 1e-12 * all_w) & (depth >= 0) & within
+            np.copyto(goal, -np.inf, where=~allowed)
+            k = goal.argmax(axis=1)
+            better = np.flatnonzero(goal[every, k] > best)
+            if len(better):
+                box = better, k[better]
+                best[better] = goal[box]
+                for column, values in (("bin", box[1]), ("duration", duration), ("inside", inside_w[box]), ("outside", outside_w[box]), ("depth", depth[box])):
+                    found[column][better] = values
+        some = np.flatnonzero(best > -np.inf)
+        k, duration, w, outside, d = (v[some] for v in found.values())
+        # Powers of single numbers, as their last bit may differ from that of a whole array's.
+        error = np.array([e**0.5 for e in 1.0 / w + 1.0 / outside])
+        at = begin + some
+        out["power"][at], out["duration"][at] = best[some], duration
+        out["transit_time"][at] = start + (k * step + 0.5 * duration) % periods[at]
+        out["depth"][at], out["depth_err"][at], out["depth_snr"][at] = d, error, d / error
+        out["log_likelihood"][at] = 0.5 * w * np.array([v**2 for v in d])
+        begin = end
     return out
 
 
+class _RunningSums:
+    """Running sums of samples over the phase bins of neighbouring periods; the arrays by sample serve every call."""
+
+    def __init__(self, since: np.ndarray, values: tuple[np.ndarray, ...], step: float, longest: int):
+        rows = max(1, CELLS // len(since))
+        self.since, self.step, self.longest = since, step, longest
+        self.values = [np.tile(v, rows) for v in values]
+        self.phase, self.whole, self.place = (np.empty((rows, len(since)), dtype=d) for d in (float, float, np.int64))
+
+    def __call__(self, periods: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(value, period, bin): the sums up to each bin of a period's ``n`` and then of its first ``longest`` again.
+
+        What follows in the rows of shorter periods has no meaning.
+        """
+        rows, most = len(periods), int(n.max())
+        phase, whole, place = self.phase[:rows], self.whole[:rows], self.place[:rows]
+        np.multiply(self.since, (1.0 / periods)[:, None], out=phase)
+        np.floor(phase, out=whole)
+        phase -= whole
+        phase *= (periods / self.step)[:, None]
+        np.minimum(phase, (n - 1)[:, None], out=phase)
+        # The conversion cuts off the fraction.
+        np.copyto(place, phase, casting="unsafe")
+        if rows > 1:
+            place += most * np.arange(rows)[:, None]
+        sums = np.zeros((len(self.values), rows, most + self.longest + 1))
+        again = np.arange(self.longest)
+        each, after, first = np.arange(rows)[:, None], n[:, None] + 1 + again, again % n[:, None] + 1
+        for made, values in zip(sums, self.values):
+            made[:, 1 : most + 1] = np.bincount(place.ravel(), weights=values[: place.size], minlength=rows * most).reshape(rows, most)
+            made[each, after] = made[each, first]
+            np.cumsum(made[:, 1:], axis=1, out=made[:, 1:])
+        return sums
+
+
 def search_inputs(curve: DataFrame, keys: list[str], config: SearchConfig, value: str = "flux", error: str = "flux_err") -> DataFrame:
     """One row per key: its samples as arrays t, y, e in time order, its baseline, grid and status.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from foldspark.operators import labels, ranking, statistics
+from foldspark.operators import labels, ranking, search, statistics
 from foldspark.operators import timeseries as ts
 from foldspark.plans import jobs
 from foldspark.sources.testdata import catalog, table
@@ -59,3 +61,53 @@ def test_stars_stay_whole_across_batches(spark):
     one = ts.running_median_trend(curve.filter("kepid IS NULL"), 1.0, 3)
     assert set(map(str, one.collect())) <= set(whole) and len(whole) == 240
     assert "FlatMapGroupsInPandas" not in plan(one)
+
+
+def plain_box(t, y, dy, period, durations, objective, step):
+    """(power, duration, first bin) of a period's best box, from sums over the samples of every box."""
+    y, w, n = y - np.median(y), 1.0 / dy**2, int(np.ceil(period / step))
+    turns = (t - t.min()) * (1.0 / period)
+    place = np.minimum((turns - np.floor(turns)) * (period / step), n - 1).astype(int)
+    best = (-np.inf, None, None)
+    for duration in durations:
+        for k in range(n):
+            # A box longer than the period counts samples again.
+            times = sum((place == (k + j) % n).astype(int) for j in range(max(1, round(duration / step))))
+            inside, outside = (times * w).sum(), w.sum() - (times * w).sum()
+            if min(inside, outside) <= 1e-12 * w.sum():
+                continue
+            depth = ((w * y).sum() - (times * w * y).sum()) / outside - (times * w * y).sum() / inside
+            goal = 0.5 * inside * depth**2 if objective == "likelihood" else depth / np.sqrt(1 / inside + 1 / outside)
+            if depth >= 0 and goal > best[0] * (1 + 1e-9):
+                best = (goal, duration, k)
+    return best
+
+
+@pytest.mark.parametrize("objective", ["likelihood", "snr"])
+def test_neighbouring_periods_are_searched_together(monkeypatch, objective):
+    rng = np.random.default_rng(6)
+    t, durations = np.sort(rng.random(530) * 30), np.array([0.25, 0.5])
+    y, dy = 1 - 0.4 * (t % 3.3 < 0.3) + rng.normal(0, 0.1, 530), 0.05 + 0.05 * rng.random(530)
+    periods = np.exp(np.linspace(0, np.log(10), 829))
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(search.np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    found = search.box_power(t, y, dy, periods, durations, objective, 10)
+    assert len(calls) < len(periods) / 10
+    for p in range(0, 829, 69):
+        power, duration, k = plain_box(t, y, dy, periods[p], durations, objective, 0.025)
+        assert found["power"][p] == pytest.approx(power) and found["duration"][p] == duration
+        assert found["transit_time"][p] == pytest.approx(t.min() + (k * 0.025 + 0.5 * duration) % periods[p])
+    monkeypatch.setattr(search, "CELLS", 1)
+    single = search.box_power(t, y, dy, periods, durations, objective, 10)
+    assert all(np.array_equal(found[c], single[c], equal_nan=True) for c in found)
+    nothing = search.box_power(t, np.full(530, np.inf), dy, periods[:9], durations, objective, 10)
+    assert np.isnan(nothing["power"]).all() and np.isnan(nothing["transit_time"]).all()
+
+
+def test_short_periods_wrap_in_one_array_with_long_ones():
+    rng = np.random.default_rng(9)
+    t, y, dy = np.sort(rng.random(150) * 20), rng.normal(1, 0.1, 150), np.full(150, 0.1)
+    periods = np.array([0.11, 2.0, 0.13, 0.52])
+    found = search.box_power(t, y, dy, periods, np.array([0.1, 0.1, 0.5]), "likelihood", 2)
+    for p, period in enumerate(periods):
+        assert found["power"][p] == pytest.approx(plain_box(t, y, dy, period, [0.1, 0.5], "likelihood", 0.05)[0])
