@@ -55,8 +55,9 @@ def box_power(t: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray,
     wy = weight * y
     all_w, all_wy = float(weight.sum()), float(wy.sum())
     step = float(durations.min()) / phase_oversample
-    spans = [(max(1, int(round(d / step))), float(d)) for d in durations]
-    longest = max(s for s, _ in spans)
+    lasting = np.asarray(durations, dtype=float)
+    lengths = np.array([max(1, int(round(d / step))) for d in lasting])
+    longest = int(lengths.max())
     out = {k.split()[0]: np.full(len(periods), np.nan) for k in PERIODOGRAM.split(", ")}
     out["period"] = periods
     sizes = np.ceil(periods / step).astype(np.int64)
@@ -70,8 +71,8 @@ def box_power(t: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray,
         starts = sums.shape[2] - 1 - longest
         every, within = np.arange(end - begin), np.arange(starts) < sizes[begin:end, None]
         best = np.full(end - begin, -np.inf)
-        found = {c: np.empty(end - begin) for c in ("bin", "duration", "inside", "outside", "depth")}
-        for span, duration in spans:
+        first, which = np.zeros((2, end - begin), dtype=np.int64)
+        for number, span in enumerate(lengths):
             inside_w = sums[0, :, span : span + starts] - sums[0, :, :starts]
             inside_y = sums[1, :, span : span + starts] - sums[1, :, :starts]
             outside_w = all_w - inside_w
@@ -84,14 +85,15 @@ def box_power(t: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray,
             allowed = (inside_w > 1e-12 * all_w) & (outside_w > 1e-12 * all_w) & (depth >= 0) & within
             np.copyto(goal, -np.inf, where=~allowed)
             k = goal.argmax(axis=1)
-            better = np.flatnonzero(goal[every, k] > best)
-            if len(better):
-                box = better, k[better]
-                best[better] = goal[box]
-                for column, values in (("bin", box[1]), ("duration", duration), ("inside", inside_w[box]), ("outside", outside_w[box]), ("depth", depth[box])):
-                    found[column][better] = values
+            highest = goal[every, k]
+            better = highest > best
+            for kept, values in ((best, highest), (first, k), (which, number)):
+                np.copyto(kept, values, where=better)
         some = np.flatnonzero(best > -np.inf)
-        k, duration, w, outside, d = (v[some] for v in found.values())
+        k, duration = first[some], lasting[which[some]]
+        w, inside_y = sums[:, some, k + lengths[which[some]]] - sums[:, some, k]
+        outside = all_w - w
+        d = (all_wy - inside_y) / outside - inside_y / w
         # Powers of single numbers, as their last bit may differ from that of a whole array's.
         error = np.array([e**0.5 for e in 1.0 / w + 1.0 / outside])
         at = begin + some
