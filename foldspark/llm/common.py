@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import ctypes
+import functools
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text in a block of rows; a longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
+#: Edges that a step of connected() writes to a file, where it has more than a file for each core.
+EDGES_A_FILE = 200_000
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -40,6 +44,25 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that returns free memory; one that does nothing where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed.
+
+    Spark keeps Python workers for later tasks, two or more for each core, and takes the longest idle one first; without
+    this each of them would stay at the size of its largest batch of texts while others work.
+    """
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def blocks_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most ``rows`` rows, with at most ``size`` bytes of text unless a single row has more."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -69,6 +92,9 @@ def map_rows(df: DataFrame, rows: Callable[[list[list]], Iterator[tuple]], schem
                 made = list(rows([c.to_pylist() for c in part.columns]))
                 columns = list(zip(*made)) if made else [()] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+            whole = part = made = columns = None
+            give_back()
+        give_back()
 
     return df.mapInArrow(run, struct)
 
@@ -80,12 +106,21 @@ def by_text(work: Callable[[list[str | None]], Iterable], kind: str) -> Callable
     """
     out = to_arrow_schema(T.StructType.fromDDL(f"value {kind}")).field(0).type
 
-    @F.arrow_udf(kind)
-    def run(texts: pa.Array) -> pa.Array:
+    def values(texts: pa.Array) -> pa.Array:
         whole = pa.RecordBatch.from_arrays([texts], names=["text"])
         made = [pa.array(work(part.column(0).to_pylist()), out) for part in blocks_of(whole, 512, BLOCK_BYTES)]
         return pa.concat_arrays(made) if made else pa.array([], out)
 
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = values(texts)
+            texts = None
+            yield made
+            made = None
+            give_back()
+        give_back()
+
     return run
 
 
@@ -159,16 +194,17 @@ def connected(edges: DataFrame, spark: SparkSession, rounds: int = 60) -> DataFr
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014), each a shuffle of edges that shrinks a
     path's length by a constant factor. Every step ends in a checkpoint, so plans stay short and lost executors cost
-    one step. Nothing is collected but the number of changed edges. An edge with a null end is ignored.
+    one step; few edges go to few files. Nothing is collected but numbers of edges. An edge with a null end is ignored.
     """
     use_checkpoints(spark)
     both = edges.filter(F.col("a") != F.col("b"))
     now = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    files = max(spark.sparkContext.defaultParallelism, now.count() // EDGES_A_FILE)
     for _ in range(rounds):
         if now.isEmpty():
             break
         large = _star(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger_only=True)
-        small = _star(large, larger_only=False).checkpoint()
+        small = _star(large, larger_only=False).coalesce(files).checkpoint()
         moved = small.exceptAll(now).limit(1).count() + now.exceptAll(small).limit(1).count()
         now = small
         if not moved:
