@@ -56,8 +56,8 @@ def _trim() -> Callable[[int], int]:
 def give_back() -> None:
     """Return to the system what this process has freed.
 
-    Spark keeps Python workers for later tasks, two or more for each core, and takes the longest idle one first; without
-    this each of them would stay at the size of its largest batch of texts while others work.
+    Spark keeps Python workers for later tasks, and more of them than work at once; without this each would stay at the
+    size of its largest batch of texts while others work.
     """
     pa.default_memory_pool().release_unused()
     _trim()(0)
