@@ -38,8 +38,7 @@ def is_finite(value: ColumnLike) -> Column:
 def quotient(a: ColumnLike | float, b: ColumnLike | float) -> Column:
     """a / b in floating point, where a zero below gives an infinity with the sign of a, or NaN, and is no error."""
     x, y = _col(a).cast("double"), _col(b).cast("double")
-    endless = F.when(F.isnan(x) | (x == 0), float("nan")).when(x > 0, float("inf")).when(x < 0, float("-inf"))
-    return F.when(y == 0, endless).otherwise(x / F.nullif(y, F.lit(0.0)))
+    return F.when(y == 0, x * float("inf")).otherwise(x / F.nullif(y, F.lit(0.0)))
 
 
 def quality_ok(quality: ColumnLike, mask: int) -> Column:

@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.config import MAD_TO_SIGMA, QUALITY_BITMASK
-from foldspark.functions import in_any_transit, is_finite, nan_to_null, quality_ok
+from foldspark.functions import in_any_transit, is_finite, nan_to_null, quality_ok, quotient
 from foldspark.operators.spline import running_median, segment_kernel, spline_trend_kernel
 
 
@@ -41,13 +42,17 @@ def by_source(curve: DataFrame) -> DataFrame:
 NOT_POSITIVE = "a quarter's median flux is not positive"
 
 
-def normalize_per_quarter(curve: DataFrame, problem: str | None = None) -> DataFrame:
+def normalize_per_quarter(curve: DataFrame, problem: str | None = None, any_median: bool = False) -> DataFrame:
     """Flux and error over the median flux of their source and quarter, kept as ``median_flux``.
 
     A median that isn't positive can't be divided by. It is an error, or, where a column ``problem`` is named, that
-    column holds the message on all of the source's samples, and the quarter's flux is null.
+    column holds the message on all of the source's samples, and the quarter's flux is null. With ``any_median`` the
+    quotients are those of floating point, infinite or NaN over a zero.
     """
     median = F.median("flux").over(Window.partitionBy("kepid", "quarter"))
+    if any_median:
+        curve = curve.withColumn("median_flux", median)
+        return curve.withColumn("flux", quotient("flux", "median_flux")).withColumn("flux_err", quotient("flux_err", "median_flux"))
     if problem is None:
         sure = F.when(median > 0, median).otherwise(F.raise_error(F.lit(NOT_POSITIVE)).cast("double"))
     else:
@@ -83,7 +88,9 @@ def running_median_trend(curve: DataFrame, window_days: float = 1.5, min_points:
     marked = curve.withColumn("_seen", seen)
     if problem is not None:
         return by_star(marked, kernel, into, problem).drop("_seen")
-    return whole_stars(marked, kernel, into).drop("_seen")
+    made = whole_stars(marked, kernel, into).drop("_seen")
+    # NaN is a median of values with NaN; a segment without any value has no trend.
+    return made.withColumn(into, F.when(F.col(value).isNull(), nan_to_null(into)).otherwise(F.col(into)))
 
 
 def interpolate(df: DataFrame, at: str, value: str, part, into: str) -> DataFrame:
@@ -109,32 +116,38 @@ def robust_spline_trend(curve: DataFrame, knot_spacing_days: float = 0.3, min_po
     fit = spline_trend_kernel(knot_spacing_days, min_points, sigma_lower, sigma_upper, max_iter, value, usable, into)
     if problem is not None:
         return by_star(curve, fit, into, problem)
-    return whole_stars(curve, fit, into)
+    return whole_stars(curve, fit, into).withColumn(into, nan_to_null(into))
 
 
 def whole_stars(curve: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], into: str) -> DataFrame:
     """curve with what a kernel adds to many whole stars at once, as a call for each short star costs more than its samples.
 
-    Rows come by star; the last star of a batch waits for the next one, so a task holds a batch and a star.
+    Rows come by star; the last star of a batch waits for the next one, so a task holds a batch and a star. Only the
+    kernel sees pandas, where NaN and null are the same; the curve's own columns stay as they are.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        made = kernel(rows.to_pandas())[into].sort_index()
+        yield from rows.append_column(into, pa.array(made.to_numpy(float))).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            star = pd.factorize(rows["kepid"])[0]
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            star = pd.factorize(rows["kepid"].to_pandas())[0]
             others = np.flatnonzero(star != star[-1])
             cut = int(others[-1]) + 1 if len(others) else 0
-            held = rows.iloc[cut:]
+            held = rows.slice(cut)
             if cut:
-                yield kernel(rows.iloc[:cut])
+                yield from added(rows.slice(0, cut))
         if held is not None:
-            yield kernel(held)
+            yield from added(held)
 
     ordered = curve.repartition("kepid").sortWithinPartitions("kepid", "segment", "time")
-    return ordered.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
+    return ordered.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in curve.dtypes) + f", `{into}` double")
 
 
 def by_star(curve: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], into: str, problem: str) -> DataFrame:

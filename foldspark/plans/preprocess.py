@@ -24,23 +24,23 @@ def star_ephemerides(catalog: DataFrame) -> DataFrame:
     return known.groupBy("kepid").agg(F.transform(ordered, lambda s: s["e"]).alias("ephemerides"))
 
 
-def preprocess(curve: DataFrame, config: PreprocessingConfig | None = None, catalog: DataFrame | None = None, tie: str | None = None) -> DataFrame:
+def preprocess(curve: DataFrame, config: PreprocessingConfig | None = None, catalog: DataFrame | None = None, tie: str | None = None, any_median: bool = False) -> DataFrame:
     """Processed curves: clean, divide by each quarter's median, detrend by segment, clip upward outliers.
 
     One shuffle by star serves every step. With ``mask_known_transits`` samples in any known transit of their star
     never enter the trend; the catalog gives the ephemerides. A star that can't be processed is an error here;
-    ``preprocess_stars`` reports it instead.
+    ``preprocess_stars`` reports it instead, and with ``any_median`` a quarter is divided by its median whatever that is.
     """
     config = config or PreprocessingConfig()
-    return _processed(curve, config, catalog, tie, None, None).select(*PROCESSED_COLUMNS)
+    return _processed(curve, config, catalog, tie, None, None, any_median).select(*PROCESSED_COLUMNS)
 
 
-def _processed(curve: DataFrame, config: PreprocessingConfig, catalog: DataFrame | None, tie: str | None, problem: str | None, kernel) -> DataFrame:
+def _processed(curve: DataFrame, config: PreprocessingConfig, catalog: DataFrame | None, tie: str | None, problem: str | None, kernel, any_median: bool = False) -> DataFrame:
     """The steps of ``preprocess``. With a column ``problem`` a star's failures stand there, and its samples stay."""
     d = config.detrend
     if d.mask_known_transits and catalog is None:
         raise ValueError("mask_known_transits needs the catalog's ephemerides")
-    ready = ts.normalize_per_quarter(ts.by_source(ts.clean(curve, config.quality_bitmask)), problem)
+    ready = ts.normalize_per_quarter(ts.by_source(ts.clean(curve, config.quality_bitmask)), problem, any_median)
     if d.mask_known_transits:
         known = star_ephemerides(catalog)
         if problem is not None:

@@ -355,9 +355,9 @@ def star_diagnostics(spark, d):
 SELECT kepid, round(time, 6) AS time_bkjd, quarter::SMALLINT AS quarter, round(flux, 6) AS flux_norm, round(flux_err, 6) AS flux_err_norm, round(trend, 6) AS trend,
 round(flux / trend, 6) AS flux_detrended, round(flux_err / trend, 6) AS flux_err_detrended, masked AS in_known_transit_mask FROM m JOIN t USING (kepid, event_id)""")
 def processed_curves(spark, d):
-    """Whole star processing: clean, normalise, segment, mask, detrend."""
+    """Whole star processing: clean, normalise, segment, mask, detrend. Like its SQL it divides by every median."""
     detrend = DetrendConfig(window_days=WINDOW, gap_days=GAP, min_points=POINTS, mask_known_transits=True, mask_duration_factor=FACTOR)
-    out = prep.preprocess(light_curve(spark, d), PreprocessingConfig(detrend=detrend, clip_upper_sigma=None), labels.apply_label_policy(signals(spark, d)))
+    out = prep.preprocess(light_curve(spark, d), PreprocessingConfig(detrend=detrend, clip_upper_sigma=None), labels.apply_label_policy(signals(spark, d)), any_median=True)
     return r6(out, "time_bkjd", "flux_norm", "flux_err_norm", "trend", "flux_detrended", "flux_err_detrended")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldspark import queries as library
 from foldspark.config import DetrendConfig, PreprocessingConfig
 from foldspark.operators import timeseries as ts
 from foldspark.plans import preprocess as prep
+from foldspark.sources.testdata import light_curve
 
 from .compare import difference, duck
 
@@ -106,3 +108,21 @@ def test_examples_of_zero_trends_are_made(spark, tmp_path):
     with_zero_trends(duck(SF), tmp_path, 0)
     made = library.queries()["examples"](spark, str(tmp_path))
     assert made.filter("n_points > 0").count() > 0 and made.count() == library.queries()["examples"](spark, SF).count()
+
+
+def test_quarters_of_any_median_equal_the_sql(spark, tmp_path):
+    # Whole quarters of zeros, quarters with some values above zero, and negative ones.
+    con, week = duck(SF), "floor((epoch_us(ts) - 1704067200000000) / 8.64e10::DOUBLE / 7)"
+    low = f"CASE WHEN user_id % 4 = 1 AND {week} = 1 OR user_id % 4 = 2 AND {week} = 2 AND event_id % 3 > 0 THEN 0 WHEN user_id % 4 = 3 AND {week} = 0 THEN -value ELSE value END"
+    con.execute(f"COPY (SELECT * REPLACE ({low} AS value) FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    made, con, sql = library.processed_curves(spark, str(tmp_path)), duck(str(tmp_path)), library.oracle_sql()["processed_curves"]
+    assert difference(made, con, sql) is None
+    # That takes NaN for null; there are no nulls on either side.
+    doubles = [name for name, kind in made.dtypes if kind == "double"]
+    want = con.execute(f"SELECT {', '.join(f'count(*) FILTER (isnan({c}))' for c in doubles)} FROM ({sql})").fetchone()
+    assert tuple(made.agg(*(F.count_if(F.isnan(c)) for c in doubles)).first()) == want and min(want[1], want[3], want[4]) > 0
+    assert made.filter(" OR ".join(f"{c} IS NULL" for c in made.columns)).count() == 0
+    # The library's own default stays an error.
+    with pytest.raises(Exception, match="median flux is not positive"):
+        prep.preprocess(light_curve(spark, str(tmp_path))).collect()

@@ -111,6 +111,24 @@ def test_sliding_medians_equal_sorted_windows(width):
     assert np.array_equal(got, want, equal_nan=True)
 
 
+@pytest.mark.parametrize("width", [3, 150, 400])
+def test_running_medians_of_infinite_and_undefined_values(width):
+    rng = np.random.default_rng(width)
+    t = np.sort(np.concatenate([rng.uniform(0, 900, 900), rng.uniform(2000, 2300, 500), [1400.0, 1500.0]]))
+    y = rng.choice([1.0, 2.5, -3.0, np.inf, -np.inf, np.nan], len(t), p=[0.2, 0.2, 0.1, 0.2, 0.1, 0.2])
+    usable = rng.uniform(size=len(t)) < 0.9
+    got = spline.running_median(t, y, width, 3, usable)
+    seen, known = [np.sort(y[usable & (t >= a - width / 2) & (t <= a + width / 2)]) for a in t], {}
+    with np.errstate(invalid="ignore"):
+        for k, s in enumerate(seen):
+            if len(s) >= 3:
+                known[k] = 0.5 * (s[(len(s) - 1) // 2] + s[len(s) // 2])
+        for k in range(len(t)):
+            a, b = max((j for j in known if j <= k), default=None), min((j for j in known if j >= k), default=None)
+            want = known[b] if a in (None, b) else known[a] if b is None else (known[b] - known[a]) / (t[b] - t[a]) * (t[k] - t[a]) + known[a]
+            assert got[k] == want or np.isnan(got[k]) and np.isnan(want)
+
+
 def test_sliding_medians_are_fast_on_long_windows():
     import time
 
